@@ -1,0 +1,97 @@
+"""Request and response between batches of documents and shards of a key space.
+
+Documents are dealt into batches of bounded bytes. A batch sends each shard one packed request with the distinct keys
+that it needs, sorted; the shard sees the requests of all batches and answers each in the order of its keys. So a key
+that a third of all rows holds costs one entry a batch, and nothing is ever gathered beyond a batch or a shard.
+The exchange of the documents by batch is the same in every step, so Spark writes it once and reads it again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+U64 = np.uint64
+REQUEST = "shard int, batch int, kind int, payload binary"
+_SCHEMA = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+
+
+class Plan:
+    """How many batches and shards a corpus gets."""
+
+    def __init__(self, docs: DataFrame, text_col: str, batch_bytes: int, shard_bytes: int):
+        total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        self.batches, self.shards = 1 + total // batch_bytes, max(32, total // shard_bytes)
+
+    def batched(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """id and text with the number of their batch."""
+        return docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(self.batches)).cast("int").alias("batch"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of sorted keys: ranges of the key space, so that a shard's keys stay together and sorted."""
+    return ((keys >> U64(40)).astype(np.int64) * shards) >> 24
+
+
+def request(batch: int, kind: int, shards: int, keys: np.ndarray, pack: Callable[[int, int], bytes]) -> list[tuple]:
+    """One packed request for each shard that has keys; keys are sorted, pack(a, b) packs entries a to b."""
+    where = shard_of(keys, shards)
+    cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])) if len(keys) else np.zeros(0, np.int64)
+    return [(int(where[a]), batch, kind, pack(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA) if rows else _SCHEMA.empty_table()
+
+
+def ask(batched: DataFrame, make: Callable[[pa.Table], list[tuple]]) -> DataFrame:
+    """Requests of each batch of documents."""
+    return batched.groupBy("batch").applyInArrow(lambda t: table(make(t)), REQUEST)
+
+
+def answer(requests: DataFrame, decide: Callable[[int, list, list], list]) -> DataFrame:
+    """Each shard's answers. decide(kind, batches, payloads) -> a payload or None for each request; batches are in order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("kind", "ascending"), ("batch", "ascending")])
+        shard, batch, kind, payload = (t.column(c).to_pylist() if c != "payload" else t.column(c).combine_chunks() for c in _SCHEMA.names)
+        rows = []
+        for k in sorted(set(kind)):
+            at = [i for i, x in enumerate(kind) if x == k]
+            got = decide(k, [batch[i] for i in at], [payload[i].as_buffer() for i in at])
+            rows += [(shard[i], batch[i], k, p) for i, p in zip(at, got, strict=True) if p is not None]
+        return table(rows)
+
+    return requests.groupBy("shard").applyInArrow(run, REQUEST)
+
+
+def finish(batched: DataFrame, answers: DataFrame, make: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
+    """Each batch of documents with its answers: {kind: {shard: payload}}."""
+    empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+
+    def run(docs: pa.Table, got: pa.Table) -> pa.Table:
+        out = make(docs, by_kind(got))
+        return out if out is not None else empty
+
+    return batched.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
+
+
+def by_kind(got: pa.Table) -> dict:
+    """Answers of a batch by kind and shard."""
+    by: dict[int, dict] = {}
+    if got.num_rows:
+        for shard, kind, payload in zip(got.column("shard").to_pylist(), got.column("kind").to_pylist(), got.column("payload").combine_chunks(), strict=True):
+            by.setdefault(kind, {})[shard] = payload.as_buffer()
+    return by
+
+
+def joined(answers: dict, kind: int, dtype) -> np.ndarray:
+    """The answers of one kind, in the order of the keys."""
+    parts = [np.frombuffer(p, dtype=dtype) for _, p in sorted(answers.get(kind, {}).items())]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from galeframe.llm import decontaminate, jaccard, quality
+from galeframe.llm import decontaminate, jaccard, lm, quality, substrings
 from galeframe.llm.common import read
 
 
@@ -19,6 +20,16 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "set_id", "class_id", "n_links")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_pair_hits", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -26,10 +37,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_lm_scoring": r"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+t as (select rid, i, w[i] x, case when i > 1 then w[i - 1] end p from (select rid, w, unnest(range(1, len(w) + 1)) i from d)),
+u as (select x, count(*) c from t group by x), b as (select p, x, count(*) c from t where p is not null group by p, x),
+s as (select t.rid, b.c >= 2 hit, case when b.c >= 2 then ln(b.c / up.c) when t.p is null then ln(u.c / (select count(*) from t)) else ln(0.4) + ln(u.c / (select count(*) from t)) end s
+  from t join u on t.x = u.x left join b on t.p = b.p and t.x = b.x left join u up on t.p = up.x),
+g as (select rid, count(*) n, count(*) filter (where hit) h, sum(s) s from s group by rid)
+select doc_id, cast(coalesce(n, 0) as bigint) n_words, cast(coalesce(h, 0) as bigint) n_pair_hits, round(s, 4) log_score, round(s / n, 6) mean_log_score from d left join g using (rid)""",
+    "op9_substring_dedup": r"""
+with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select rid, i, md5(array_to_string(w[i:i + 34], ' ')) s from (select rid, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+rep as (select s from win group by s having count(*) > 1),
+gone as (select distinct rid, unnest(range(i, i + 35)) p from win where s in (select s from rep)),
+kept as (select rid, string_agg(x, ' ' order by p) k, count(*) n from (select rid, p, w[p] x from (select rid, w, unnest(range(1, len(w) + 1)) p from d) anti join gone using (rid, p)) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(k, '')) kept_sha256 from d left join kept using (rid)""",
     "op10_decontamination": r"""
 with d as (select doc_id, row_number() over () rid, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\x00', ' ', 'g'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
 b as (select cast(item_id as varchar) item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
