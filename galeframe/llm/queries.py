@@ -7,15 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import decontaminate, jaccard, lm, quality, substrings
+from galeframe.llm import chat, decontaminate, jaccard, lines, lm, mixing, quality, substrings, urls
 from galeframe.llm.common import read
 
 
+#: Target weights of the mixture: the two first sources count more than the others.
+WEIGHTS = {"src0": 3.0, "src1": 2.0}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), WEIGHTS)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 k and 2 k + 1 are the chosen and the rejected one of pair k."""
+    conv = F.col("conv_id")
+    pairs = chat.preference_pairs(read(spark, sf_dir, "conversations"), F.floor(conv / 2).cast("long"), F.pmod(conv, F.lit(2)) == 0)
+    return pairs.withColumns({c: chat.mask_text(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.mine(pages, read(spark, sf_dir, "labels")))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "set_id", "class_id", "n_links")
 
@@ -35,7 +60,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chat_preferences": op3_chat_preferences,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_url_filters": op5_url_filters,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
@@ -43,6 +72,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_source_mixing": """
+with recursive d as (select doc_id, coalesce(source, '') source, row_number() over (partition by coalesce(source, '') order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 r from documents),
+c as (select source, cast(ceil(count(*) / 64) as bigint) blocks, case source when 'src0' then 3 when 'src1' then 2 else 1 end w from d group by source),
+s as (select source, blocks, cast(greatest(1, round_even(w / (select sum(w) from c) * 200, 0)) as bigint) k, row_number() over (order by source) i from c),
+st as (select 0 as start_p union select blocks // k from s union select blocks // k + 1 from s),
+kinds as (select start_p, list(greatest(0, least(k, blocks - start_p * k)) order by i) m, cast(sum(greatest(0, least(k, blocks - start_p * k))) as bigint) h, cast(sum(least(blocks, start_p * k)) as bigint) base from st, s group by start_p),
+sim as (select start_p, 0 t, list_transform(m, lambda x: 0) done, cast(null as bigint) pick from kinds where h > 0
+  union all
+  select start_p, t + 1, list_transform(done, lambda x, j: case when j = pick then x + 1 else x end), pick from (
+    select sim.start_p, t, done, list_sort(list_filter(list_transform(m, lambda x, j: case when done[j] < x and done[j] * h // x <= t then ((done[j] + 1) * h + x - 1) // x * 100000 + j end), lambda x: x is not null))[1] % 100000 pick
+    from sim join kinds using (start_p) where t < h)),
+slots as (select start_p, t - 1 slot, pick, row_number() over (partition by start_p, pick order by t) - 1 j from sim where t > 0),
+b as (select d.*, r // 64 block, s.i, s.k, (r // 64) // s.k p, (r // 64) % s.k j from d join s using (source)),
+q as (select b.*, (select max(start_p) from kinds where start_p <= b.p and h > 0) start_p from b)
+select doc_id, source, cast(block as bigint) block, cast(base + (p - q.start_p) * h + slot as bigint) slot, cast(base + (p - q.start_p) * h + q.j * h // m[i] as bigint) release,
+  cast(base + (p - q.start_p) * h + ((q.j + 1) * h + m[i] - 1) // m[i] as bigint) deadline, cast(r % 64 as bigint) in_block
+from q join kinds using (start_p) join slots on slots.start_p = q.start_p and slots.pick = q.i and slots.j = q.j""",
+    "op3_chat_preferences": r"""
+with t as (select distinct conv_id, turn, coalesce(role, 'user') role, coalesce(text, '') text from conversations where conv_id is not null),
+l as (select conv_id, list({'r': role, 't': text} order by turn nulls first, role, text) x from t group by conv_id),
+p as (select cast(floor(conv_id / 2) as bigint) pair_id, min(case when conv_id % 2 = 0 then conv_id end) chosen_id, min(case when conv_id % 2 <> 0 then conv_id end) rejected_id from l group by 1),
+j as (select pair_id, chosen_id, rejected_id, coalesce(a.x, []) a, coalesce(b.x, []) b from p left join l a on a.conv_id = chosen_id left join l b on b.conv_id = rejected_id),
+n as (select *, coalesce((select min(i) - 1 from range(1, least(len(a), len(b)) + 1) r(i) where a[i] <> b[i]), least(len(a), len(b))) n from j),
+f as (select unnest([1, 2, 3]) part),
+e as (select pair_id, part, unnest(range(1, len(y) + 1)) i, y from (select pair_id, part, case part when 1 then a[1:n] when 2 then a[n + 1:] else b[n + 1:] end y from n, f)),
+s as (select pair_id, part, i, y[i].r r, '<|im_start|>' || y[i].r || chr(10) h, y[i].t || '<|im_end|>' || chr(10) t from e),
+o as (select pair_id, part, string_agg(h || t, '' order by i) txt, string_agg(case when r = 'assistant' then (a + length(h)) || '-' || (a + length(h) + length(t)) end, ',' order by i) mask
+  from (select *, coalesce(sum(length(h) + length(t)) over (partition by pair_id, part order by i rows between unbounded preceding and 1 preceding), 0) a from s) group by pair_id, part)
+select pair_id, chosen_id, rejected_id, cast(n as integer) n_common, coalesce(x.txt, '') prompt, case when chosen_id is not null then coalesce(y.txt, '') end chosen, case when chosen_id is not null then coalesce(y.mask, '') end chosen_mask,
+  case when rejected_id is not null then coalesce(z.txt, '') end rejected, case when rejected_id is not null then coalesce(z.mask, '') end rejected_mask
+from n left join (from o where part = 1) x using (pair_id) left join (from o where part = 2) y using (pair_id) left join (from o where part = 3) z using (pair_id)""",
+    "op4_line_dedup": r"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') text, string_split(text, chr(10)) l from documents),
+e as (select rid, doc_id, p - 1 p, l[p] x from (select rid, doc_id, l, unnest(range(1, len(l) + 1)) p from d) where regexp_matches(l[p], '[^\x20\x09-\x0D]')),
+w as (select rid, doc_id, p, x, lead(p) over o q, lead(x) over o y from e window o as (partition by rid order by p)),
+f as (select *, row_number() over (partition by x, y order by doc_id, rid, p) k from w where q is not null),
+gone as (select distinct rid, unnest([p, q]) p from f where k > 1),
+kept as (select rid, string_agg(x, chr(10) order by p) t from (select rid, p - 1 p, l[p] x from (select rid, l, unnest(range(1, len(l) + 1)) p from d)) anti join gone using (rid, p) group by rid),
+g as (select rid, count(*) n from gone group by rid)
+select doc_id, cast(coalesce(len(l), 0) as bigint) n_lines, cast(coalesce(n, 0) as bigint) n_deleted, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (rid) left join g using (rid)""",
     "op8_lm_scoring": r"""
 with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
 t as (select rid, i, w[i] x, case when i > 1 then w[i - 1] end p from (select rid, w, unnest(range(1, len(w) + 1)) i from d)),
