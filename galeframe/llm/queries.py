@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import chat, decontaminate, jaccard, lines, lm, mixing, quality, substrings, urls
+from galeframe.llm import chat, decontaminate, extract, jaccard, lines, lm, mixing, quality, substrings, urls
 from galeframe.llm.common import read
 
 
@@ -45,6 +45,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "set_id", "class_id", "n_links")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages"), extract.train_model())
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score(read(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "n_pair_hits", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_html_extraction": op7_html_extraction,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
