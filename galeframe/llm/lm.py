@@ -40,22 +40,39 @@ class _Batch:
         self.pairs, self.pair, self.pair_count = np.unique(pairs, return_inverse=True, return_counts=True)
 
 
+def _small(c: np.ndarray) -> bytes:
+    """Counts as one byte each; those of 255 and more follow in full."""
+    big = c >= 255
+    return np.int64(len(c)).tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() + c[big].astype(np.int64).tobytes()
+
+
+def _large(buffer, at: int = 0) -> np.ndarray:
+    """The counts that _small() wrote at the end of a buffer."""
+    n = int(np.frombuffer(buffer, np.int64, 1, at)[0])
+    c = np.frombuffer(buffer, np.uint8, n, at + 8).astype(np.int64)
+    big = c == 255
+    c[big] = np.frombuffer(buffer, np.int64, int(big.sum()), at + 8 + n)
+    return c
+
+
 def _packed(keys: np.ndarray, times: np.ndarray):
-    """Keys, and counts that are not 1 with their places."""
+    """Sorted keys as steps of as few bytes as the largest needs, and their counts."""
 
     def pack(a: int, b: int) -> bytes:
-        many = np.flatnonzero(times[a:b] > 1)
-        return np.array([b - a, len(many)], np.int64).tobytes() + keys[a:b].tobytes() + many.astype(np.int32).tobytes() + times[a:b][many].astype(np.int64).tobytes()
+        step = np.diff(keys[a:b])
+        width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+        return np.array([b - a, width], np.int64).tobytes() + keys[a : a + 1].tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + _small(times[a:b])
 
     return pack
 
 
 def _unpacked(buffer) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(buffer, np.int64, 2)
-    keys = np.frombuffer(buffer, U64, n, 16)
-    times = np.ones(n, np.int64)
-    times[np.frombuffer(buffer, np.int32, m, 16 + 8 * n)] = np.frombuffer(buffer, np.int64, m, 16 + 8 * n + 4 * m)
-    return keys, times
+    n, width = (int(x) for x in np.frombuffer(buffer, np.int64, 2))
+    step = np.zeros((n, 8), np.uint8)
+    step[1:, :width] = np.frombuffer(buffer, np.uint8, (n - 1) * width, 24).reshape(-1, width)
+    keys = step.view("<u8").ravel()
+    keys[0] = np.frombuffer(buffer, U64, 1, 16)[0]
+    return np.cumsum(keys, dtype=U64), _large(buffer, 24 + (n - 1) * width)
 
 
 def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
@@ -72,22 +89,14 @@ def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id_col: str
         parts = [_unpacked(p) for p in payloads]
         keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
         total = np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-        total = total.astype(np.int32) if total.max() < 2**31 else total
         out, at = [], 0
         for k, _ in parts:
-            got = total[where[at : at + len(k)]]
-            many = np.flatnonzero(got > 1)
-            out.append(np.array([len(k), len(many)], np.int64).tobytes() + many.astype(np.int32).tobytes() + got[many].astype(np.int64).tobytes())
+            out.append(_small(total[where[at : at + len(k)]]))
             at += len(k)
         return out
 
     def unpack(answers: dict, which: int) -> np.ndarray:
-        out = []
-        for _, p in sorted(answers.get(which, {}).items()):
-            n, m = np.frombuffer(p, np.int64, 2)
-            c = np.ones(n, np.int64)
-            c[np.frombuffer(p, np.int32, m, 16)] = np.frombuffer(p, np.int64, m, 16 + 4 * m)
-            out.append(c)
+        out = [_large(p) for _, p in sorted(answers.get(which, {}).items())]
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def make_scores(total: int):
