@@ -128,16 +128,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     signed = work.write(base.mapInArrow(by_pieces(sign, "_text"), f"_id {kind}, _key long, n long, s1 long, s2 long, bands array<long>"))
     filled = signed.where("n > 0")
-    firsts = filled.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_key")).alias("first"))
+    # What is aggregated by a key is written before it is joined by it, so that the join can split a hot key over tasks.
+    firsts = work.write(filled.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_key")).alias("first")))
     sets = work.write(filled.select("s1", "s2", "n", F.struct("_id", "_key").alias("first"), "bands").join(firsts, ["s1", "s2", "first"]).dropDuplicates(["s1", "s2"]).withColumn("cid", F.monotonically_increasing_id()))
 
     banded = sets.select("cid", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("cid").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
-    groups = work.write(components(banded.join(buckets, "bucket").where("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b")), work))
+    groups = work.write(components(banded.join(work.write(buckets), "bucket").where("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b")), work))
 
     members = groups.join(sets.select(F.col("cid").alias("node"), "n", "first"), "node")
     cut = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SLOT_CLASSES), F.ceil(F.sum("n") / SLOT_GRAMS)).cast("int").alias("q"))
-    slotted = members.join(cut, "root").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    slotted = members.join(work.write(cut), "root").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
     load = slotted.agg(F.sum(F.col("n") * F.col("q"))).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + load // (1 << 19))
     texts = base.join(slotted.select("node", "root", "q", "slot", F.col("first._id").alias("_i"), F.col("first._key").alias("_key")), "_key").where(F.col("_id").eqNullSafe(F.col("_i"))).dropDuplicates(["node"])
@@ -172,7 +173,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     found = components(verified.select(F.col("node").alias("a"), F.col("low").alias("b")), work).withColumnRenamed("node", "cid")
     degree = verified.groupBy(F.col("node").alias("cid")).agg(F.sum("links").alias("n_links"))
     grouped = sets.select("cid", "s1", "s2", "first").join(found, "cid", "left").join(degree, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    classes = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("least")), "root").select("s1", "s2", "first", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = work.write(grouped.groupBy("root").agg(F.min("first").alias("least")))
+    classes = grouped.join(least, "root").select("s1", "s2", "first", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = signed.select("_id", "_key", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     # A text without words has no class: it stands alone.
     return placed.select(F.col("_id").alias(id_col), "_key", F.col("n").alias("n_shingles"), F.coalesce("first._id", "_id").alias("set_id"), F.coalesce("least._id", "_id").alias("class_id"), (F.col("least").isNull() | F.expr("least._key = _key and least._id <=> _id")).alias("keeper"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -183,8 +185,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
     key = row_key(id_col, text_col)
     kept = found.where("keeper").groupBy("_key", id_col).agg(F.count("*").alias("_copies"))
-    keep = kept.select(F.col("_key").alias("_keep_key"), F.col(id_col).alias("_keep_id"))
-    left = docs.join(keep, (key == F.col("_keep_key")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    keep = kept.select(F.col("_key").alias("__kept_key"), F.col(id_col).alias("__kept_id"))
+    left = docs.join(keep, (key == F.col("__kept_key")) & F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
     if kept.where("_copies > 1").isEmpty():
         return left
-    return left.withColumn("_key", key).dropDuplicates(["_key", id_col]).drop("_key")
+    return left.withColumn("__kept_key", key).dropDuplicates(["__kept_key", id_col]).drop("__kept_key")
