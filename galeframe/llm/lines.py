@@ -29,9 +29,11 @@ def repeated_lines(docs: DataFrame, work: Work, window: int = 2, id_col: str = "
     # The window's content, the fingerprint, and the lines that the window covers.
     windows = work.write(windows.select("_id", "_key", F.col("s")[0]["i"].alias("at"), F.col("s.i").alias("covers"), F.array_min("s.a").alias("print"), F.xxhash64("s.a").alias("c1"), F.xxhash64("s.b").alias("c2")))
     prints = windows.groupBy("print").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_key", "at")).alias("x")).where("n > 1").select("print")
-    near = windows.join(prints, "print", "left_semi")
+    # What is aggregated by a key is written before it is joined by it: else the join takes over its partitions, and a
+    # fingerprint that many documents hold can't be split over tasks.
+    near = windows.join(work.write(prints), "print", "left_semi")
     first = near.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_key", "at")).alias("first")).where("n > 1").drop("n")
-    later = near.join(first, ["c1", "c2"]).where(~F.struct("_id", "_key", "at").eqNullSafe(F.col("first")))
+    later = near.join(work.write(first), ["c1", "c2"]).where(~F.struct("_id", "_key", "at").eqNullSafe(F.col("first")))
     return later.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_set("covers"))).alias("gone"))
 
 
