@@ -17,6 +17,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galeframe.llm.store import Work
+
 #: (verdict, host, path) of the listed rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 BAD = "label=bad"
@@ -79,6 +81,7 @@ def judge(pages: DataFrame, mined: DataFrame, rules=RULES, id_col: str = "page_i
     asked = rows.where("_items is not null").select("_items").distinct()
     hits = asked.withColumn("key", F.explode("_items")).join(mined, "key").where(F.size(F.array_except("rule", "_items")) == 0)
     fits = hits.groupBy("_items").agg(F.max_by("rule", F.struct("confidence", "n", "rule")).alias("mined_rule"))
-    out = rows.join(fits, "_items", "left")
+    # Written, so that the join deals both sides anew and can split the rows of a common host over tasks.
+    out = rows.join(Work(pages.sparkSession).write(fits), "_items", "left")
     verdict = F.coalesce("_listed.verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
     return out.select(id_col, "host", "path", F.col("_listed.rule").alias("rule"), verdict.alias("verdict"), F.array_join("mined_rule", " ").alias("mined_rule"))
