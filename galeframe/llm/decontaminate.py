@@ -208,9 +208,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             return batch.filter(pa.array(~((hit > 0) & (20 * hit >= n))))
 
         return docs.mapInArrow(by_pieces(run, text_col), docs.schema)
-    tagged = docs.withColumn("_row", row_key(text_col, text_col))
-    bad = contamination(docs.select(F.xxhash64(text_col, text_col).alias("_row"), text_col), benchmark, "_row", text_col, item_col, window, chunk_bytes).where("contaminated").select("_row").distinct()
-    return tagged.join(bad, "_row", "left_anti").select(*docs.columns)
+    tagged = docs.withColumn("__row", row_key(text_col, text_col))
+    bad = contamination(docs.select(F.xxhash64(text_col, text_col).alias("__row"), text_col), benchmark, "__row", text_col, item_col, window, chunk_bytes).where("contaminated").select("__row").distinct()
+    return tagged.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 def items_sha256(items) -> str:

@@ -110,7 +110,7 @@ def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id_col: str
             hit = pair >= min_count
             s[later] = np.where(hit, np.log(pair / word[later - 1]), np.log(backoff) + s[later])
             hits = counts(b.of[later[hit]], len(b.n))
-            sums = np.bincount(b.of, s, len(b.n))
+            sums = np.bincount(b.of, s, len(b.n)).astype(float)
             none = b.n == 0
             return pa.table({id_col: t.column("_id"), "n_words": pa.array(b.n, pa.int64()), "n_pair_hits": pa.array(hits, pa.int64()), "log_score": pa.array(sums, mask=none), "mean_log_score": pa.array(sums / np.maximum(b.n, 1), mask=none)})
 
