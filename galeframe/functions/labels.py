@@ -98,3 +98,16 @@ def site_height(site: Column, height: Column) -> Column:
 def header(json: Column, schema: str) -> Column:
     """The struct of a '# {...}' header line."""
     return F.from_json(F.regexp_replace(json, r"^#\s*", ""), schema)
+
+
+def dataset_spec(spec: str) -> tuple[str, str, str]:
+    """column, label and colour of 'column:label:#colour'."""
+    parts = [p.strip() for p in spec.split(":")]
+    if len(parts) != 3 or not all(parts):
+        raise ValueError(f"not column:label:#colour: {spec!r}")
+    return parts[0], parts[1], parts[2]
+
+
+def processed_at() -> Column:
+    """Time of processing, ISO 8601 in UTC; leave it out of comparisons."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -87,3 +87,17 @@ def whole_cdf(long: DataFrame, values: list[str], numbers: list[int] | None = No
 
     w = Window.partitionBy("station_id", "height_m")
     return long.withColumns({f"{v}_q{q:02d}": F.max(F.when(F.col("qnum") == q, F.col(v))).over(w) for v in values for q in (numbers or [50, 90])})
+
+
+def wide_means(wide: DataFrame) -> DataFrame:
+    """station_id, name, lat, lon, height_m and mean_ws (trapezoid over neighbouring quantiles that are there) of a wide table."""
+    from galeframe.operators.schema import aliased, quantile_columns
+
+    q = quantile_columns(wide)
+    w = aliased(wide, ["station_id", "lat", "lon"], ["name", "height_m"])
+    return w.select(F.col("station_id").cast("string").alias("station_id"), "name", cdf.number(F.col("lat")).alias("lat"), cdf.number(F.col("lon")).alias("lon"), cdf.number(F.col("height_m")).alias("height_m"), cdf.mean_adjacent(F.array(*[cdf.number(F.col(c)) for c in q])).alias("mean_ws"))
+
+
+def gwa_distinct(rows: DataFrame, places: DataFrame, levels: list[str]) -> DataFrame:
+    """Atlas levels of the distinct places joined back to all rows, and the fitted speed at each row's height."""
+    return gwa_fitted(at_places(rows, places, levels))

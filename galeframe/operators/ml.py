@@ -47,33 +47,111 @@ def folds(long: DataFrame, excluded: DataFrame, stations: DataFrame) -> DataFram
     return train.unionByName(test)
 
 
-def leave_one_out(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, target: str = "observation", least_rows: int = 20, balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None) -> DataFrame:
+def _boosted(train, test, names, monotone, target, o) -> np.ndarray:
+    return boosting.fit(train[names].to_numpy(float), train[target].to_numpy(float), monotone, **(PARAMETERS | o)).predict(test[names].to_numpy(float))
+
+
+def _hybrid(train, test, names, monotone, target, o, cutoff: int = 95, floor: float = 1e-3) -> np.ndarray:
+    """The base model, and from the cutoff on a model of the target's logarithm."""
+    cutoff, o = o.get("cutoff", cutoff), {k: v for k, v in o.items() if k != "cutoff"}
+    out, tail = _boosted(train, test, names, monotone, target, o), train[train.qnum >= cutoff]
+    high = (test.qnum >= cutoff).to_numpy()
+    if len(tail) >= 20 and high.any():
+        out[high] = np.exp(_boosted(tail.assign(**{target: np.log(np.maximum(tail[target], floor))}), test[high], names, monotone, target, o))
+    return out
+
+
+def _wide(train, test, names, monotone, target, o) -> np.ndarray:
+    """A model for each quantile, and then the running maximum."""
+    feats = [(n, m) for n, m in zip(names, monotone, strict=True) if n != "qnum"]
+    out = pd.Series(np.nan, index=test.index)
+    for q, part in test.groupby("qnum"):
+        own = train[train.qnum == q]
+        if len(own):
+            out[part.index] = _boosted(own, part, [n for n, _ in feats], [m for _, m in feats], target, o)
+    return out.groupby(test.height_m).cummax().to_numpy()
+
+
+def _perceptron(train, test, names, monotone, target, o) -> np.ndarray:
+    return network_scores(fit_network(train[names].to_numpy(float), train[target].to_numpy(float), **o), test[names].to_numpy(float))
+
+
+def _profiles(part: pd.DataFrame, names: list[str], target: str) -> tuple[np.ndarray, np.ndarray, list]:
+    """(profiles, channels, points) of the wind columns, targets, and the rows of each profile; only profiles with all of the points."""
+    channels = [n for n in names if n != "qnum"]
+    most = part.groupby(["station_id", "height_m"]).size().max()
+    kept = [g for _, g in part.groupby(["station_id", "height_m"], sort=True) if len(g) == most]
+    return np.stack([g[channels].to_numpy(float).T for g in kept]), np.stack([g[target].to_numpy(float) for g in kept]), [g.index for g in kept]
+
+
+def fit_convolution(x: np.ndarray, y: np.ndarray, hidden: int = 8, width: int = 5, steps: int = 300, rate: float = 0.01, seed: int = 0) -> dict:
+    """Profiles to profiles: a convolution along the quantiles, tanh, a linear layer to one softplus step for each quantile, and their running sum, so that profiles rise."""
+    n, c, p = x.shape
+    rng = np.random.default_rng(seed)
+    mean, sd = x.mean(axis=(0, 2), keepdims=True), np.maximum(x.std(axis=(0, 2), keepdims=True), 1e-8)
+    m = {"mean": mean, "sd": sd, "width": width, "k": rng.normal(0, 1 / math.sqrt(c * width), (c * width, hidden)), "kb": np.zeros(hidden), "w": rng.normal(0, 0.1, hidden), "wb": np.log(np.expm1(np.maximum(np.diff(y.mean(axis=0), prepend=y.mean(axis=0)[0] - 1e-3), 1e-3))), "base": np.array(y[:, 0].mean()), "slope": np.zeros(c)}
+
+    def gradient(m: dict) -> dict:
+        patches, a, z, out = _convolved(m, x)
+        e = (out - y) / y.size
+        steps_back = np.cumsum(e[:, ::-1], axis=1)[:, ::-1] / (1 + np.exp(-z))
+        d = steps_back[:, :, None] * m["w"] * (1 - a * a)
+        return {"w": np.einsum("np,nph->h", steps_back, a), "wb": steps_back.sum(axis=0), "k": np.einsum("npc,nph->ch", patches, d), "kb": d.sum(axis=(0, 1)), "base": np.array(e.sum()), "slope": np.einsum("n,nc->c", e.sum(axis=1), ((x - m["mean"]) / m["sd"]).mean(axis=2))}
+
+    return adam(m, gradient, steps, rate)
+
+
+def _convolved(m: dict, x: np.ndarray) -> tuple:
+    z0 = (x - m["mean"]) / m["sd"]
+    padded = np.pad(z0, ((0, 0), (0, 0), (m["width"] // 2, m["width"] // 2)), mode="edge")
+    patches = np.lib.stride_tricks.sliding_window_view(padded, m["width"], axis=2).transpose(0, 2, 1, 3).reshape(len(x), x.shape[2], -1)
+    a = np.tanh(patches @ m["k"] + m["kb"])
+    z = a @ m["w"] + m["wb"]
+    return patches, a, z, np.cumsum(np.logaddexp(0, z), axis=1) + m["base"] + (z0.mean(axis=2) @ m["slope"])[:, None]
+
+
+def _convolution(train, test, names, monotone, target, o) -> np.ndarray:
+    x, y, _ = _profiles(train, names, target)
+    xt, _, rows = _profiles(test.assign(**{target: test[target].fillna(0)}), names, target)
+    out = pd.Series(np.nan, index=test.index)
+    if xt.shape[2] == x.shape[2]:
+        for r, v in zip(rows, _convolved(fit_convolution(x, y, **o), xt)[3], strict=True):
+            out[r] = v
+    return out.to_numpy()
+
+
+#: How a fold is fitted and scored.
+METHODS = {"boosting": _boosted, "hybrid": _hybrid, "wide": _wide, "network": _perceptron, "convolution": _convolution}
+
+
+def leave_one_out(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, target: str = "observation", least_rows: int = 20, balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, method: str = "boosting") -> DataFrame:
     """(station_id, height_m, qnum, observed, predicted) for the rows of each fold's station. Folds run side by side, one task each; below least_rows the prediction is NULL.
 
-    Within a fold cohorts are balanced by a hash order, seeded by the fold.
+    Within a fold cohorts are balanced by whole profiles in an order seeded by the fold.
     """
-    settings = PARAMETERS | (parameters or {})
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
+    fit, o = METHODS[method], parameters or {}
     stations = excluded.select(F.col("fold").alias("station_id")).distinct()
     keep = ["station_id", "height_m", "qnum", *[n for n in names if n != "qnum"], target, "observation_type"]
     rows = folds(long.select(*dict.fromkeys(keep)), excluded, stations).withColumn("seed", labels.fold_seed(seed, F.col("fold")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        train, test = part[part.role == "train"], part[part.role == "test"].sort_values(["height_m", "qnum"])
+        train, test = part[part.role == "train"], part[part.role == "test"].sort_values(["height_m", "qnum"]).reset_index(drop=True)
         train = train[np.isfinite(train[[*names, target]].to_numpy(float)).all(axis=1)].sort_values(["station_id", "height_m", "qnum"])
         out = pd.DataFrame({"station_id": test.station_id, "height_m": test.height_m.astype(float), "qnum": test.qnum.astype(int), "observed": test[target].astype(float), "predicted": np.nan})
         if balance and len(train):
-            gs = (train.observation_type == "GS").to_numpy()
-            rng, n = np.random.default_rng(int(part.seed.iloc[0])), min(gs.sum(), (~gs).sum())
+            profile = train[["station_id", "height_m", "observation_type"]].drop_duplicates()
+            gs, rng = (profile.observation_type == "GS").to_numpy(), np.random.default_rng(int(part.seed.iloc[0]))
+            n = min(gs.sum(), (~gs).sum())
             if n:
                 pick = np.concatenate([rng.permutation(np.flatnonzero(gs))[:n], rng.permutation(np.flatnonzero(~gs))[:n]])
-                train = train.iloc[np.sort(pick)]
-        if len(train) >= least_rows and len(test):
-            model = boosting.fit(train[names].to_numpy(float), train[target].to_numpy(float), monotone, **settings)
-            x = test[names].to_numpy(float)
-            ok = np.isfinite(x).all(axis=1)
+                train = train.merge(profile.iloc[pick], on=["station_id", "height_m", "observation_type"]).sort_values(["station_id", "height_m", "qnum"])
+        train = train.reset_index(drop=True)
+        ok = np.isfinite(test[names].to_numpy(float)).all(axis=1)
+        if len(train) >= least_rows and ok.any():
             got = np.full(len(test), np.nan)
-            if ok.any():
-                got[ok] = model.predict(x[ok])
+            got[ok] = fit(train, test[ok].reset_index(drop=True), names, monotone, target, o)
             out["predicted"] = got
         return out
 
@@ -145,33 +223,49 @@ def hybrid_predictions(df: DataFrame, base: boosting.Boosted, tail: boosting.Boo
     return scored.withColumn("pred_observation", F.when(F.col("qnum") >= cutoff, F.exp("_tail")).otherwise(F.col("_base"))).drop("_base", "_tail")
 
 
-def network(long: DataFrame, names: list[str], target: str = "observation", hidden: int = 32, steps: int = 400, rate: float = 0.01, seed: int = 0, max_rows: int = MAX_TRAIN_ROWS) -> dict:
-    """A two-layer perceptron on standardised features, trained on bounded rows; predict with network_predictions()."""
-    rows = long.where(F.col(target).isNotNull()).select(*names, target)
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(*names), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    got = rows.toPandas().sort_values([*names, target])
-    x, y = got[names].to_numpy(float), got[target].to_numpy(float)
+def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 400, rate: float = 0.01, seed: int = 0) -> dict:
+    """A two-layer perceptron on standardised features, missing ones 0, trained by Adam."""
     mean, sd = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
     sd = np.where(sd < 1e-8, 1.0, sd)
     rng = np.random.default_rng(seed)
-    m = {"mean": mean, "sd": sd, "w1": rng.normal(0, 1 / math.sqrt(len(names)), (len(names), hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 1 / math.sqrt(hidden), hidden), "b2": np.array(y.mean())}
+    m = {"mean": mean, "sd": sd, "w1": rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 1 / math.sqrt(hidden), hidden), "b2": np.array(y.mean())}
     z = np.nan_to_num((x - mean) / sd)
-    keys = ["w1", "b1", "w2", "b2"]
-    first, second = {k: np.zeros_like(m[k]) for k in keys}, {k: np.zeros_like(m[k]) for k in keys}
-    for step in range(1, steps + 1):
+
+    def gradient(m: dict) -> dict:
         a = np.tanh(z @ m["w1"] + m["b1"])
         e = (a @ m["w2"] + m["b2"] - y) / len(y)
         d = np.outer(e, m["w2"]) * (1 - a * a)
-        grad = {"w1": z.T @ d, "b1": d.sum(axis=0), "w2": a.T @ e, "b2": np.array(e.sum())}
-        for k in keys:
-            first[k] = 0.9 * first[k] + 0.1 * grad[k]
-            second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
+        return {"w1": z.T @ d, "b1": d.sum(axis=0), "w2": a.T @ e, "b2": np.array(e.sum())}
+
+    return adam(m, gradient, steps, rate)
+
+
+def adam(m: dict, gradient, steps: int, rate: float) -> dict:
+    """m after so many steps; gradient(m) tells which of its entries are trained."""
+    first: dict = {}
+    second: dict = {}
+    for step in range(1, steps + 1):
+        for k, g in gradient(m).items():
+            first[k] = 0.9 * first.get(k, 0) + 0.1 * g
+            second[k] = 0.999 * second.get(k, 0) + 0.001 * g**2
             m[k] = m[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return m
 
 
+def network_scores(m: dict, x: np.ndarray) -> np.ndarray:
+    return np.tanh(np.nan_to_num((x - m["mean"]) / m["sd"]) @ m["w1"] + m["b1"]) @ m["w2"] + m["b2"]
+
+
+def network(long: DataFrame, names: list[str], target: str = "observation", max_rows: int = MAX_TRAIN_ROWS, **settings) -> dict:
+    """The perceptron, trained on bounded rows; predict with network_predictions()."""
+    rows = long.where(F.col(target).isNotNull()).select(*names, target)
+    total = rows.count()
+    if total > max_rows:
+        rows = rows.where(F.pmod(F.xxhash64(*names), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+    got = rows.toPandas().sort_values([*names, target])
+    return fit_network(got[names].to_numpy(float), got[target].to_numpy(float), **settings)
+
+
 def network_predictions(df: DataFrame, model: dict, names: list[str], name: str = "pred_observation") -> DataFrame:
     """The perceptron as a Column expression: no Python while scoring."""
     z = [F.coalesce((F.col(n).cast("double") - float(model["mean"][i])) / float(model["sd"][i]), F.lit(0.0)) for i, n in enumerate(names)]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.operators import metrics, ml, reshape
-from galeframe.plans.base import LONG, long_table, r, rounded
 from galeframe.functions import labels
+from galeframe.operators import experiments, metrics, ml, reshape
+from galeframe.plans.base import LONG, long_table, r, rounded
 
 QUICK = {"trees": 20, "depth": 3}
 
@@ -74,11 +74,28 @@ def q89_experiment_change(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.change(metrics.pooled_and_mean(t, "station_id", ["era5", "wtk"]), "era5", "station_rmse").select("dataset", "station_rmse", "change_pct"))
 
 
+def q90_experiments(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid, wide, perceptron and convolution runs against the baseline."""
+    t = _training(spark, d).where("station_id in ('S0', 'S2', 'S6', 'S10', 'S1', 'S3', 'S5', 'S7', 'S9')")
+    ex = ml.neighbour_map(t.where("station_id <> 'S10'"))
+    small = {"network": {"steps": 100}, "convolution": {"steps": 100}}
+    runs = {k: experiments.run(k, t, ["era5", "wtk"], ex, small.get(k, QUICK)) for k in ("baseline", "hybrid", "wide", "network", "convolution")}
+    return experiments.report(runs, "baseline")
+
+
+def q91_sweep_report(spark: SparkSession, d: str) -> DataFrame:
+    """Changes by feature over a made-up manifest of all subsets of three features."""
+    sets = metrics.subsets(spark.range(1).select(F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("f")), F.col("f")).unionByName(spark.range(1).select(F.array().cast("array<string>").alias("f"), F.lit(0).alias("mask"), F.array().cast("array<string>").alias("subset")))
+    runs = sets.select("subset", (F.lit(2.0) - F.col("mask") * F.col("mask") / 70.0).alias("rmse"))
+    return rounded(experiments.sweep_report(runs, "subset"))
+
+
 QUERIES = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 _T = f"with {LONG}, t as (select *, cast(substr(station_id, 2) as int) n from lng where qnum % 10 = 0), ex as (select distinct station_id fold, station_id from t where typ = 'GS' union select distinct station_id, 'S' || (n + 2) from t where typ = 'GS' and n % 4 = 0)"
 
 ORACLES = {
+    "q91_sweep_report": f"with m as (select unnest(range(0, 8)) m), b as (select unnest([1, 2, 4]) b, unnest(['a', 'b', 'c']) feature), p as (select feature, (2.0 - pow(m + b, 2) / 70.0) - (2.0 - pow(m, 2) / 70.0) c from m, b where m & b = 0) select feature, {r('avg(c)')} mean, {r('avg(c) - 1.96 * stddev_samp(c) / sqrt(count(*))')} low, {r('avg(c) + 1.96 * stddev_samp(c) / sqrt(count(*))')} high, cast(count(*) as bigint) n from p group by 1",
     "q85_neighbour_map": f"{_T} select fold, station_id from ex",
     "q86_folds": f"{_T} select fold, 'train' as role, cast(count(*) as bigint) as n from t, (select distinct fold from ex) f where not exists (select 1 from ex where ex.fold = f.fold and ex.station_id = t.station_id) group by 1 union all select station_id, 'test', cast(count(*) as bigint) from t where typ = 'GS' group by 1",
     "q87_training_counts": f"{_T} select cast(count(*) as bigint) total, cast(count(observation) as bigint) with_target, cast(count(*) filter (where qnum <> 50) as bigint) with_features, cast(count(*) filter (where qnum <> 50 and typ = 'GS') as bigint) gs, cast(count(*) filter (where qnum <> 50 and typ <> 'GS') as bigint) asos from t",

@@ -170,3 +170,20 @@ def feature_table(spark: SparkSession, path: str) -> DataFrame:
         have = cdf.number(F.col(total)) if total in df.columns else F.lit(None).cast("double")
         df = df.withColumn(total, F.coalesce(have, cdf.number(F.col(mean)) * cdf.number(F.col("weight")) if {mean, "weight"} <= set(df.columns) else have))
     return df
+
+
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """grid_id, lat, lon; without ids, six-digit numbers in order of latitude (from the north) and longitude."""
+    from galeframe.operators.ordered import ranked
+    from galeframe.operators.schema import aliased
+
+    df = aliased(read_table(spark, path), ["lat", "lon"])
+    df = df.withColumns({c: cdf.number(F.col(c)) for c in ("lat", "lon")}).dropna(subset=["lat", "lon"])
+    if "grid_id" not in df.columns:
+        df = ranked(df, "lat", "lon", descending=True, name="_i").withColumn("grid_id", F.lpad((F.col("_i") - 1).cast("string"), 6, "0"))
+    return df.select(F.col("grid_id").cast("string").alias("grid_id"), "lat", "lon")
+
+
+def yearly_paths(folder: str, pattern: str, years: list[int]) -> list[str]:
+    """The pattern with each year for {year}."""
+    return [f"{folder.rstrip('/')}/{pattern.format(year=y)}" for y in years]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galeframe.functions.constants import QCOLS
-from galeframe.operators import assemble, boosting, grid, metrics, ml, observations, ordered, publish, qc, reshape, schema, spatial
+from galeframe.operators import assemble, boosting, experiments, grid, metrics, ml, observations, ordered, publish, qc, quantiles, reshape, schema, spatial
 
 NAN = float("nan")
 
@@ -121,6 +121,17 @@ def test_ranks_over_ranges_are_the_global_ranks(spark):
     assert [got[i] for i, _ in want] == list(range(1, 501))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 257])
+def test_ranked_quantiles_are_numpy_percentiles(spark, n):
+    rng = np.random.default_rng(n)
+    xs = {"a": rng.integers(0, 20, n).astype(float), "b": rng.normal(size=2 * n), None: np.full(3, 2.0)}
+    rows = [(k, float(x)) for k, v in xs.items() for x in v] + [("a", NAN), ("c", None)]
+    got = quantiles.ranked_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", parts=8).collect()
+    assert len(got) == 303
+    for k, v in xs.items():
+        assert [r["value"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["qnum"])] == pytest.approx(list(np.percentile(v, np.arange(101))), abs=1e-9)
+
+
 def test_runs_over_span_borders(spark):
     xs = [1, 2, 3, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 31, 32]
     got = sorted(tuple(r) for r in ordered.runs(spark.createDataFrame([(x,) for x in xs], "x long"), "x", span=4).collect())
@@ -268,3 +279,31 @@ def test_sweep_and_subsets(spark):
     t = long_rows(spark)
     runs = ml.sweep(t, [["era5"]], [], ml.neighbour_map(t), parameters={"trees": 5})
     assert runs[0]["label"] == "era5" and runs[0]["n"] == 63
+
+
+@pytest.mark.parametrize("name", ["baseline", "enriched", "cdf_context", "wide", "hybrid", "network", "convolution"])
+def test_experiments_beat_no_correction(spark, name):
+    t = long_rows(spark)
+    small = {"network": {"steps": 400}, "convolution": {"steps": 600, "rate": 0.02}}.get(name, {"trees": 40, "depth": 3})
+    if name in ("wide",):
+        small = {"trees": 10, "depth": 1, "least": 1}
+    got = experiments.run(name, t, ["era5"], ml.neighbour_map(t), small, balance=None).collect()
+    assert len(got) == 63 and all(r["predicted"] is not None for r in got)
+    assert math.sqrt(np.mean([(r["predicted"] - r["observed"]) ** 2 for r in got])) < 2.0
+    if name == "convolution":
+        by = sorted((r["station_id"], r["qnum"], r["predicted"]) for r in got)
+        assert all(a[2] <= b[2] + 1e-9 for a, b in zip(by, by[1:], strict=False) if a[0] == b[0])
+
+
+def test_experiment_names_and_reports(spark):
+    with pytest.raises(ValueError, match="experiment"):
+        experiments.prepared("x", long_rows(spark), ["era5"])
+    rows = [("s", 1.0, q, 1.0, 1.0 + e) for q, e in ((0, 0.5), (1, -0.5))]
+    df = lambda f: spark.createDataFrame([(s, h, q, o, o + (p - o) * f) for s, h, q, o, p in rows], "station_id string, height_m double, qnum int, observed double, predicted double")
+    got = {r["dataset"]: r["change_pct"] for r in experiments.report({"a": df(1.0), "b": df(2.0)}, "a").collect()}
+    assert got == {"pred_base": 0, "pred_b": pytest.approx(100)}
+
+
+def test_means_of_wide_tables(spark):
+    m = assemble.wide_means(wide(spark, [("a", 10.0, 1.0)]).withColumn("q050", F.lit(None).cast("double"))).first()
+    assert m["mean_ws"] == pytest.approx(4.9)

@@ -33,7 +33,7 @@ def test_entry_points(spark):
 
 
 def test_columns_are_pruned_and_filters_pushed(spark):
-    plan = distributions.q01_quantile_block(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<l_extendedprice:double,l_returnflag:string>" in plan
+    plan = distributions.q27_adjacent_equals(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in plan
     pushed = evaluation.q31_runs(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in pushed
