@@ -168,7 +168,7 @@ def q65_shear(spark: SparkSession, d: str) -> DataFrame:
 def q66_tile_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Weights, components, vertical interpolation and quantiles of a small synthetic grid."""
     li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 9).alias("gid"), F.col("l_orderkey").alias("t"), F.when(F.col("l_linenumber") % 2 == 0, 40).otherwise(60).alias("height_m"), F.col("l_quantity").alias("ws"), (F.col("l_partkey") % 360 * 1.0).alias("wd"))
-    series = li.groupBy("gid", "t", "height_m").agg(F.max("ws").alias("ws"), F.max("wd").alias("wd")).where("t % 20 = 0")
+    series = li.groupBy("gid", "t", "height_m").agg(F.max("ws").alias("ws"), F.max("wd").alias("wd"))
     w = spark.range(9).select(F.col("id").alias("gid"), (F.col("id") % 3).alias("point"), F.lit(1 / 3).alias("weight"))
     q = grid.tile_quantiles(grid.point_speeds(series, w, "point", "gid", "t", [50.0], WTK_HEIGHTS), "point")
     return rounded(q.select("point", "height_m", "n_hours", F.get("quantiles", F.lit(50)).alias("median")), 3)
@@ -190,7 +190,7 @@ def q69_site_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q70_whole_cdf(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(assemble.whole_cdf(long_table(spark, d), ["era5"]).where("qnum % 25 = 0").select("station_id", "height_m", "qnum", "era5", "era5_q50", "era5_q90"))
+    return rounded(assemble.whole_cdf(long_table(spark, d), ["era5"]).select("station_id", "height_m", "qnum", "era5", "era5_q50", "era5_q90"))
 
 
 def q71_arrays(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +283,7 @@ select c_custkey, {r('((lon + 180) % 360 + 360) % 360 - 180')} w180, {r('(lon %
     "q48_components": f"with c as (select l_returnflag, l_quantity s, radians(((270 - (l_partkey % 720 - 90)) % 360 + 360) % 360) th from lineitem) select l_returnflag, {r('avg(-s * sin(th))')} u, {r('avg(-s * cos(th))')} v, {r('avg(s)')} speed from c group by 1",
     "q50_first_rows": f"select o_custkey, o_orderkey, {r('o_totalprice')} o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc, o_totalprice desc) = 1",
     "q65_shear": f"with p as (select p_partkey, p_size % 7 * 1.0::double lo, p_size % 11 * 1.3::double hi from part), a as (select *, case when lo > 0 and hi > 0 then ln(lo / hi) / ln(0.1) else 1 / 7.0 end a from p) select p_partkey, {r('a')} alpha, {r('hi * pow(0.8, a)')} speed, {r('least(greatest(ln(greatest(hi, 1e-6) / greatest(lo, 1e-6)) / ln(10), -2), 2)')} clipped from a",
-    "q66_tile_pipeline": f"""with s as (select l_suppkey % 9 gid, l_orderkey t, case when l_linenumber % 2 = 0 then 40 else 60 end h, max(l_quantity) ws, max(l_partkey % 360) wd from lineitem where l_orderkey % 20 = 0 group by 1, 2, 3),
+    "q66_tile_pipeline": f"""with s as (select l_suppkey % 9 gid, l_orderkey t, case when l_linenumber % 2 = 0 then 40 else 60 end h, max(l_quantity) ws, max(l_partkey % 360) wd from lineitem group by 1, 2, 3),
 u as (select gid % 3 point, t, h, sum(-ws * sin(radians(((270 - wd) % 360 + 360) % 360)) / 3) u, sum(-ws * cos(radians(((270 - wd) % 360 + 360) % 360)) / 3) v from s group by 1, 2, 3),
 w as (select point, t, max(case when h = 40 then sqrt(u * u + v * v) end) lo, max(case when h = 60 then sqrt(u * u + v * v) end) hi from u group by 1, 2),
 z as (select point, hi * pow(50 / 60.0, case when lo > 0 and hi > 0 then ln(lo / hi) / ln(40 / 60.0) else 1 / 7.0 end) sp from w)
@@ -292,7 +292,7 @@ select point, 50.0::double height_m, cast(count(sp) as bigint) n_hours, {r('medi
     "q68_bilinear": f"""with {POINTS}, c as (select id, lat, lon, floor(lat + 1e-9) a, floor(lon + 1e-9) b from points), f as (select id, a, b, greatest(lat - a, 0) fy, greatest(lon - b, 0) fx from c), k as (select id, a + i y, b + j x, (case when i = 0 then 1 - (case when fy < 1e-9 then 0 else fy end) else (case when fy < 1e-9 then 0 else fy end) end) * (case when j = 0 then 1 - (case when fx < 1e-9 then 0 else fx end) else (case when fx < 1e-9 then 0 else fx end) end) w from f, range(0, 2) ii(i), range(0, 2) jj(j))
 select id, {r('case when sum(case when y between 25 and 44 and x between -120 and -71 then w else 0 end) > 1 - 1e-9 then sum(w * (((y - 25) * 50 + x + 120)::bigint % 13)) end')} u from k where w > 0 group by 1""",
     "q69_site_means": f"with {LONG}, g as (select *, lag(observation) over w p, lag(qnum) over w s from lng where qnum % 7 <> 3 window w as (partition by station_id, height_m order by qnum)) select station_id, cast(height_m as bigint) height_m, {r('sum((observation + p) / 2 * (qnum - s)) / max(qnum)')} ws_avg from g group by 1, 2",
-    "q70_whole_cdf": f"with {LONG}, w as (select *, max(case when qnum = 50 then era5 end) over (partition by station_id, height_m) a, max(case when qnum = 90 then era5 end) over (partition by station_id, height_m) b from lng) select station_id, cast(height_m as bigint) height_m, cast(qnum as bigint) qnum, {r('era5')} era5, {r('a')} era5_q50, {r('b')} era5_q90 from w where qnum % 25 = 0",
+    "q70_whole_cdf": f"with {LONG}, w as (select *, max(case when qnum = 50 then era5 end) over (partition by station_id, height_m) a, max(case when qnum = 90 then era5 end) over (partition by station_id, height_m) b from lng) select station_id, cast(height_m as bigint) height_m, cast(qnum as bigint) qnum, {r('era5')} era5, {r('a')} era5_q50, {r('b')} era5_q90 from w",
     "q71_arrays": f"with {LONG} select station_id, cast(height_m as bigint) height_m, cast(qnum as bigint) qnum, {r('era5')} era5, {r('wtk')} wtk from lng",
     "q72_filled": f"select c_custkey, {r('case when c_custkey % 3 = 1 then c_acctbal else 0 end')} v, case when c_custkey % 2 = 0 then '0' else 'x' end s from customer",
     "q73_difference_map": f"with {SAMPLES}, g as (select station_id, height_m, flag, quantile_cont(speed, {P101}) a from smp where flag in ('A', 'N') group by all), m as (select station_id, height_m, flag, (list_sum(a) - (a[1] + a[101]) / 2) / 100 m from g) select {r('substr(station_id, 2)::int + 25')} lat_r, cast(height_m as bigint) height_m, {r('max(case when flag = $A$ then m end) - max(case when flag = $N$ then m end)', 3)} diff from m group by 1, 2".replace("$", "'"),

@@ -49,8 +49,7 @@ def q10_unpivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q11_pivot(spark: SparkSession, d: str) -> DataFrame:
-    long = long_table(spark, d).where("qnum % 10 = 0").withColumn("qnum", (F.col("qnum") / 10).cast("int"))
-    return rounded(reshape.to_wide(long, ["station_id", "height_m"], "era5", numbers=range(11)))
+    return rounded(reshape.to_wide(long_table(spark, d), ["station_id", "height_m"], "era5"))
 
 
 def q12_prepare_inference(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +118,7 @@ ORACLES = {
     "q04_mean_normalised": f"{_B}, l as (select *, lag(v) over w p, lag(q) over w s from gap window w as (partition by station_id, height_m order by q)) select station_id, cast(height_m as bigint) height_m, {r('sum((v + p) / 2 * (q - s)) / max(q)')} mean_ws from l group by 1, 2",
     "q05_mean_adjacent": f"{_B}, l as (select *, lag(v) over w p, lag(q) over w s from gap window w as (partition by station_id, height_m order by q)) select station_id, cast(height_m as bigint) height_m, {r('sum(case when q - s = 1 then (v + p) / 2 end) * 0.01')} mean_ws from l group by 1, 2",
     "q10_unpivot": f"{_B} select station_id, {r('height_m')} height_m, cast(q as bigint) qnum, {r('v')} \"value\" from u",
-    "q11_pivot": f"with {LONG} select station_id, cast(height_m as bigint) height_m, " + ", ".join(f"{r(f'max(case when qnum = {10 * i} then era5 end)')} q{i:03d}" for i in range(11)) + " from lng group by 1, 2",
+    "q11_pivot": f"with {LONG} select station_id, cast(height_m as bigint) height_m, " + ", ".join(f"{r(f'max(case when qnum = {i} then era5 end)')} q{i:03d}" for i in range(101)) + " from lng group by 1, 2",
     "q12_prepare_inference": f"""with s as (select l_suppkey % 5 + 30.0 lat, l_suppkey % 4 - 100.0 lon, l_linenumber * 10.0 height_m, l_suppkey % 5 * 10.0 elevation_m, l_returnflag f, month(l_shipdate) % 2 part, l_extendedprice / 4997.3 v from lineitem),
 g as (select lat, lon, height_m, elevation_m, f, quantile_cont(v, [0.0, 0.5, 1.0]) a from s group by lat, lon, height_m, elevation_m, f, part),
 u as (select lat, lon, height_m, elevation_m, f, unnest(a) v, unnest([0, 50, 100]) qnum from g)

@@ -122,9 +122,10 @@ def q60_top_and_bottom(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q61_compared(spark: SparkSession, d: str) -> DataFrame:
+    """An experiment that has the gold-standard stations only, against a baseline of all."""
     t = long_table(spark, d)
     base = t.select("station_id", "height_m", "qnum", "observation", F.col("era5").alias("pred_observation"))
-    exp = t.where("station_id in ('S2', 'S4', 'S6')").select("station_id", "height_m", "qnum", F.col("wtk").alias("pred_observation"))
+    exp = t.where("observation_type = 'GoldStandard'").select("station_id", "height_m", "qnum", F.col("wtk").alias("pred_observation"))
     return rounded(metrics.metrics_by(metrics.compared(base, {"x": exp}, ["station_id", "height_m", "qnum"]), ["station_id"], ["pred_base", "pred_x"]))
 
 
@@ -165,5 +166,5 @@ u as (select f, m, unnest(f) feature from t) select u.feature, array_to_string(t
     "q58_bias_trim": f"{_SITE}, q as (select quantile_cont(bias, 0.1) lo, quantile_cont(bias, 0.9) hi from bi where dataset = 'era5') select station_id || '_' || height_m as key from bi, q where dataset = 'era5' and abs(bias) <= greatest(abs(lo), abs(hi))",
     "q59_hybrid": f"{_L}, e as (select station_id, case when qnum >= 95 then wtk else era5 end - observation error from lng) select station_id, 'pred_hybrid' dataset, {_AGG} from e group by 1",
     "q60_top_and_bottom": f"{_ERR}, m as (select station_id, sqrt(avg(error * error)) rmse from e where dataset = 'era5' group by 1) (select station_id, {r('rmse')} rmse, 'low' as \"end\" from m order by m.rmse, station_id limit 5) union all (select station_id, {r('rmse')}, 'high' from m order by m.rmse desc, station_id limit 5)",
-    "q61_compared": f"{_L}, e as (select station_id, 'pred_base' dataset, era5 - observation error from lng where station_id in ('S2', 'S4', 'S6') union all select station_id, 'pred_x', wtk - observation from lng where station_id in ('S2', 'S4', 'S6')) select station_id, dataset, {_AGG} from e group by 1, 2",
+    "q61_compared": f"{_L}, e as (select station_id, 'pred_base' dataset, era5 - observation error from lng where typ = 'GS' union all select station_id, 'pred_x', wtk - observation from lng where typ = 'GS') select station_id, dataset, {_AGG} from e group by 1, 2",
 }
