@@ -124,39 +124,57 @@ def _convolution(train, test, names, monotone, target, o) -> np.ndarray:
 METHODS = {"boosting": _boosted, "hybrid": _hybrid, "wide": _wide, "network": _perceptron, "convolution": _convolution}
 
 
-def leave_one_out(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, target: str = "observation", least_rows: int = 20, balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, method: str = "boosting") -> DataFrame:
+def _fold(train: pd.DataFrame, test: pd.DataFrame, seed: int, names: list[str], monotone: list[int], target: str, least_rows: int, balance: str | None, fit, o: dict) -> pd.DataFrame:
+    """Predictions of one fold's station. Cohorts are balanced by whole profiles, in an order seeded by the fold."""
+    test = test.sort_values(["height_m", "qnum"]).reset_index(drop=True)
+    train = train[np.isfinite(train[[*names, target]].to_numpy(float)).all(axis=1)].sort_values(["station_id", "height_m", "qnum"])
+    out = pd.DataFrame({"station_id": test.station_id, "height_m": test.height_m.astype(float), "qnum": test.qnum.astype(int), "observed": test[target].astype(float), "predicted": np.nan})
+    if balance and len(train):
+        profile = train[["station_id", "height_m", "observation_type"]].drop_duplicates()
+        gs, rng = (profile.observation_type == "GS").to_numpy(), np.random.default_rng(seed)
+        n = min(gs.sum(), (~gs).sum())
+        if n:
+            pick = np.concatenate([rng.permutation(np.flatnonzero(gs))[:n], rng.permutation(np.flatnonzero(~gs))[:n]])
+            train = train.merge(profile.iloc[pick], on=["station_id", "height_m", "observation_type"]).sort_values(["station_id", "height_m", "qnum"])
+    train = train.reset_index(drop=True)
+    ok = np.isfinite(test[names].to_numpy(float)).all(axis=1)
+    if len(train) >= least_rows and ok.any():
+        got = np.full(len(test), np.nan)
+        got[ok] = fit(train, test[ok].reset_index(drop=True), names, monotone, target, o)
+        out["predicted"] = got
+    return out
+
+
+def leave_one_out(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, target: str = "observation", least_rows: int = 20, balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, method: str = "boosting", max_broadcast_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """(station_id, height_m, qnum, observed, predicted) for the rows of each fold's station. Folds run side by side, one task each; below least_rows the prediction is NULL.
 
-    Within a fold cohorts are balanced by whole profiles in an order seeded by the fold.
+    Up to max_broadcast_rows the table is broadcast once and each fold takes its part of it; a larger table is dealt to
+    the folds by a shuffle instead.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
-    fit, o = METHODS[method], parameters or {}
-    stations = excluded.select(F.col("fold").alias("station_id")).distinct()
-    keep = ["station_id", "height_m", "qnum", *[n for n in names if n != "qnum"], target, "observation_type"]
-    rows = folds(long.select(*dict.fromkeys(keep)), excluded, stations).withColumn("seed", labels.fold_seed(seed, F.col("fold")))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        train, test = part[part.role == "train"], part[part.role == "test"].sort_values(["height_m", "qnum"]).reset_index(drop=True)
-        train = train[np.isfinite(train[[*names, target]].to_numpy(float)).all(axis=1)].sort_values(["station_id", "height_m", "qnum"])
-        out = pd.DataFrame({"station_id": test.station_id, "height_m": test.height_m.astype(float), "qnum": test.qnum.astype(int), "observed": test[target].astype(float), "predicted": np.nan})
-        if balance and len(train):
-            profile = train[["station_id", "height_m", "observation_type"]].drop_duplicates()
-            gs, rng = (profile.observation_type == "GS").to_numpy(), np.random.default_rng(int(part.seed.iloc[0]))
-            n = min(gs.sum(), (~gs).sum())
-            if n:
-                pick = np.concatenate([rng.permutation(np.flatnonzero(gs))[:n], rng.permutation(np.flatnonzero(~gs))[:n]])
-                train = train.merge(profile.iloc[pick], on=["station_id", "height_m", "observation_type"]).sort_values(["station_id", "height_m", "qnum"])
-        train = train.reset_index(drop=True)
-        ok = np.isfinite(test[names].to_numpy(float)).all(axis=1)
-        if len(train) >= least_rows and ok.any():
-            got = np.full(len(test), np.nan)
-            got[ok] = fit(train, test[ok].reset_index(drop=True), names, monotone, target, o)
-            out["predicted"] = got
-        return out
-
-    kind = long.schema["station_id"].dataType.simpleString()
-    return rows.groupBy("fold").applyInPandas(run, f"station_id {kind}, height_m double, qnum int, observed double, predicted double").withColumn("predicted", cdf.finite(F.col("predicted")))
+    fit, o, spark = METHODS[method], parameters or {}, long.sparkSession
+    keep = list(dict.fromkeys(["station_id", "height_m", "qnum", *[n for n in names if n != "qnum"], target, "observation_type"]))
+    rows = long.select(*keep)
+    schema = f"station_id {long.schema['station_id'].dataType.simpleString()}, height_m double, qnum int, observed double, predicted double"
+    settings = (names, monotone, target, least_rows, balance, fit, o)
+    if rows.count() <= max_broadcast_rows:
+        table = spark.sparkContext.broadcast(rows.toPandas())
+        tasks = excluded.groupBy("fold").agg(F.collect_set("station_id").alias("out")).withColumn("seed", labels.fold_seed(seed, F.col("fold")))
+
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            data, r = table.value, part.iloc[0]
+            return _fold(data[~data.station_id.isin(r["out"])], data[data.station_id == r["fold"]], int(r["seed"]), *settings)
+
+        done = tasks.groupBy("fold").applyInPandas(one, schema)
+    else:
+        stations = excluded.select(F.col("fold").alias("station_id")).distinct()
+
+        def dealt(part: pd.DataFrame) -> pd.DataFrame:
+            return _fold(part[part.role == "train"], part[part.role == "test"], int(part.seed.iloc[0]), *settings)
+
+        done = folds(rows, excluded, stations).withColumn("seed", labels.fold_seed(seed, F.col("fold"))).groupBy("fold").applyInPandas(dealt, schema)
+    return done.withColumn("predicted", cdf.finite(F.col("predicted")))
 
 
 def train(long: DataFrame, names: list[str], monotone: list[int], target: str = "observation", balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, max_rows: int = MAX_TRAIN_ROWS) -> boosting.Boosted:

@@ -259,6 +259,8 @@ def test_leave_one_out_folds(spark):
     table, names, signs = ml.features(t, ["era5"])
     got = ml.leave_one_out(table, names, signs, ex, parameters={"trees": 40, "depth": 3}).collect()
     assert len(got) == 63 and math.sqrt(np.mean([(r["predicted"] - r["observed"]) ** 2 for r in got])) < 1.5
+    dealt = ml.leave_one_out(table, names, signs, ex, parameters={"trees": 40, "depth": 3}, max_broadcast_rows=0).collect()
+    assert sorted(map(tuple, dealt)) == sorted(map(tuple, got))
     few = ml.leave_one_out(table, names, signs, ex, least_rows=10_000).collect()
     assert all(r["predicted"] is None for r in few)
 
