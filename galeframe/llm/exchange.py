@@ -27,7 +27,7 @@ class Plan:
 
     def __init__(self, docs: DataFrame, text_col: str, batch_bytes: int, shard_bytes: int):
         total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        self.batches, self.shards = 1 + total // batch_bytes, max(32, total // shard_bytes)
+        self.batches, self.shards = 1 + total // batch_bytes, max(64, total // shard_bytes)
 
     def batched(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """id and text with the number of their batch."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from galeframe.llm import exchange
-from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, grams, sliding_min, valid_starts
+from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, grams, mix, sliding_min, valid_starts
 
 U64 = np.uint64
 CONTENT, ANCHOR, WORDS, WINDOW = 0, 1, 2, 3
@@ -137,7 +137,8 @@ class _Segments:
         self.content[order] = np.cumsum(first) - 1
         #: A segment of each distinct content.
         self.pick = order[first]
-        self.c1, self.c2, self.anchor = c1[self.pick], c2[self.pick], g[least[cut].astype(np.int64)][self.pick]
+        # Smallest grams are small numbers; mixed again, they spread evenly over the shards.
+        self.c1, self.c2, self.anchor = c1[self.pick], c2[self.pick], mix(g[least[cut].astype(np.int64)][self.pick])
         self.times = np.diff(np.append(np.flatnonzero(first), len(order)))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
