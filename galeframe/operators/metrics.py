@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import cdf
 from galeframe.functions.labels import observation_type
 from galeframe.operators.ordered import cumulative_share
+from galeframe.operators.quantiles import ranked_percentiles
 
 
 def stacked(df: DataFrame, keep: list[str], columns: list[str], name: str = "dataset", value: str = "value") -> DataFrame:
@@ -113,13 +114,14 @@ def bias_quartiles(long: DataFrame, datasets: list[str], observed: str = "observ
 
 def limits(df: DataFrame, columns: list[str], trim: float = 0.02) -> DataFrame:
     """low and high: trimmed percentiles over the pooled columns; symmetric: the larger of their sizes."""
-    q = stacked(df, [], columns).agg(F.percentile("value", F.array(F.lit(trim), F.lit(1 - trim))).alias("_q"))
-    return q.select(F.get("_q", F.lit(0)).alias("low"), F.get("_q", F.lit(1)).alias("high"), F.greatest(F.abs(F.get("_q", F.lit(0))), F.abs(F.get("_q", F.lit(1)))).alias("symmetric"))
+    q = ranked_percentiles(stacked(df, [], columns), [], "value", [trim, 1 - trim])
+    low, high = F.max(F.when(F.col("k") == 0, F.col("value"))), F.max(F.when(F.col("k") == 1, F.col("value")))
+    return q.agg(low.alias("low"), high.alias("high"), F.greatest(F.abs(low), F.abs(high)).alias("symmetric"))
 
 
 def axis_limit(df: DataFrame, columns: list[str], default: float = 20.0) -> DataFrame:
     """1.05 times the 99th percentile over the pooled columns."""
-    return stacked(df, [], columns).agg(F.coalesce(F.percentile("value", F.lit(0.99)) * 1.05, F.lit(default)).alias("x_max"))
+    return ranked_percentiles(stacked(df, [], columns), [], "value", [0.99]).agg(F.coalesce(F.max("value") * 1.05, F.lit(default)).alias("x_max"))
 
 
 def interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:

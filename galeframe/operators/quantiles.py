@@ -16,24 +16,30 @@ from galeframe.functions.constants import N_QUANTILES
 
 def ranked_quantiles(samples: DataFrame, keys: list[str], value: str, n: int = N_QUANTILES, parts: int = 64) -> DataFrame:
     """(keys, qnum, value) of n evenly spaced quantiles with linear interpolation; groups without a finite value are missing."""
+    return ranked_percentiles(samples, keys, value, [k / (n - 1) for k in range(n)], parts, "qnum")
+
+
+def ranked_percentiles(samples: DataFrame, keys: list[str], value: str, probabilities: list[float], parts: int = 64, name: str = "k") -> DataFrame:
+    """(keys, k, value) for the k-th of the probabilities, counted from 0 in a column of the given name. Without keys the whole table is one group."""
     x = samples.select(*keys, cdf.finite(F.col(value)).alias("_v")).where("_v is not null")
     cuts = x.agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000)).first()[0] or []
     edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
     counted = x.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_part", F.size(F.filter(edges, lambda e: e < F.col("_v"))))
     part = counted.groupBy(*keys, "_part").agg(F.sum("_n").alias("_m"))
-    w = Window.partitionBy(*keys)
+    w = Window.partitionBy(*keys)  # a row for each range of a group
     part = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), (F.sum("_m").over(w.orderBy("_part")) - F.col("_m")).alias("_before"), F.sum("_m").over(w).alias("_all"))
     match = F.col("_part") == F.col("_p")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     rows = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))).join(part, match)
     rows = rows.withColumn("_end", F.col("_before") + F.col("_upto")).withColumn("_start", F.col("_end") - F.col("_n"))
-    # Quantile k lies at (all - 1) k / (n - 1): between the values at its floor and its ceiling.
-    at = lambda k: (F.col("_all") - 1) * k / float(n - 1)
+    # The quantile of probability p lies at (all - 1) p: between the values at its floor and its ceiling.
+    given = F.array(*[F.lit(float(p)) for p in probabilities])
+    at = lambda k: (F.col("_all") - 1) * F.get(given, k)
     inside = lambda p: (p >= F.col("_start")) & (p < F.col("_end"))
-    wanted = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: inside(F.floor(at(k))) | inside(F.ceil(at(k))))
-    picked = rows.where(F.size(wanted) > 0).select(*keys, "_v", "_all", "_start", "_end", F.explode(wanted).alias("qnum"))
-    p = at(F.col("qnum"))
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(len(probabilities) - 1)), lambda k: inside(F.floor(at(k))) | inside(F.ceil(at(k))))
+    picked = rows.where(F.size(wanted) > 0).select(*keys, "_v", "_all", "_start", "_end", F.explode(wanted).alias("_k"))
+    p = at(F.col("_k"))
     low, high = F.max(F.when(inside(F.floor(p)), F.col("_v"))), F.max(F.when(inside(F.ceil(p)), F.col("_v")))
-    out = picked.groupBy(*keys, "qnum").agg(low.alias("_lo"), high.alias("_hi"), F.max(p - F.floor(p)).alias("_f"))
-    return out.select(*keys, "qnum", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
+    out = picked.groupBy(*keys, "_k").agg(low.alias("_lo"), high.alias("_hi"), F.max(p - F.floor(p)).alias("_f"))
+    return out.select(*keys, F.col("_k").alias(name), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
