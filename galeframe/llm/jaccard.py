@@ -31,6 +31,8 @@ from galeframe.llm.store import Work
 U64 = np.uint64
 #: A slot of a group holds at most about so many classes and n-grams.
 SLOT_CLASSES, SLOT_GRAMS = 1024, 1 << 21
+#: Smaller groups are cut too, into up to so many slots of so many classes, so that one group keeps many tasks busy.
+SPREAD, SPREAD_CLASSES = 16, 128
 
 
 def bands_for(threshold: float, recall: float, rows: int = 5) -> int:
@@ -137,7 +139,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     groups = work.write(components(banded.join(work.write(buckets), "bucket").where("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b")), work))
 
     members = groups.join(sets.select(F.col("cid").alias("node"), "n", "first"), "node")
-    cut = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / SLOT_CLASSES), F.ceil(F.sum("n") / SLOT_GRAMS)).cast("int").alias("q"))
+    cut = members.groupBy("root").agg(F.greatest(F.least(F.lit(SPREAD), F.ceil(F.count("*") / SPREAD_CLASSES)), F.ceil(F.count("*") / SLOT_CLASSES), F.ceil(F.sum("n") / SLOT_GRAMS)).cast("int").alias("q"))
     slotted = members.join(work.write(cut), "root").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
     load = slotted.agg(F.sum(F.col("n") * F.col("q"))).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + load // (1 << 19))
