@@ -136,11 +136,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     banded = sets.select("cid", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("cid").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
-    groups = work.write(components(banded.join(work.write(buckets), "bucket").where("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b")), work))
+    work.drop(firsts)
+    buckets = work.write(buckets)
+    groups = work.write(components(banded.join(buckets, "bucket").where("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b")), work))
 
     members = groups.join(sets.select(F.col("cid").alias("node"), "n", "first"), "node")
     cut = members.groupBy("root").agg(F.greatest(F.least(F.lit(SPREAD), F.ceil(F.count("*") / SPREAD_CLASSES)), F.ceil(F.count("*") / SLOT_CLASSES), F.ceil(F.sum("n") / SLOT_GRAMS)).cast("int").alias("q"))
-    slotted = members.join(work.write(cut), "root").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    cut = work.write(cut)
+    slotted = members.join(cut, "root").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
     load = slotted.agg(F.sum(F.col("n") * F.col("q"))).first()[0] or 0
     bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + load // (1 << 19))
     texts = base.join(slotted.select("node", "root", "q", "slot", F.col("first._id").alias("_i"), F.col("first._key").alias("_key")), "_key").where(F.col("_id").eqNullSafe(F.col("_i"))).dropDuplicates(["node"])
@@ -172,6 +175,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         return pa.table({"node": node[some], "low": low[some], "links": links[some]})
 
     verified = work.write(blocks.groupBy("bin").applyInArrow(verify, "node long, low long, links long"))
+    work.drop(buckets, groups, cut)
     found = components(verified.select(F.col("node").alias("a"), F.col("low").alias("b")), work).withColumnRenamed("node", "cid")
     degree = verified.groupBy(F.col("node").alias("cid")).agg(F.sum("links").alias("n_links"))
     grouped = sets.select("cid", "s1", "s2", "first").join(found, "cid", "left").join(degree, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
