@@ -1,11 +1,12 @@
 """Operator 8, LM scoring: stupid backoff, computed relationally.
 
-The count tables of words and word pairs are partitioned by hash. A document batch is exploded into its n-grams, the
+The count tables of the n-grams up to an order are partitioned by hash. A document batch is exploded into its n-grams, the
 distinct ones are joined with the tables, and the scores are summed per document. Rows of tables and joins are packed:
 one row holds the n-grams of one batch for one partition, so the corpus is never a row per word.
 
-score(word | previous) = count(previous word) / count(previous) if the pair occurs min_count times or more in the
-corpus, else backoff * count(word) / number of words; the first word of a document is scored by its own frequency.
+score(word | context of k - 1 words) = count(k-gram) / count(context) if the k-gram occurs min_count times or more in
+the corpus, else backoff * score(word | context without its first word), and count(word) / number of words without
+context; words near the start of a document have the context that there is.
 
 Defined results: a null text or one without words has 0 words and null scores; repeated rows each count in the corpus
 and each get their result; extra columns are ignored.
@@ -19,25 +20,24 @@ from pyspark.sql import DataFrame
 
 from galeframe.llm import exchange
 from galeframe.llm.common import by_pieces
-from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, grams
+from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, grams, valid_starts
 
 U64 = np.uint64
-WORD, PAIR = 0, 1
 
 
 class _Batch:
-    """Words and word pairs of a batch, distinct and sorted, with their counts."""
+    """For each order k: the distinct k-grams of a batch, sorted, with their counts, and where each window has its gram."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, order: int):
         t = Texts(texts, SPACE_WORDS)
         starts, ends, self.of = t.words()
         self.n = counts(self.of, t.n)
         h = t.hashes(starts, ends)
-        self.first = np.ones(len(h), bool)
-        self.first[1:] = self.of[1:] != self.of[:-1]
-        self.words, self.word, self.word_count = np.unique(h, return_inverse=True, return_counts=True)
-        pairs = grams(h, 2)[~self.first[1:]]
-        self.pairs, self.pair, self.pair_count = np.unique(pairs, return_inverse=True, return_counts=True)
+        self.grams = []
+        for k in range(1, order + 1):
+            at = np.flatnonzero(valid_starts(self.of, k)) if len(h) >= k else np.zeros(0, np.int64)
+            keys, place, times = np.unique((grams(h, k) if k > 1 else h)[at], return_inverse=True, return_counts=True)
+            self.grams.append((at, keys, place, times))
 
 
 def _small(c: np.ndarray) -> bytes:
@@ -75,15 +75,19 @@ def _unpacked(buffer) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(keys, dtype=U64), _large(buffer, 24 + (n - 1) * width)
 
 
-def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
-    """id, n_words, n_pair_hits (words scored by their pair), log_score (sum of natural logarithms) and mean_log_score, a row for each row of docs."""
+def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, order: int = 2, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+    """id, n_words, n_pair_hits (words scored by their pair or a longer n-gram), log_score (sum of natural logarithms) and mean_log_score, a row for each row of docs."""
+    if order < 1:
+        raise ValueError("the order is 1 at least")
     kind = docs.schema[id_col].dataType.simpleString()
     plan = exchange.Plan(docs, text_col, batch_bytes, shard_bytes)
     batched = plan.batched(docs, id_col, text_col)
 
     def make(t: pa.Table) -> list[tuple]:
-        b, number = _Batch(t.column("_text")), t.column("batch")[0].as_py()
-        return exchange.request(number, WORD, plan.shards, b.words, _packed(b.words, b.word_count)) + exchange.request(number, PAIR, plan.shards, b.pairs, _packed(b.pairs, b.pair_count))
+        number, out = t.column("batch")[0].as_py(), []
+        for k, (_, keys, _, times) in enumerate(_Batch(t.column("_text"), order).grams):
+            out += exchange.request(number, k, plan.shards, keys, _packed(keys, times))
+        return out
 
     def decide(which: int, batches: list, payloads: list) -> list:
         parts = [_unpacked(p) for p in payloads]
@@ -103,16 +107,21 @@ def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id_col: str
         def run(t: pa.Table, answers: dict) -> pa.Table:
             if not t.num_rows:
                 return None
-            b = _Batch(t.column("_text"))
-            word, pair = unpack(answers, WORD)[b.word].astype(float), unpack(answers, PAIR)[b.pair].astype(float)
-            s = np.log(word / max(total, 1))
-            later = np.flatnonzero(~b.first)
-            hit = pair >= min_count
-            s[later] = np.where(hit, np.log(pair / word[later - 1]), np.log(backoff) + s[later])
-            hits = counts(b.of[later[hit]], len(b.n))
-            sums = np.bincount(b.of, s, len(b.n)).astype(float)
-            none = b.n == 0
-            return pa.table({id_col: t.column("_id"), "n_words": pa.array(b.n, pa.int64()), "n_pair_hits": pa.array(hits, pa.int64()), "log_score": pa.array(sums, mask=none), "mean_log_score": pa.array(sums / np.maximum(b.n, 1), mask=none)})
+            b = _Batch(t.column("_text"), order)
+            m = len(b.of)
+            s, hit, context = np.zeros(m), np.zeros(m, bool), np.zeros(m)
+            for k, (at, _, place, _) in enumerate(b.grams):
+                times = unpack(answers, k)[place].astype(float)
+                if k == 0:
+                    s = np.log(times / max(total, 1))
+                else:  # a window of k + 1 words that starts at `at` scores its last word by the k before
+                    good = times >= min_count
+                    s[at + k] = np.where(good, np.log(times / context[at]), np.log(backoff) + s[at + k])
+                    hit[at[good] + k] = True
+                context = np.zeros(m)
+                context[at] = times
+            sums, none = np.bincount(b.of, s, len(b.n)).astype(float), b.n == 0
+            return pa.table({id_col: t.column("_id"), "n_words": pa.array(b.n, pa.int64()), "n_pair_hits": pa.array(counts(b.of[hit], len(b.n)), pa.int64()), "log_score": pa.array(sums, mask=none), "mean_log_score": pa.array(sums / np.maximum(b.n, 1), mask=none)})
 
         return run
 
@@ -123,4 +132,3 @@ def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, id_col: str
     total = docs.select(text_col).mapInArrow(by_pieces(count_words, text_col), "n long").agg({"n": "sum"}).first()[0] or 0
     answers = exchange.answer(exchange.ask(batched, make), decide)
     return exchange.finish(batched, answers, make_scores(total), f"`{id_col}` {kind}, n_words long, n_pair_hits long, log_score double, mean_log_score double")
-

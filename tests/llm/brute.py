@@ -128,22 +128,25 @@ def jaccard_groups(rows, threshold=0.8):
 
 
 # 8
-def lm_scores(texts, backoff=0.4, least=2):
-    uni, pairs = collections.Counter(), collections.Counter()
+def lm_scores(texts, backoff=0.4, least=2, order=2):
+    count = collections.Counter()
     for t in texts:
         w = words(t)
-        uni.update(w)
-        pairs.update(zip(w, w[1:], strict=False))
-    total, out = sum(uni.values()), []
+        count.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total, out = sum(c for g, c in count.items() if len(g) == 1), []
+
+    def score(gram):
+        if len(gram) == 1:
+            return count[gram] / total, False
+        if count[gram] >= least:
+            return count[gram] / count[gram[:-1]], True
+        s, hit = score(gram[1:])
+        return backoff * s, hit
+
     for t in texts:
-        w, s, hits = words(t), 0.0, 0
-        for i, x in enumerate(w):
-            if i and pairs[w[i - 1], x] >= least:
-                s += math.log(pairs[w[i - 1], x] / uni[w[i - 1]])
-                hits += 1
-            else:
-                s += math.log(uni[x] / total) + (math.log(backoff) if i else 0)
-        out.append((len(w), hits, s if w else None))
+        w = words(t)
+        got = [score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))]
+        out.append((len(w), sum(h for _, h in got), sum(math.log(s) for s, _ in got) if w else None))
     return out
 
 

@@ -343,16 +343,18 @@ def test_extraction_edges(spark, model):
 # 8
 
 
-@pytest.mark.parametrize("size", [8 << 20, 2000])
-def test_lm_scores(docs, size):
-    got = lm.score(brute.clashing(docs), batch_bytes=size, shard_bytes=size).collect()
+@pytest.mark.parametrize(("size", "order"), [(8 << 20, 2), (2000, 2), (2000, 1), (2000, 4)])
+def test_lm_scores(docs, size, order):
+    got = lm.score(brute.clashing(docs), order=order, batch_bytes=size, shard_bytes=size).collect()
     texts = [r[1] for r in ROWS]
-    want = collections.Counter((r[0], n, h, None if s is None else round(s, 6)) for r, (n, h, s) in zip(ROWS, brute.lm_scores(texts), strict=True))
+    want = collections.Counter((r[0], n, h, None if s is None else round(s, 6)) for r, (n, h, s) in zip(ROWS, brute.lm_scores(texts, order=order), strict=True))
     assert collections.Counter((r["doc_id"], r["n_words"], r["n_pair_hits"], None if r["log_score"] is None else round(r["log_score"], 6)) for r in got) == want
 
 
 def test_lm_edges(docs):
     assert lm.score(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="order"):
+        lm.score(docs, order=0)
     assert lm.score(docs.where("doc_id < 3")).where("log_score is not null").isEmpty()
 
 
