@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their place in the mixture."""
-    return mixing.mix(docs, WEIGHTS, keep_columns=True)
+    """All documents, with their place in the mixture by the exact weights."""
+    return mixing.mix(docs, WEIGHTS, slots=None, keep_columns=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("source_mixing", source_mixing)]

@@ -19,6 +19,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), WEIGHTS)
 
 
+def op1_exact_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact target weights, where op1_source_mixing and its SQL round them to 200 slots."""
+    return mixing.mix(read(spark, sf_dir, "documents"), WEIGHTS, slots=None)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -65,6 +70,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op1_exact_mixing": op1_exact_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_preferences": op3_chat_preferences,
     "op4_line_dedup": op4_line_dedup,

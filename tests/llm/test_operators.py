@@ -2,6 +2,7 @@
 
 import collections
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,43 @@ def test_mixing_edges(spark, docs):
         mixing.mix(spark.range(1001).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))).collect()
 
 
+def fluid(sizes, weights):
+    """{(source, block): (when its fluid share begins, when it ends)}, from one source's end to the next."""
+    left, now, served, out = dict(sizes), Fraction(0), {s: Fraction(0) for s in sizes}, {}
+    while left:
+        total = sum(weights[s] for s in left)
+        step = min((sizes[s] - served[s]) * total / weights[s] for s in left)
+        for s in left:
+            rate = weights[s] / total
+            for j in range(math.floor(served[s]), math.ceil(served[s] + step * rate)):
+                begin, end = out.get((s, j), (now + (j - served[s]) / rate, None))
+                out[s, j] = (begin, now + (j + 1 - served[s]) / rate)
+            served[s] += step * rate
+        now += step
+        left = {s: 0 for s in left if served[s] < sizes[s]}
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"src0": 3.0, "src1": 2.0}, {"src0": 0.75, "src1": 0.1, "src2": 2.5}, {}])
+def test_exact_mixing_keeps_the_given_weights(spark, weights):
+    sizes = {"src0": 90, "src1": 41, "src2": 13, "src3": 30, "src4": 1, "": 8}
+    rows = [(i, "t", "en", s or None, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(brute.frame(spark, rows), weights, block_rows=1, slots=None).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows))) and sorted(r["slot"] for r in got) == list(range(len(rows)))
+    want = {k: (math.floor(a), math.ceil(b)) for k, (a, b) in fluid(sizes, {s: Fraction(str(weights.get(s, 1))) for s in sizes}).items()}
+    assert {(r["source"], r["block"]): (r["release"], r["deadline"]) for r in got} == want
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
+def test_exact_mixing_follows_the_weights_at_length(spark):
+    w = {f"src{i}": {0: 3, 1: 2}.get(i, 1) for i in range(20)}
+    rows = spark.range(20 * 600).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 20).alias("source"))
+    order, seen, total = mixing.mix(rows, {"src0": 3.0, "src1": 2.0}, block_rows=1, slots=None).orderBy("slot").collect(), collections.Counter(), sum(w.values())
+    for t, r in enumerate(order[: 200 * total], 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] * total - t * x) < total for s, x in w.items())
+
+
 # 2
 
 
