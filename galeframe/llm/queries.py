@@ -36,11 +36,16 @@ def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({c: chat.mask_text(c) for c in ("chosen_mask", "rejected_mask")})
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(read(spark, sf_dir, "documents"))
+def op4_line_dedup(spark: SparkSession, sf_dir: str, window: int = 2) -> DataFrame:
+    kept = lines.dedup_lines(read(spark, sf_dir, "documents"), window)
     return kept.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every later repeated line goes, where op4_line_dedup and its SQL delete only runs of two lines or more."""
+    return op4_line_dedup(spark, sf_dir, window=1)
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return urls.judge(pages, urls.mine(pages, read(spark, sf_dir, "labels")))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_preferences": op3_chat_preferences,
     "op4_line_dedup": op4_line_dedup,
+    "op4_single_lines": op4_single_lines,
     "op5_url_filters": op5_url_filters,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_html_extraction": op7_html_extraction,
@@ -122,6 +128,14 @@ f as (select *, row_number() over (partition by x, y order by doc_id, rid, p) k
 gone as (select distinct rid, unnest([p, q]) p from f where k > 1),
 kept as (select rid, string_agg(x, chr(10) order by p) t from (select rid, p - 1 p, l[p] x from (select rid, l, unnest(range(1, len(l) + 1)) p from d)) anti join gone using (rid, p) group by rid),
 g as (select rid, count(*) n from gone group by rid)
+select doc_id, cast(coalesce(len(l), 0) as bigint) n_lines, cast(coalesce(n, 0) as bigint) n_deleted, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (rid) left join g using (rid)""",
+    "op4_single_lines": r"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') text, string_split(text, chr(10)) l from documents),
+e as (select rid, doc_id, p - 1 p, l[p] x from (select rid, doc_id, l, unnest(range(1, len(l) + 1)) p from d)),
+f as (select *, row_number() over (partition by x order by doc_id, rid, p) k from e where regexp_matches(x, '[^\x20\x09-\x0D]')),
+gone as (select rid, p from f where k > 1),
+kept as (select rid, string_agg(x, chr(10) order by p) t from e anti join gone using (rid, p) group by rid),
+g as (select rid, count(*) n from gone group by rid)
 select doc_id, cast(coalesce(len(l), 0) as bigint) n_lines, cast(coalesce(n, 0) as bigint) n_deleted, sha256(coalesce(t, '')) kept_sha256 from d left join kept using (rid) left join g using (rid)""",
     "op8_lm_scoring": r"""
 with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),

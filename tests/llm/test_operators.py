@@ -1,6 +1,7 @@
 """Each operator against its plain version, on documents that are hard on it."""
 
 import collections
+import hashlib
 import math
 from fractions import Fraction
 
@@ -251,6 +252,17 @@ def test_line_dedup_edges(spark, docs):
         lines.dedup_lines(docs, 0)
 
 
+def test_single_lines_leaves_no_repeated_line(spark, tmp_path):
+    passage = "a passage " * 30
+    rows = [(1, "x\nlicence\ny", "en", "s", 0), (2, "z\nlicence\n\nv", "en", "s", 0), (3, passage, "en", "s", 0), (4, passage, "en", "s", 0), (5, f"w\n{passage}\nw", "en", "s", 0)]
+    brute.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_deleted"] for r in queries.QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()} == dict.fromkeys(range(1, 6), 0)
+    want = brute.dedup_lines(rows, 1)
+    got = {r["doc_id"]: (r["n_deleted"], r["kept_sha256"]) for r in queries.QUERIES["op4_single_lines"](spark, str(tmp_path)).collect()}
+    assert got == {r[0]: (want[r[0], r[1]][1], hashlib.sha256(want[r[0], r[1]][0].encode()).hexdigest()) for r in rows}
+    assert [got[k][0] for k in range(1, 6)] == [0, 1, 0, 1, 2]
+
+
 # 5
 
 
