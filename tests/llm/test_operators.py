@@ -167,6 +167,18 @@ def test_exact_mixing_follows_the_weights_at_length(spark):
         assert all(abs(seen[s] * total - t * x) < total for s, x in w.items())
 
 
+def test_exact_mixing_takes_any_number_of_sources(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1000, F.concat(F.lit("src"), F.col("id") % 2)).otherwise(F.concat(F.lit("site"), F.col("id") % 2500)).alias("source"))
+    got = mixing.mix(rows, {"src0": 3.0, "src1": 2.0}, block_rows=1, slots=None).collect()
+    assert sorted(r["slot"] for r in got) == list(range(6000)) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    seen = collections.Counter(r["source"] for r in got if r["slot"] < 2505)
+    assert (seen["src0"], seen["src1"], len(seen)) == (3, 2, 2502)
+    none = mixing.mix(rows.limit(0), slots=None)
+    assert none.count() == 0
+    with pytest.raises(ValueError, match="digits"):
+        mixing.mix(rows, {"src0": 1e-9, "src1": 1e9}, slots=None)
+
+
 # 2
 
 
