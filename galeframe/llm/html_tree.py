@@ -12,9 +12,9 @@ from html import unescape
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S)
 _CLASS = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Names of HTML elements.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark map meter progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br hr area base col embed link meta param source track".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark map meter progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg math object noscript template select datalist canvas audio video mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot munder mover munderover mstyle mspace mpadded menclose semantics annotation br hr area base col embed link meta param source track".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math object select datalist canvas audio video".split())
+RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An element of the key's kind ends an open element of these kinds, inside the nearest of the borders.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set())}

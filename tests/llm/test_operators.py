@@ -394,6 +394,14 @@ def test_html_reader():
     assert blocks("<div>" * 1000 + "deep") == ["deep"] and blocks("a < b > c") == ["a < b > c"]
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "noscript", "template", "select", "datalist", "canvas", "audio", "video"])
+def test_html_reader_keeps_what_follows_an_unclosed_element(tag):
+    blocks = lambda h: [t for _, t, _ in html_tree.Page(h).blocks]
+    assert blocks(f"<div><{tag}></div><p>article</p>") == ["article"]
+    assert blocks(f"<p>a <{tag}>inside</{tag}> b</p>") == ["a inside b"]
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<script>no</script></p>") == ["so x=2 holds"]
+
+
 def test_extraction_edges(spark, model):
     p = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "word " * 20000), (3, "u", "<p>" + "word " * 20000), (None, "u", "plain")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = extract.extract(p, model).collect()
