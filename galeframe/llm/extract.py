@@ -61,8 +61,12 @@ class Forest:
     features: np.ndarray
 
     def levels(self) -> list[np.ndarray]:
-        order = np.argsort(self.depth, kind="stable")
-        return np.split(order, np.cumsum(np.bincount(self.depth))[:-1])
+        return _levels(self.depth)
+
+
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The elements of each depth."""
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
 
 
 def forest(pages: list[Page]) -> tuple[Forest, np.ndarray]:
@@ -73,11 +77,7 @@ def forest(pages: list[Page]) -> tuple[Forest, np.ndarray]:
     parent = np.concatenate([np.array(p.parent) + f * (np.array(p.parent) >= 0) for p, f in zip(pages, first, strict=True)])
     tag = np.array([TAGS.get(t, len(TAGS)) for p in pages for t in p.tag])
     names = [_groups(x) if x else () for p in pages for x in p.name]
-    depth = np.zeros(n, np.int64)
-    pending = parent.copy()
-    while (live := pending >= 0).any():
-        depth[live] += 1
-        pending[live] = parent[pending[live]]
+    depth = np.array([d for p in pages for d in p.depth])
     own, links, ends = np.zeros(n), np.zeros(n), np.zeros(n)
     for p, f in zip(pages, first, strict=True):
         for node, text, linked in p.blocks:
@@ -85,7 +85,7 @@ def forest(pages: list[Page]) -> tuple[Forest, np.ndarray]:
             links[f + node] += linked
             ends[f + node] += text[-1] in ".!?:\"'”»"
     total, total_links = own.copy(), links.copy()
-    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1])
+    levels = _levels(depth)
     x = np.zeros((n, N_FEATURES), dtype=np.float32)
     x[np.arange(n), tag] = 1
     mine, t, g = slice(len(TAGS) + 1, len(TAGS) + 1 + len(WORDS)), len(TAGS) + 1, len(WORDS)
@@ -171,6 +171,12 @@ def train_model(pages: list[str] | None = None, steps: int = 160, rate: float =
     return model
 
 
+@lru_cache(maxsize=1)
+def default_model() -> Model:
+    """The model of the generated pages, trained once a session."""
+    return train_model()
+
+
 def main_texts(model: Model, htmls: list) -> list[str]:
     pages = [Page(h or "") for h in htmls]
     if not pages:

@@ -1,7 +1,8 @@
 """A tolerant HTML reader: block elements as a tree, and the text blocks of each in page order.
 
 Inline elements aren't nodes; their text belongs to the block around them. White space inside a block becomes one
-space; br and block borders end a block. Scripts, styles, comments, titles and the like have no text.
+space; br and block borders end a block. Scripts, styles, comments, titles and the like have no text; what stands in a
+textarea is an element of its own, a form control. Elements keep their true parents at any depth.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+P_BORDERS = frozenset(["table", "td", "th", "button"])
 #: An element of the key's kind ends an open element of these kinds, inside the nearest of the borders.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set())}
 
 
 class Page:
-    """parent, tag, name (words of class, id and role) of each node, the root first; blocks: (node, text, characters in links)."""
+    """parent, depth, tag, name (words of class, id and role) of each node, the root first; blocks: (node, text, characters in links)."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.name, self.blocks = [-1], ["#root"], [""], []
+        self.parent, self.depth, self.tag, self.name, self.blocks = [-1], [0], ["#root"], [""], []
         self._stack, self._text, self._linked, self._link = [0], [], 0, None
+        self._open_at: dict[str, list[int]] = {}  # where the stack has the open elements of each kind
         at, end = 0, len(html)
         head = None
         while at < end:
@@ -47,6 +50,8 @@ class Page:
             if tag in RAW and not closing:
                 if not m.group(3).endswith("/"):
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    if tag == "textarea":
+                        self._control(html[at : close.start() if close else end])
                     at = close.end() if close else end
                 continue
             if tag == "head":
@@ -75,30 +80,41 @@ class Page:
                 self.blocks.append((self._stack[-1], text, min(self._linked, len(text))))
             self._text, self._linked = [], 0
 
+    def _control(self, raw: str) -> None:
+        """Text that stands in a form control."""
+        self._end_block()
+        self._node("form", "form")
+        if text := " ".join(unescape(raw).split()):
+            self.blocks.append((len(self.tag) - 1, text, 0))
+
+    def _node(self, tag: str, name: str) -> None:
+        self.parent.append(self._stack[-1])
+        self.depth.append(self.depth[self._stack[-1]] + 1)
+        self.tag.append(tag)
+        self.name.append(name)
+
     def _open(self, tag: str, attributes: str) -> None:
         self._end_block()
-        if tag in CLOSES_P and any(self.tag[n] == "p" for n in self._stack[1:]):
-            self._close("p", {"table", "td", "th", "button"})
+        if tag in CLOSES_P:
+            self._close("p", P_BORDERS)
         if tag in ENDS:
             kinds, borders = ENDS[tag]
             for kind in kinds:
                 self._close(kind, borders)
-        self.parent.append(self._stack[-1])
-        self.tag.append(tag)
-        self.name.append(" ".join(a or b or c for a, b, c in _CLASS.findall(attributes)) if attributes else "")
+        self._node(tag, " ".join(a or b or c for a, b, c in _CLASS.findall(attributes)) if attributes else "")
         if tag not in VOID and not attributes.endswith("/"):
+            self._open_at.setdefault(tag, []).append(len(self._stack))
             self._stack.append(len(self.tag) - 1)
-            if len(self._stack) > 400:  # text of deeper elements belongs to this depth
-                self._stack.pop()
 
     def _close(self, tag: str, borders=frozenset()) -> None:
+        """Ends the innermost open element of this kind and all in it, unless a border stands between."""
         self._end_block()
-        for i in range(len(self._stack) - 1, 0, -1):
-            name = self.tag[self._stack[i]]
-            if name == tag:
-                del self._stack[i:]
-                if self._link is not None and self._link > len(self._stack):
-                    self._link = None
-                return
-            if name in borders:
-                return
+        at = self._open_at.get(tag)
+        if not at or any(b != tag and self._open_at.get(b, [0])[-1:] > at[-1:] for b in borders):
+            return
+        to = at[-1]
+        for node in self._stack[to:]:
+            self._open_at[self.tag[node]].pop()
+        del self._stack[to:]
+        if self._link is not None and self._link > to:
+            self._link = None
