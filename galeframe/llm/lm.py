@@ -1,15 +1,23 @@
 """Operator 8, LM scoring: stupid backoff, computed relationally.
 
-The count tables of the n-grams up to an order are partitioned by hash. A document batch is exploded into its n-grams, the
-distinct ones are joined with the tables, and the scores are summed per document. Rows of tables and joins are packed:
-one row holds the n-grams of one batch for one partition, so the corpus is never a row per word.
+score(word | context) = count(n-gram) / count(context) if the n-gram occurs in the corpus, else backoff times the score of
+the word after a context that is a word shorter; without context it is count(word) / number of words. All n-grams of the
+corpus are counted. Words near the start of a document have the context that there is.
 
-score(word | context of k - 1 words) = count(k-gram) / count(context) if the k-gram occurs min_count times or more in
-the corpus, else backoff * score(word | context without its first word), and count(word) / number of words without
-context; words near the start of a document have the context that there is.
+`score` takes the documents themselves as the corpus. Each n-gram of a document has been counted then, so that the longest
+decides and the logarithm of a document's score is a sum over its n-grams: times of the n-gram as one that scores a word,
+less its times as a context, by the logarithm of its count. So rows (document, n-gram, times) are dealt by the hash of the
+n-gram, counted there, and summed per document; the n-grams cross the network once. N-grams that make up more than about
+1 / MOST_HOT of all words would gather in one task. There are at most MOST_HOT of each order; they are found by what is
+frequent in a task's own words, counted exactly, and their counts are broadcast as a table that the documents are scored
+with before the rest of their n-grams is dealt.
+
+`count_table` and `score_against` score documents by another corpus: its count tables are partitioned by hash and joined to
+the exploded n-grams, order by order, the unseen ones backing off.
 
 Defined results: a null text or one without words has 0 words and null scores; repeated rows each count in the corpus
-and each get their result; extra columns are ignored.
+and each get their result; extra columns are ignored; a word that another corpus lacks counts as one that it has once;
+n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,118 +25,230 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from galeframe.llm import exchange
-from galeframe.llm.common import by_pieces
-from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, grams, valid_starts
+from galeframe.llm.common import by_pieces, pieces, row_key
+from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, grams, mix, valid_starts
+from galeframe.llm.store import Work
 
 U64 = np.uint64
+#: At most so many n-grams of an order are broadcast, 16 bytes each.
+MOST_HOT = 1 << 20
+#: A task reports its frequent n-grams for each so many words, a partition of the exchange is for about so many, and so many bytes of text are exploded at once.
+HEAVY_WORDS, PARTITION_WORDS, EXPLODED_BYTES = 4_000_000, 2_250_000, 2 << 20
 
 
-class _Batch:
-    """For each order k: the distinct k-grams of a batch, sorted, with their counts, and where each window has its gram."""
+class _Grams:
+    """The n-grams of a batch, a list for each order: where they start and their hashes."""
 
-    def __init__(self, texts, order: int):
-        t = Texts(texts, SPACE_WORDS)
+    def __init__(self, column, order: int):
+        t = Texts(column, SPACE_WORDS)
         starts, ends, self.of = t.words()
         self.n = counts(self.of, t.n)
+        self.first = np.cumsum(self.n) - self.n
         h = t.hashes(starts, ends)
-        self.grams = []
-        for k in range(1, order + 1):
-            at = np.flatnonzero(valid_starts(self.of, k)) if len(h) >= k else np.zeros(0, np.int64)
-            keys, place, times = np.unique((grams(h, k) if k > 1 else h)[at], return_inverse=True, return_counts=True)
-            self.grams.append((at, keys, place, times))
-
-
-def _small(c: np.ndarray) -> bytes:
-    """Counts as one byte each; those of 255 and more follow in full."""
-    big = c >= 255
-    return np.int64(len(c)).tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() + c[big].astype(np.int64).tobytes()
-
-
-def _large(buffer, at: int = 0) -> np.ndarray:
-    """The counts that _small() wrote at the end of a buffer."""
-    n = int(np.frombuffer(buffer, np.int64, 1, at)[0])
-    c = np.frombuffer(buffer, np.uint8, n, at + 8).astype(np.int64)
-    big = c == 255
-    c[big] = np.frombuffer(buffer, np.int64, int(big.sum()), at + 8 + n)
-    return c
-
-
-def _packed(keys: np.ndarray, times: np.ndarray):
-    """Sorted keys as steps of as few bytes as the largest needs, and their counts."""
-
-    def pack(a: int, b: int) -> bytes:
-        step = np.diff(keys[a:b])
-        width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
-        return np.array([b - a, width], np.int64).tobytes() + keys[a : a + 1].tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + _small(times[a:b])
-
-    return pack
-
-
-def _unpacked(buffer) -> tuple[np.ndarray, np.ndarray]:
-    n, width = (int(x) for x in np.frombuffer(buffer, np.int64, 2))
-    step = np.zeros((n, 8), np.uint8)
-    step[1:, :width] = np.frombuffer(buffer, np.uint8, (n - 1) * width, 24).reshape(-1, width)
-    keys = step.view("<u8").ravel()
-    keys[0] = np.frombuffer(buffer, U64, 1, 16)[0]
-    return np.cumsum(keys, dtype=U64), _large(buffer, 24 + (n - 1) * width)
-
-
-def score(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, order: int = 2, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
-    """id, n_words, n_pair_hits (words scored by their pair or a longer n-gram), log_score (sum of natural logarithms) and mean_log_score, a row for each row of docs."""
+        self.every = [grams(h, k, seed=k) for k in range(1, order + 1)]
+        self.at = [np.flatnonzero(valid_starts(self.of, k)) if len(h) >= k else np.zeros(0, np.int64) for k in range(1, order + 1)]
+        self.grams = [g[at] for g, at in zip(self.every, self.at, strict=True)]
+
+
+def _signed(keys: np.ndarray) -> pa.Array:
+    return pa.array(keys.view(np.int64))
+
+
+def _counted(keys: np.ndarray, times: np.ndarray, words: int | None = None) -> pa.RecordBatch:
+    """N-grams and their times, and the number of words in a row without n-gram."""
+    if words is not None:
+        keys, times = np.append(keys, U64(0)), np.append(times, words)
+    no_gram = np.arange(len(keys)) == (len(keys) - 1 if words is not None else -1)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), mask=no_gram), pa.array(times, pa.int64())], names=["gram", "times"])
+
+
+def _table(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bounded table of n-grams and their times, by n-gram."""
+    got = found.toArrow()
+    keys, times = got.column("gram").to_numpy().astype(np.int64).view(U64), got.column("times").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def hot_counts(texts: DataFrame, order: int, most: int, work: Work) -> tuple[np.ndarray, np.ndarray, int]:
+    """N-grams and their exact counts, with all those among them that occur 2 / most times the number of words or more, at most `most` of each order; and the number of words."""
+    text = texts.columns[0]
+
+    def frequent(batches):
+        held: list[list[np.ndarray]] = [[] for _ in range(order)]
+        words = 0
+
+        def report():
+            for k in range(order):
+                keys, times = np.unique(np.concatenate(held[k]), return_counts=True)
+                often = times * most >= words  # what is frequent on the whole is so in a report at least
+                yield _counted(keys[often], times[often], None if k else words)
+                held[k].clear()
+
+        for batch in batches:
+            for piece in pieces(batch, text):
+                g = _Grams(piece.column(0), order)
+                words += len(g.of)
+                for k in range(order):
+                    held[k].append(g.grams[k])
+                if words >= HEAVY_WORDS:
+                    yield from report()
+                    words = 0
+        if words:
+            yield from report()
+
+    seen = work.write(texts.mapInArrow(frequent, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")))
+    n = seen.where(F.col("gram").isNull()).agg(F.sum("times")).first()[0] or 0
+    hot, _ = _table(seen.where(F.col("gram").isNotNull() & (F.col("times") * most >= n)))
+    work.drop(seen)
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def exact(batches):
+        keys, total = shared.value, None
+        for batch in batches:
+            for piece in pieces(batch, text):
+                for got in _Grams(piece.column(0), order).grams:
+                    gram, times = np.unique(got, return_counts=True)
+                    at, known = _looked_up(keys, gram)
+                    total = np.zeros(len(keys), np.int64) if total is None else total
+                    total[at[known]] += times[known]
+        if total is not None:
+            some = np.flatnonzero(total)
+            yield _counted(keys[some], total[some])
+
+    keys, times = _table(texts.mapInArrow(exact, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")))
+    return keys, times, n
+
+
+def _looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and which are found."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _checked(order: int) -> None:
     if order < 1:
         raise ValueError("the order is 1 at least")
-    kind = docs.schema[id_col].dataType.simpleString()
-    plan = exchange.Plan(docs, text_col, batch_bytes, shard_bytes)
-    batched = plan.batched(docs, id_col, text_col)
-
-    def make(t: pa.Table) -> list[tuple]:
-        number, out = t.column("batch")[0].as_py(), []
-        for k, (_, keys, _, times) in enumerate(_Batch(t.column("_text"), order).grams):
-            out += exchange.request(number, k, plan.shards, keys, _packed(keys, times))
-        return out
-
-    def decide(which: int, batches: list, payloads: list) -> list:
-        parts = [_unpacked(p) for p in payloads]
-        keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        total = np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
-        out, at = [], 0
-        for k, _ in parts:
-            out.append(_small(total[where[at : at + len(k)]]))
-            at += len(k)
-        return out
-
-    def unpack(answers: dict, which: int) -> np.ndarray:
-        out = [_large(p) for _, p in sorted(answers.get(which, {}).items())]
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def make_scores(total: int):
-        def run(t: pa.Table, answers: dict) -> pa.Table:
-            if not t.num_rows:
-                return None
-            b = _Batch(t.column("_text"), order)
-            m = len(b.of)
-            s, hit, context = np.zeros(m), np.zeros(m, bool), np.zeros(m)
-            for k, (at, _, place, _) in enumerate(b.grams):
-                times = unpack(answers, k)[place].astype(float)
-                if k == 0:
-                    s = np.log(times / max(total, 1))
-                else:  # a window of k + 1 words that starts at `at` scores its last word by the k before
-                    good = times >= min_count
-                    s[at + k] = np.where(good, np.log(times / context[at]), np.log(backoff) + s[at + k])
-                    hit[at[good] + k] = True
-                context = np.zeros(m)
-                context[at] = times
-            sums, none = np.bincount(b.of, s, len(b.n)).astype(float), b.n == 0
-            return pa.table({id_col: t.column("_id"), "n_words": pa.array(b.n, pa.int64()), "n_pair_hits": pa.array(counts(b.of[hit], len(b.n)), pa.int64()), "log_score": pa.array(sums, mask=none), "mean_log_score": pa.array(sums / np.maximum(b.n, 1), mask=none)})
-
-        return run
 
-    def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = Texts(batch.column(0), SPACE_WORDS)
-        return pa.RecordBatch.from_arrays([pa.array([len(t.words()[0])], pa.int64())], names=["n"])
 
-    total = docs.select(text_col).mapInArrow(by_pieces(count_words, text_col), "n long").agg({"n": "sum"}).first()[0] or 0
-    answers = exchange.answer(exchange.ask(batched, make), decide)
-    return exchange.finish(batched, answers, make_scores(total), f"`{id_col}` {kind}, n_words long, n_pair_hits long, log_score double, mean_log_score double")
+def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", most_hot: int = MOST_HOT, partition_words: int = PARTITION_WORDS) -> DataFrame:
+    """Documents scored by themselves as the corpus: id, n_words, n_pair_hits (words scored by a pair or a longer n-gram that occurs twice or more), log_score (sum of natural logarithms) and mean_log_score, a row for each row of docs."""
+    _checked(order)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    keys, times, n = hot_counts(docs.select(text_col), order, most_hot, Work(spark))
+    shared = spark.sparkContext.broadcast((keys, times))
+    base = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
+
+    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A row for each document and n-gram that isn't broadcast, and one for each document with its words and the score of the others."""
+        hot, count = shared.value
+        logs = np.log(np.maximum(count, 1))
+        g, m = _Grams(batch.column(2), order), batch.num_rows
+        done, hits = -np.log(max(n, 1)) * (g.n if order == 1 else np.minimum(g.n, 1)), np.zeros(m)
+        rows = []
+        for k, (at, x) in enumerate(zip(g.at, g.grams, strict=True), 1):
+            of = g.of[at]
+            opens, goes_on = at == g.first[of], at < (g.first + g.n)[of] - k
+            scores = np.ones(len(at), bool) if k == order else opens
+            context = goes_on if k == order - 1 else goes_on & opens if k < order else np.zeros(len(at), bool)
+            _, one, place, often = np.unique(x ^ mix(of.astype(U64)), return_index=True, return_inverse=True, return_counts=True)
+            gives = np.bincount(place, scores, len(one)).astype(np.int64)
+            weight, hit = gives - np.bincount(place, context, len(one)).astype(np.int64), gives if k > 1 else 0 * gives
+            gram, doc = x[one], of[one]
+            i, known = _looked_up(hot, gram)
+            done += np.bincount(doc[known], weight[known] * logs[i[known]], m)
+            hits += np.bincount(doc[known], hit[known] * (count[i[known]] > 1), m)
+            rows.append([z[~known] for z in (doc, gram, often, weight, hit)])
+        rows.append([np.arange(m), mix(g.n.astype(U64) * U64(1 << 32) + np.arange(m, dtype=U64)), *np.zeros((2, m), np.int64), hits.astype(np.int64)])
+        doc, gram, often, weight, hit = (np.concatenate(z) for z in zip(*rows, strict=True))
+        by_doc = np.argsort(doc, kind="stable")  # neighbours that are alike make small shuffle blocks
+        doc, of_gram = doc[by_doc], by_doc < len(doc) - m
+        columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), _signed(gram[by_doc]), *(pa.array(z[by_doc], pa.int32()) for z in (often, weight, hit)), pa.array(done[doc], mask=of_gram), pa.array(g.n[doc], pa.int64(), mask=of_gram)]
+        return pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "gram", "times", "weight", "hit", "done", "words"])
+
+    def exploded(batches):
+        for batch in batches:
+            for piece in pieces(batch, "_text", EXPLODED_BYTES):
+                yield explode(piece)
+
+    rows = base.mapInArrow(exploded, f"_id {kind}, _key long, gram long, times int, weight int, hit int, done double, words long")
+    # The row that a document has for itself counts no n-gram: its times are 0.
+    dealt = rows.repartition(1 + n // partition_words, "gram")
+    known = dealt.withColumn("c", F.sum("times").over(Window.partitionBy("gram")))
+    worth = F.coalesce("done", F.col("weight") * F.log("c"))
+    hit = F.when(F.col("words").isNotNull() | (F.col("c") > 1), F.col("hit")).otherwise(0)
+    sums = known.groupBy("_id", "_key").agg(F.sum(worth).alias("score"), F.sum(hit).alias("hits"), F.max("words").alias("n_words"), F.count("words").alias("copies"))
+    sums = sums.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "n_words", (F.col("hits") / F.col("copies")).cast("long").alias("n_pair_hits"), F.when(F.col("n_words") > 0, F.col("score") / F.col("copies")).alias("log_score"))
+    out = base.select("_id", "_key").join(sums, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")))
+    return out.select(F.col("_id").alias(id_col), "n_words", "n_pair_hits", "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
+
+
+def count_table(corpus: DataFrame, order: int = 2, text_col: str = "text") -> DataFrame:
+    """gram and c: the counts of all n-grams up to the order, partitioned by hash; the row without a gram has the number of words."""
+    _checked(order)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        g = _Grams(batch.column(0), order)
+        found = [np.unique(x, return_counts=True) for x in g.grams]
+        return _counted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]), len(g.of))
+
+    return corpus.select(text_col).mapInArrow(by_pieces(run, text_col), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("c"))
+
+
+def score_against(docs: DataFrame, table: DataFrame, order: int = 2, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents scored by the counts of another corpus (its count_table of this order): id, n_words, n_backoffs (shortenings of contexts), log_score and mean_log_score, a row for each row of docs."""
+    _checked(order)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    work = Work(spark)
+    base = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
+
+    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A row for each document and longest n-gram: the n-grams that end with its word, longest first, and their contexts."""
+        g = _Grams(batch.column(2), order)
+        docs_, chains, contexts, times, sizes = [], [], [], [], []
+        for k, (at, x) in enumerate(zip(g.at, g.grams, strict=True), 1):
+            mine = np.flatnonzero((at == g.first[g.of[at]]) | (k == order))
+            of = g.of[at[mine]]
+            _, one, often = np.unique(x[mine] ^ mix(of.astype(U64)), return_index=True, return_counts=True)
+            start = at[mine][one]
+            docs_.append(of[one])
+            times.append(often)
+            sizes.append(np.full(len(one), k))
+            chains.append(np.stack([g.every[k - j - 1][start + j] for j in range(k)], axis=1).ravel())
+            contexts.append(np.stack([g.every[k - j - 2][start + j] if j < k - 1 else np.zeros(len(one), U64) for j in range(k)], axis=1).ravel())
+        doc, size = np.concatenate(docs_), np.concatenate(sizes)
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, _signed(np.concatenate(z))) for z in (chains, contexts)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(np.concatenate(times), pa.int64()), *lists], names=["_id", "_key", "times", "chain", "contexts"])
+
+    def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = Texts(batch.column(2), SPACE_WORDS)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts(t.words()[2], t.n), pa.int64())], names=["_id", "_key", "n_words"])
+
+    grams_ = table.where(F.col("gram").isNotNull())
+    total = max(1, (table.where(F.col("gram").isNull()).agg(F.sum("c")).first()[0] or 0))
+    # Repeated rows of docs would each bring their n-grams; one of them does for all.
+    once = base.dropDuplicates(["_id", "_key"])
+    waiting = once.mapInArrow(by_pieces(explode, "_text"), f"_id {kind}, _key long, times long, chain array<long>, contexts array<long>").withColumn("cut", F.lit(0))
+    parts = []
+    for _ in range(order):
+        seen = work.write(waiting.withColumn("gram", F.element_at("chain", 1)).join(grams_, "gram", "left"))
+        penalty = F.col("cut") * F.lit(float(np.log(backoff)))
+        word, found = F.size("chain") == 1, F.col("c").isNotNull()
+        parts.append(seen.where(word).select("_id", "_key", "times", "cut", (penalty + F.log(F.coalesce("c", F.lit(1)) / F.lit(total))).alias("s")))
+        below = grams_.select(F.col("gram").alias("context"), F.col("c").alias("before"))
+        parts.append(seen.where(~word & found).withColumn("context", F.element_at("contexts", 1)).join(below, "context").select("_id", "_key", "times", "cut", (penalty + F.log(F.col("c") / F.col("before"))).alias("s")))
+        waiting = seen.where(~word & ~found).select("_id", "_key", "times", F.expr("slice(chain, 2, size(chain) - 1)").alias("chain"), F.expr("slice(contexts, 2, size(contexts) - 1)").alias("contexts"), (F.col("cut") + 1).alias("cut"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    sums = every.groupBy("_id", "_key").agg(F.sum(F.col("times") * F.col("s")).alias("log_score"), F.sum(F.col("times") * F.col("cut")).alias("n_backoffs"))
+    sums = work.write(sums.withColumnsRenamed({"_id": "_i", "_key": "_k"}))
+    words = base.mapInArrow(by_pieces(count_words, "_text"), f"_id {kind}, _key long, n_words long")
+    out = words.join(sums, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")), "left")
+    return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_backoffs", F.lit(0)).cast("long").alias("n_backoffs"), "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

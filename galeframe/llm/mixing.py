@@ -1,23 +1,17 @@
 """Operator 1, mixing sources to target weights: Pfair scheduling of source blocks, with DataFrame operations only.
 
 Documents of a source are put in a fixed order (by the MD5 of their id) and cut into blocks. Time is slots, one block a
-slot, and is divided into periods in which source i is due k_i blocks (its weight in whole blocks, 1 at least). Within
-a period of H slots, block j of m is released at slot floor(j H / m) and due by slot ceil((j + 1) H / m); among released
-blocks the earliest deadline goes first. Since the rates add up to one, every block is placed between its release and
-its deadline, so at any time each source deviates by less than one block from its share. A source that runs out leaves;
-the others keep their proportions. Nothing is dropped or repeated.
-
-Periods with the same block counts have the same schedule, and there are at most 2 n + 1 kinds of them for n sources.
-So only these are simulated (one fold over the slots), and all blocks of the corpus get their slot by arithmetic.
-Ranks within a source come from ranges of the MD5, so that no task holds more than a range of a source.
-
-With slots=None the target weights hold exactly, for any number of sources. Weights become whole numbers by their common
-denominator. At virtual time v source i with b_i blocks has had its fluid share min(b_i, w_i v), so that the slot of v is
-the sum of these shares; block j is released at the slot of j / w_i (rounded down) and due by that of (j + 1) / w_i
-(rounded up), both by integer arithmetic. The fluid shares fit the slots, so earliest deadline first places every block
-in its window and each source is less than one block off its share. Shares are whole at whole v, so the stretches
-between (periods) are scheduled independently. Blocks with equal weight and number have the same window and are placed
-together: the fold of a period takes as many steps as it has different windows, however many sources there are.
+slot. Weights become whole numbers by their common denominator, so that the target shares hold exactly. At virtual time
+v source i with b_i blocks has had its fluid share min(b_i, w_i v), and the slot of v is the sum of these shares. Block j
+is released at the slot of j / w_i (rounded down) and due by that of (j + 1) / w_i (rounded up), both by integer
+arithmetic; among released blocks the earliest deadline goes first. The fluid shares fit the slots, so every block is
+placed in its window, and at any time each source is less than one block off its target share, for any number of
+sources. A source that runs out leaves; the others keep their proportions. Nothing is dropped or repeated.
+
+Shares are whole at whole v, so the stretches between (periods) are scheduled independently. Blocks with equal weight and
+number have the same window and are placed together, sources in the order of their MD5: the fold of a period takes as
+many steps as it has different windows, however many sources there are. Ranks, of documents in a source and of sources in
+a window, come from ranges of the MD5 and ranges of these, so that no task holds more than a range.
 
 Defined results: a null source is the source ''; a null id is the id ''; rows with equal id and source are ordered
 arbitrarily among themselves; sources without a given weight get the default weight; an empty table gives no rows.
@@ -34,19 +28,9 @@ from pyspark.sql.window import Window
 
 from galeframe.llm.store import Work
 
-#: With a fixed number of slots, the mixture has at most so many sources; the broadcast table of schedules is bounded by it.
-MAX_SOURCES = 1000
-#: Documents of one rank range, about.
+#: Rows of one rank range, about.
 RANGE_ROWS = 2000
 
-#: One period: in each slot, the released block with the earliest deadline.
-_EDF = """
-aggregate(sequence(0, h - 1), named_struct('done', transform(m, x -> 0), 'out', cast(array() as array<int>)),
-  (s, t) -> transform(array(array_min(filter(transform(m, (x, i) -> if(s.done[i] < x and s.done[i] * h div x <= t,
-      named_struct('deadline', ((s.done[i] + 1) * h + x - 1) div x, 'i', i), null)), x -> x is not null)).i),
-    p -> named_struct('done', transform(s.done, (x, i) -> if(i = p, x + 1, x)), 'out', array_append(s.out, p)))[0],
-  s -> s.out)"""
-
 #: The fluid share of all sources at the virtual time j / w of a period, as whole blocks and w-ths of a block; k: weight, total and windows of each weight.
 _SHARE = """
 aggregate(k, named_struct('whole', 0L, 'part', cast(0 as decimal(38, 0))), (s, z) -> if(cast(z.w as decimal(19, 0)) * cast({j} as decimal(19, 0)) div {w} >= size(z.a),
@@ -82,22 +66,42 @@ def whole_weights(weights: dict[str, float], default_weight: float) -> tuple[dic
     return {s: int(x / unit) for s, x in w.items()}, int(every[-1] / unit)
 
 
-def exact_slots(sizes: DataFrame, weights: dict[str, float], default_weight: float, block_rows: int, work: Work) -> DataFrame:
+def _digits(rows: int) -> int:
+    """Hexadecimal digits that cut so many rows into ranges of about RANGE_ROWS."""
+    return max(0, math.ceil(math.log(max(1, rows / RANGE_ROWS), 16)))
+
+
+def _before(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts (keys, _range, n) -> keys, _range, _before: the rows of a key in earlier ranges. Sums over coarse ranges come first, so that a window holds no more than the square root of all ranges."""
+    coarse = counts.withColumn("_coarse", F.expr("substring(_range, 1, (length(_range) + 1) div 2)"))
+    far = coarse.groupBy(*keys, "_coarse").agg(F.sum("n").alias("m")).withColumn("_far", F.sum("m").over(Window.partitionBy(*keys).orderBy("_coarse")) - F.col("m")).drop("m")
+    near = coarse.withColumn("_near", F.sum("n").over(Window.partitionBy(*keys, "_coarse").orderBy("_range")) - F.col("n"))
+    return near.join(far, [*keys, "_coarse"]).select(*keys, "_range", (F.col("_near") + F.col("_far")).alias("_before"))
+
+
+def block_slots(sizes: DataFrame, weights: dict[str, float], default_weight: float, block_rows: int, work: Work) -> DataFrame:
     """sizes (source, n) -> _s, _b (source and its block), slot, release and deadline, a row for each block."""
     given, default = whole_weights(weights, default_weight)
     w = F.lit(default).cast("long")
     if given:
         w = F.coalesce(F.try_element_at(F.create_map(*[x for s, n in given.items() for x in (F.lit(s), F.lit(n).cast("long"))]), F.col("source")), w)
-    blocks = sizes.select(F.col("source").alias("_s"), w.alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block_rows).cast("long") - 1)).alias("_b"))
-    blocks = blocks.withColumn("q", F.row_number().over(Window.partitionBy("w", "_b").orderBy("_s")) - 1)
-    same = blocks.groupBy("w", "_b").agg(F.count("*").alias("c")).select("w", F.expr("_b div w").alias("period"), F.expr("_b % w").alias("j"), "c")
+    sizes = work.write(sizes)
+    blocks = sizes.select(F.col("source").alias("_s"), w.alias("w"), F.md5(F.col("source").cast("binary")).alias("_md5"), F.expr(f"(n - 1) div {block_rows}").alias("_last"))
+    # Numbered in two steps, as a source may have more blocks than one array should hold.
+    blocks = blocks.withColumn("_many", F.explode(F.expr("sequence(0L, _last div 4096)"))).withColumn("_b", F.explode(F.expr("sequence(4096 * _many, least(_last, 4096 * _many + 4095))"))).drop("_last", "_many")
+    # The place of a block among those of the same window: rows of earlier ranges, and its rank in its range.
+    blocks = blocks.withColumn("_range", F.substring("_md5", 1, _digits(sizes.count())))
+    ranges = blocks.groupBy("w", "_b", "_range").agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("q", F.row_number().over(Window.partitionBy("w", "_b", "_range").orderBy("_md5", "_s")) - 1)
+    blocks = blocks.join(_before(ranges, ["w", "_b"]), ["w", "_b", "_range"]).withColumn("q", F.col("q") + F.col("_before"))
+    same = ranges.groupBy("w", "_b").agg(F.sum("n").alias("c")).select("w", F.expr("_b div w").alias("period"), F.expr("_b % w").alias("j"), "c")
     same = same.withColumn("before", F.sum("c").over(Window.partitionBy("period", "w").orderBy("j")) - F.col("c"))
     each = same.groupBy("period", "w").agg(F.sum("c").alias("total"), F.array_sort(F.collect_list(F.struct("j", "c", "before"))).alias("a"))
     periods = work.write(each.groupBy("period").agg(F.sum("total").alias("h"), F.array_sort(F.collect_list(F.struct("w", "total", "a"))).alias("k")))
     # First slots of periods: sums over ranges of periods, then within a range.
     h = periods.select("period", "h", F.expr("period div 1000").alias("range"))
-    ranges = h.groupBy("range").agg(F.sum("h").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("first"))
-    first = h.join(ranges, "range").select("period", (F.col("first") + F.sum("h").over(Window.partitionBy("range").orderBy("period")) - F.col("h")).alias("first"))
+    spans = h.groupBy("range").agg(F.sum("h").alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("first"))
+    first = h.join(spans, "range").select("period", (F.col("first") + F.sum("h").over(Window.partitionBy("range").orderBy("period")) - F.col("h")).alias("first"))
     runs = periods.select("period", F.expr(_WINDOWS).alias("g")).select("period", F.explode(F.expr(_RUNS)).alias("x")).join(first, "period")
     runs = runs.select("first", F.col("x.w").alias("w"), F.expr("period * x.w + x.j").alias("_b"), "x.r", "x.d", "x.off", "x.at", "x.n")
     placed = blocks.join(runs, ["w", "_b"]).where("q >= off and q < off + n")
@@ -108,47 +112,21 @@ def source_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def schedule(sizes: DataFrame, weights: dict[str, float], default_weight: float, block_rows: int, slots: int) -> DataFrame:
-    """sizes (source, n) -> a row for each source: k, and arrays over the kinds of periods: first period, slots of a period, first slot, blocks of the source and their slots."""
-    given = F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))]) if weights else None
-    w = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(float(default_weight))) if given is not None else F.lit(float(default_weight))
-    rows = sizes.select("source", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"), w.alias("w"))
-    one = rows.agg(F.array_sort(F.collect_list(F.struct("source", "blocks", "w"))).alias("s")).where("size(s) > 0")
-    one = one.withColumn("_", F.when(F.size("s") > MAX_SOURCES, F.raise_error(F.lit(f"more than {MAX_SOURCES} sources"))))
-    one = one.withColumn("total", F.expr("aggregate(s, 0D, (a, x) -> a + x.w)")).where("_ is null")
-    one = one.withColumn("k", F.expr(f"transform(s, x -> cast(greatest(1, rint(x.w / total * {slots})) as int))"))
-    one = one.withColumn("starts", F.expr("array_sort(array_distinct(flatten(transform(s, (x, i) -> array(0L, x.blocks div k[i], x.blocks div k[i] + 1)))))"))
-    kinds = one.select("s", "k", F.posexplode("starts").alias("kind", "start"))
-    kinds = kinds.withColumn("m", F.expr("transform(s, (x, i) -> cast(greatest(0, least(k[i], x.blocks - start * k[i])) as int))")).withColumn("h", F.expr("aggregate(m, 0, (a, x) -> a + x)")).where("h > 0")
-    kinds = kinds.withColumn("base", F.expr("aggregate(zip_with(s, k, (x, y) -> least(x.blocks, start * y)), 0L, (a, x) -> a + x)")).withColumn("out", F.expr(_EDF))
-    each = kinds.select("kind", "start", "h", "base", F.posexplode(F.arrays_zip(F.col("s.source").alias("source"), "k", "m")).alias("i", "x"), "out")
-    each = each.select(F.col("x.source").alias("source"), F.col("x.k").alias("k"), F.struct("kind", "start", "h", "base", F.col("x.m").alias("m"), F.expr("filter(sequence(0, h - 1), t -> out[t] = i)").alias("at")).alias("p"))
-    return each.groupBy("source", "k").agg(F.array_sort(F.collect_list("p")).alias("p"))
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, block_rows: int = 64, slots: int | None = 200, id_col: str = "doc_id", source_col: str = "source", keep_columns: bool = False) -> DataFrame:
-    """id, source, block (of the source), slot, release, deadline and in_block, a row for each row of docs; with keep_columns all columns of docs and mix_slot, mix_in_block. Reading by (slot, in_block) gives the mixture. slots=None takes the weights exactly."""
-    if block_rows < 1 or (slots is not None and slots < 1) or default_weight <= 0 or any(w <= 0 for w in (weights or {}).values()):
-        raise ValueError("block_rows, slots and weights are positive")
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0, block_rows: int = 64, id_col: str = "doc_id", source_col: str = "source", keep_columns: bool = False) -> DataFrame:
+    """id, source, block (of the source), slot, release, deadline and in_block, a row for each row of docs; with keep_columns all columns of docs and mix_slot, mix_in_block. Reading by (slot, in_block) gives the mixture."""
+    if block_rows < 1 or default_weight <= 0 or any(w <= 0 for w in (weights or {}).values()):
+        raise ValueError("block_rows and weights are positive")
     carried = [F.col(c) for c in docs.columns] if keep_columns else [F.col(id_col)]
-    rows = docs.select(F.struct(*carried).alias("_row"), source_of(source_col).alias("_source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_md5"))
-    total = docs.count()
-    digits = max(0, math.ceil(math.log(max(1, total / RANGE_ROWS), 16)))
-    rows = rows.withColumn("_range", F.substring("_md5", 1, digits))
-    ranges = docs.select(source_of(source_col).alias("_source"), F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, digits).alias("_range")).groupBy("_source", "_range").agg(F.count("*").alias("n"))
-    before = ranges.select("_source", "_range", (F.sum("n").over(Window.partitionBy("_source").orderBy("_range")) - F.col("n")).alias("_before"))
+    md5 = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    digits = _digits(docs.count())
+    rows = docs.select(F.struct(*carried).alias("_row"), source_of(source_col).alias("_source"), md5.alias("_md5")).withColumn("_range", F.substring("_md5", 1, digits))
+    ranges = docs.select(source_of(source_col).alias("_source"), F.substring(md5, 1, digits).alias("_range")).groupBy("_source", "_range").agg(F.count("*").alias("n"))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_source", "_range").orderBy("_md5", f"_row.`{id_col}`")) - 1)
-    placed = ranked.join(before, ["_source", "_range"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    placed = placed.withColumn("_block", F.expr(f"_rank div {block_rows}"))
-    sizes, in_block = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("n").alias("n")), F.expr(f"_rank % {block_rows}")
-    if slots is None:
-        placed = placed.join(exact_slots(sizes, weights or {}, default_weight, block_rows, Work(docs.sparkSession)), (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-        slot, release, deadline = F.col("slot"), F.col("release"), F.col("deadline")
-    else:
-        placed = placed.join(F.broadcast(schedule(sizes, weights or {}, default_weight, block_rows, slots)), F.col("_source") == F.col("source"))
-        placed = placed.withColumn("_period", F.expr("_block div k")).withColumn("_p", F.expr("element_at(filter(p, x -> x.start <= _period), -1)"))
-        placed = placed.withColumn("_j", F.expr("cast(_block % k as int)")).withColumn("_first", F.expr("_p.base + (_period - _p.start) * _p.h"))
-        slot, release, deadline = F.expr("_first + _p.at[_j]"), F.expr("_first + _j * _p.h div _p.m"), F.expr("_first + ((_j + 1) * _p.h + _p.m - 1) div _p.m")
+    placed = ranked.join(_before(ranges, ["_source"]), ["_source", "_range"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    placed, in_block = placed.withColumn("_block", F.expr(f"_rank div {block_rows}")), F.expr(f"_rank % {block_rows}")
+    sizes = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("n").alias("n"))
+    slots = block_slots(sizes, weights or {}, default_weight, block_rows, Work(docs.sparkSession))
+    placed = placed.join(slots, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
     if keep_columns:
-        return placed.select("_row.*", slot.alias("mix_slot"), in_block.alias("mix_in_block"))
-    return placed.select(f"_row.`{id_col}`", F.col("_source").alias("source"), F.col("_block").alias("block"), slot.alias("slot"), release.alias("release"), deadline.alias("deadline"), in_block.alias("in_block"))
+        return placed.select("_row.*", F.col("slot").alias("mix_slot"), in_block.alias("mix_in_block"))
+    return placed.select(f"_row.`{id_col}`", F.col("_source").alias("source"), F.col("_block").alias("block"), "slot", "release", "deadline", in_block.alias("in_block"))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from galeframe.llm.common import by_pieces
 from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, covered, grams, mix, repeated, valid_starts
 
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_distinct_words", "n_lines"]
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+STATS = [*BASE, "n_upper", "n_marks", "n_distinct_words", "n_lines"]
 WINDOW = 8
 #: Features of the trees, and how the estimate of quality may depend on each: -1 never rises with it, 0 free.
 FEATURES = {"log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeats": -1, "upper": -1, "marks": -1, "distinct": 0, "line_words": 0}
@@ -162,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, id_col:
     """Fits the trees on at most most_labelled labelled ids, the first by hash, whatever the size of the corpus."""
     y = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
     sample = y.orderBy(F.xxhash64(id_col), id_col).limit(most_labelled)
-    picked = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
+    # One text for each id (the first in order, where an id has several), so that what reaches the driver is bounded.
+    picked = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).groupBy(id_col, "_y").agg(F.min(text_col).alias(text_col))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = document_stats(batch.column(0))
@@ -177,17 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, id_col:
 
 
 def judge(docs: DataFrame, model: Trees | None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, STATS, base_failed, quality (null without a model) and kept, a row for each row of docs."""
+    """id, BASE, base_failed, kept, the other STATS and quality (null without a model), a row for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = document_stats(batch.column(1))
         bad = base_failed(s)
         p = model.probability(features(s)) if model else np.full(len(bad), np.nan)
-        cols = [batch.column(0), *(pa.array(s[k], pa.int64()) for k in STATS), pa.array(bad), pa.array(p, mask=np.isnan(p)), pa.array(~bad & ~(p < threshold))]
-        return pa.RecordBatch.from_arrays(cols, names=[id_col, *STATS, "base_failed", "quality", "kept"])
+        longs = lambda names: [pa.array(s[k], pa.int64()) for k in names]
+        cols = [batch.column(0), *longs(BASE), pa.array(bad), pa.array(~bad & ~(p < threshold)), *longs(more), pa.array(p, mask=np.isnan(p))]
+        return pa.RecordBatch.from_arrays(cols, names=[id_col, *BASE, "base_failed", "kept", *more, "quality"])
 
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in STATS) + ", base_failed boolean, quality double, kept boolean"
+    more = STATS[len(BASE) :]
+    schema = f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean, " + ", ".join(f"{k} long" for k in more) + ", quality double"
     return docs.select(id_col, text_col).mapInArrow(by_pieces(run, text_col), schema)
 
 

@@ -11,8 +11,10 @@ from galeframe.llm import chat, decontaminate, extract, jaccard, lines, lm, mixi
 from galeframe.llm.common import read
 
 
-#: Target weights of the mixture: the two first sources count more than the others.
+#: Target weights of the mixture, the others 1: the two first sources count more than the others.
 WEIGHTS = {"src0": 3.0, "src1": 2.0}
+#: Weights that aren't whole.
+FRACTIONS = {"src0": 0.75, "src1": 0.5, "src2": 2.5}
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +22,8 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact target weights, where op1_source_mixing and its SQL round them to 200 slots."""
-    return mixing.mix(read(spark, sf_dir, "documents"), WEIGHTS, slots=None)
+    """The same with weights that aren't whole numbers."""
+    return mixing.mix(read(spark, sf_dir, "documents"), FRACTIONS)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2_quality_rules: statistics and base rules."""
+    return quality.judge(read(spark, sf_dir, "documents"), None).select("doc_id", *quality.BASE, "base_failed")
+
+
 def op3_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2 k and 2 k + 1 are the chosen and the rejected one of pair k."""
     conv = F.col("conv_id")
@@ -47,8 +54,14 @@ def op4_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document that it shows, whose number the URL's path has."""
     pages = read(spark, sf_dir, "pages")
-    return urls.judge(pages, urls.mine(pages, read(spark, sf_dir, "labels")))
+    return urls.judge(pages, urls.mine(pages, read(spark, sf_dir, "labels"), urls.document_of(F.col("url"))))
+
+
+def op5_listed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5_url_filters: host, path and listed rule."""
+    return op5_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +69,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(read(spark, sf_dir, "pages"), extract.train_model())
+    return extract.extract(read(spark, sf_dir, "pages"), extract.default_model())
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op1_exact_mixing": op1_exact_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op2_statistics": op2_statistics,
     "op3_chat_preferences": op3_chat_preferences,
     "op4_line_dedup": op4_line_dedup,
     "op4_single_lines": op4_single_lines,
     "op5_url_filters": op5_url_filters,
+    "op5_listed_rules": op5_listed_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_html_extraction": op7_html_extraction,
     "op8_lm_scoring": op8_lm_scoring,
@@ -88,24 +103,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {
-    "op1_source_mixing": """
+
+
+def _mixing(weight: str) -> str:
+    """Slot by slot: of the blocks that are released and not placed yet, the one with the earliest deadline."""
+    return f"""
 with recursive d as (select doc_id, coalesce(source, '') source, row_number() over (partition by coalesce(source, '') order by md5(coalesce(cast(doc_id as varchar), '')), doc_id) - 1 r from documents),
-c as (select source, cast(ceil(count(*) / 64) as bigint) blocks, case source when 'src0' then 3 when 'src1' then 2 else 1 end w from d group by source),
-s as (select source, blocks, cast(greatest(1, round_even(w / (select sum(w) from c) * 200, 0)) as bigint) k, row_number() over (order by source) i from c),
-st as (select 0 as start_p union select blocks // k from s union select blocks // k + 1 from s),
-kinds as (select start_p, list(greatest(0, least(k, blocks - start_p * k)) order by i) m, cast(sum(greatest(0, least(k, blocks - start_p * k))) as bigint) h, cast(sum(least(blocks, start_p * k)) as bigint) base from st, s group by start_p),
-sim as (select start_p, 0 t, list_transform(m, lambda x: 0) done, cast(null as bigint) pick from kinds where h > 0
-  union all
-  select start_p, t + 1, list_transform(done, lambda x, j: case when j = pick then x + 1 else x end), pick from (
-    select sim.start_p, t, done, list_sort(list_filter(list_transform(m, lambda x, j: case when done[j] < x and done[j] * h // x <= t then ((done[j] + 1) * h + x - 1) // x * 100000 + j end), lambda x: x is not null))[1] % 100000 pick
-    from sim join kinds using (start_p) where t < h)),
-slots as (select start_p, t - 1 slot, pick, row_number() over (partition by start_p, pick order by t) - 1 j from sim where t > 0),
-b as (select d.*, r // 64 block, s.i, s.k, (r // 64) // s.k p, (r // 64) % s.k j from d join s using (source)),
-q as (select b.*, (select max(start_p) from kinds where start_p <= b.p and h > 0) start_p from b)
-select doc_id, source, cast(block as bigint) block, cast(base + (p - q.start_p) * h + slot as bigint) slot, cast(base + (p - q.start_p) * h + q.j * h // m[i] as bigint) release,
-  cast(base + (p - q.start_p) * h + ((q.j + 1) * h + m[i] - 1) // m[i] as bigint) deadline, cast(r % 64 as bigint) in_block
-from q join kinds using (start_p) join slots on slots.start_p = q.start_p and slots.pick = q.i and slots.j = q.j""",
+c as (select source, cast(ceil(count(*) / 64) as bigint) blocks, {weight} w from d group by source),
+b as (select source, w, unnest(range(blocks)) j from c),
+f as (select b.source, b.w, b.j, cast(sum(least(c.blocks * b.w, c.w * b.j)) // b.w as bigint) release_at, cast((sum(least(c.blocks * b.w, c.w * (b.j + 1))) + b.w - 1) // b.w as bigint) due from b, c group by b.source, b.w, b.j),
+o as (select *, row_number() over (order by due, w, j, md5(source), source) k from f),
+sim as (select cast(0 as bigint) t, cast([] as bigint[]) done
+  union all select any_value(t) + 1, list_append(any_value(done), min(k)) from sim join o on release_at <= t and not list_contains(done, k) having count(*) > 0),
+s as (select unnest(done) k, unnest(range(len(done))) slot from (select done from sim order by t desc limit 1))
+select doc_id, d.source, cast(r // 64 as bigint) block, slot, release_at as release, due as deadline, cast(r % 64 as bigint) in_block
+from d join o on o.source = d.source and o.j = d.r // 64 join s using (k)"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_source_mixing": _mixing("case source when 'src0' then 3 when 'src1' then 2 else 1 end"),
+    "op1_exact_mixing": _mixing("case source when 'src0' then 3 when 'src1' then 2 when 'src2' then 10 else 4 end"),
+    "op2_statistics": r"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+l as (select rid, unnest(string_split(text, chr(10))) x from d),
+dup as (select rid, count(*) - count(distinct x) n from l where regexp_matches(x, '[^\x20\x09-\x0D]') group by rid),
+win as (select rid, i, array_to_string(w[i:i + 7], ' ') s from (select rid, w, unnest(range(1, len(w) - 6)) i from d where len(w) >= 8)),
+rep as (select rid, i, count(*) over (partition by rid, s) c from win),
+again as (select rid, count(distinct p) n from (select rid, unnest(range(i, i + 8)) p from rep where c > 1) group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars, cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) n_symbols,
+  cast(coalesce(dup.n, 0) as bigint) n_dup_lines, cast(coalesce(again.n, 0) as bigint) n_repeat_words, len(w) < 20 or 100 * coalesce(again.n, 0) > 30 * len(w) base_failed
+from d left join dup using (rid) left join again using (rid)""",
+    "op5_listed_rules": r"""
+with p as (select page_id, coalesce(regexp_extract(url, '://([^/?#]*)', 1), '') h, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path from pages),
+q as (select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, path from p),
+r as (select unnest(['org', 'example.org', 'example.org', 'com', 'com']) rh, unnest(['/', '/es/', '/en/1', '/fr/', '/de/']) rp)
+select page_id, host, path, (select arg_max(rh || rp, length(rh || rp)) from r where (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)) as rule from q""",
+    "op6_ngram_jaccard": r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, case when len(w) < 5 then case when len(w) = 0 then [] else [array_to_string(w, ' ')] end else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end z from d),
+c as (select z, min(doc_id) set_id, len(z) n from s where len(z) > 0 group by z),
+g as (select set_id, n, unnest(z) x from c),
+pairs as (select a.set_id a, b.set_id b, any_value(a.n) na, any_value(b.n) nb, count(*) k from g a join g b on a.x = b.x and a.set_id < b.set_id group by 1, 2),
+one as (select a, b from pairs where 9 * k >= 4 * (na + nb)),
+links as (select a, b from one union all select b, a from one),
+reach as (select set_id a, set_id b from c union select reach.a, links.b from reach join links on links.a = reach.b),
+class as (select a set_id, min(b) class_id from reach group by 1),
+degree as (select a set_id, count(*) k from links group by 1)
+select doc_id, cast(len(s.z) as bigint) n_shingles, coalesce(c.set_id, doc_id) set_id, coalesce(class_id, doc_id) class_id, cast(coalesce(k, 0) as bigint) n_links
+from s left join c on s.z = c.z left join class using (set_id) left join degree using (set_id)""",
     "op3_chat_preferences": r"""
 with t as (select distinct conv_id, turn, coalesce(role, 'user') role, coalesce(text, '') text from conversations where conv_id is not null),
 l as (select conv_id, list({'r': role, 't': text} order by turn nulls first, role, text) x from t group by conv_id),
@@ -141,7 +186,7 @@ select doc_id, cast(coalesce(len(l), 0) as bigint) n_lines, cast(coalesce(n, 0)
 with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
 t as (select rid, i, w[i] x, case when i > 1 then w[i - 1] end p from (select rid, w, unnest(range(1, len(w) + 1)) i from d)),
 u as (select x, count(*) c from t group by x), b as (select p, x, count(*) c from t where p is not null group by p, x),
-s as (select t.rid, b.c >= 2 hit, case when b.c >= 2 then ln(b.c / up.c) when t.p is null then ln(u.c / (select count(*) from t)) else ln(0.4) + ln(u.c / (select count(*) from t)) end s
+s as (select t.rid, b.c >= 2 hit, case when t.p is null then ln(u.c / (select count(*) from t)) else ln(b.c / up.c) end s
   from t join u on t.x = u.x left join b on t.p = b.p and t.x = b.x left join u up on t.p = up.x),
 g as (select rid, count(*) n, count(*) filter (where hit) h, sum(s) s from s group by rid)
 select doc_id, cast(coalesce(n, 0) as bigint) n_words, cast(coalesce(h, 0) as bigint) n_pair_hits, round(s, 4) log_score, round(s / n, 6) mean_log_score from d left join g using (rid)""",

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, a folder of the warehouse."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a folder of the warehouse, but on a cluster not one of the driver's own disk."""
     given = spark.conf.get("spark.checkpoint.dir", "")
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.warehouse.dir").startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
 

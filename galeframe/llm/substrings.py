@@ -2,41 +2,42 @@
 
 A window is `window` consecutive words of one document; words covered by a window that also starts elsewhere go.
 To split the work without losing a match, each window is assigned to its smallest 8-word gram (its anchor): equal
-windows have equal anchors at equal places. Neighbouring windows with one anchor form a segment.
-
-1. Batches send the distinct hashes of their segments to shards. A segment whose anchor occurs once can't repeat; one
-   whose whole content occurs elsewhere repeats in full. The rest needs a closer look, together with one copy of each
-   repeated content that has the same anchor.
-2. These segments go to the shard of their anchor as reference text. The shard builds suffix automata over bounded
-   portions and streams the segments through them for matching statistics: a window repeats if the state reached by
-   its last `window` words occurs twice. Anchors with very many contents (a passage that a large share of the corpus
-   holds) aren't gathered in one shard: their windows are dealt by window hash and counted instead, which is as exact.
-3. The spans of repeated windows are removed from the documents.
+windows have equal anchors at equal places. Neighbouring windows with one anchor form a segment, a row of (document,
+anchor, hash of the content, first word, number of windows).
+
+1. Anchors are counted; a segment whose anchor stands only once can't repeat, and goes.
+2. The others are counted by content. A content that stands twice repeats in full.
+3. Anchors with several contents need a closer look, as these may agree in part. One copy of each such content, with its
+   weight, is the reference text. It is sharded by anchor; each shard builds suffix automata over bounded portions and
+   streams the contents of weight one through them for matching statistics: a window repeats if the state reached by its
+   last `window` words occurs twice. Anchors with very many contents (a passage that a large share of the corpus holds)
+   aren't gathered in one shard: their windows are counted by their hash, with the same result.
+4. The spans of repeated windows are joined to the documents and removed.
 
 Broadcasting the automata of all shards to all documents, as the method is usually told, costs shards x corpus; dealing
 by anchor brings each automaton only the segments that can match it.
 
 Defined results: null and empty texts have no words; rows that are repeated (equal id and text) are two documents that
-hold the same words, so their windows go in both; extra columns are ignored.
+hold the same words, so their windows go in both; extra columns are ignored. Contents and windows are told apart by 128
+bits (anchor and content, or two hashes).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from galeframe.llm import exchange
+from galeframe.llm.common import by_pieces, row_key
 from galeframe.llm.kernel import SPACE_WORDS, Texts, counts, grams, mix, sliding_min, valid_starts
+from galeframe.llm.store import Work
 
 U64 = np.uint64
-CONTENT, ANCHOR, WORDS, WINDOW = 0, 1, 2, 3
 GRAM = 8
-#: Contents of one anchor that are still compared in one shard, and words of one automaton.
-HOT_CONTENTS, AUTOMATON_WORDS = 256, 50_000
-_ANCHOR = np.dtype([("anchor", "<u8"), ("low", "<u8"), ("high", "<u8"), ("times", "<u4"), ("contents", "<u4")])
-_CONTENT = np.dtype([("c1", "<u8"), ("c2", "<u8"), ("many", "u1")])
-_SEGMENT = np.dtype([("anchor", "<u8"), ("n", "<u4"), ("weight", "u1")])
+#: Contents of one anchor that are still compared in one shard, words of one automaton, and words of a shard, about.
+HOT_CONTENTS, AUTOMATON_WORDS, SHARD_WORDS = 256, 50_000, 1 << 18
 
 
 class SuffixAutomaton:
@@ -103,250 +104,144 @@ class SuffixAutomaton:
         return out[window - 1 :]
 
 
-class _Segments:
-    """Words, windows and segments of a batch; distinct contents are sorted, whatever the order of the documents."""
+class _Words:
+    """Words of a batch and their hashes."""
 
-    def __init__(self, texts, window: int):
+    def __init__(self, texts):
         self.texts = t = Texts(texts, SPACE_WORDS)
         self.starts, self.ends, self.of = t.words()
         self.n = counts(self.of, t.n)
-        h = self.h = t.hashes(self.starts, self.ends)
-        ok = np.flatnonzero(valid_starts(self.of, window)) if len(h) >= window else np.zeros(0, np.int64)
-        if not len(ok):
-            none = np.zeros(0, np.int64)
-            self.start, self.size, self.content, self.pick = none, none, none, none
-            self.w1 = self.w2 = self.c1 = self.c2 = self.anchor = np.zeros(0, U64)
-            self.times = none
-            return
-        g = grams(h, GRAM)
-        low = U64(0xFFFFFFFF)
-        place = np.arange(len(g), dtype=U64)
-        least = low - (sliding_min((g & ~low) | (low - place), window - GRAM + 1)[ok] & low)  # where the smallest gram stands, the last of equals
-        new = np.concatenate([[True], (ok[1:] != ok[:-1] + 1) | (least[1:] != least[:-1])])
-        cut = np.flatnonzero(new)
-        self.start, self.size = ok[cut], np.diff(np.append(cut, len(ok)))
-        self.w1, self.w2 = grams(h, window, seed=1), grams(h, window, seed=2)
-        last = self.start + self.size - 1
-        n = self.size.astype(U64)
-        c1 = grams(np.stack([self.w1[self.start], self.w1[last], n], axis=1).ravel(), 3)[::3]
-        c2 = grams(np.stack([self.w2[self.start], self.w2[last], n], axis=1).ravel(), 3)[::3]
-        order = np.lexsort((c2, c1))
-        a, b = c1[order], c2[order]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        self.content = np.empty(len(order), np.int64)
-        self.content[order] = np.cumsum(first) - 1
-        #: A segment of each distinct content.
-        self.pick = order[first]
-        # Smallest grams are small numbers; mixed again, they spread evenly over the shards.
-        self.c1, self.c2, self.anchor = c1[self.pick], c2[self.pick], mix(g[least[cut].astype(np.int64)][self.pick])
-        self.times = np.diff(np.append(np.flatnonzero(first), len(order)))
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """The anchors' entries, sorted, and the entry of each content."""
-        order = np.lexsort((self.c1, self.anchor))
-        a, c = self.anchor[order], self.c1[order]
-        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-        entry = np.zeros(len(first), _ANCHOR)
-        if len(a):
-            size = np.diff(np.append(first, len(a)))
-            entry["anchor"], entry["low"], entry["high"] = a[first], c[first], c[first + size - 1]
-            entry["times"], entry["contents"] = np.add.reduceat(self.times[order], first), size
-        where = np.empty(len(a), np.int64)
-        where[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(a)))) if len(a) else where
-        return entry, where
-
-    def verdict(self, answers: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each content: repeated in full, to be looked at, and the answer for its anchor."""
-        _, where = self.anchors()
-        content, anchor = exchange.joined(answers, CONTENT, np.uint8), exchange.joined(answers, ANCHOR, np.uint8)[where]
-        return content, (content == 0) & (anchor >= 2), anchor
-
-    def closer(self, answers: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contents that go to their anchor's automaton, in order; contents whose windows are dealt one by one; and weights."""
-        content, look, anchor = self.verdict(answers)
-        send = look | ((content == 2) & (anchor >= 2))
-        some = np.flatnonzero(send & (anchor == 2))
-        some = some[np.lexsort((self.c2[some], self.c1[some], self.anchor[some]))]
-        return some, np.flatnonzero(send & (anchor == 3)), np.where(content > 0, 2, 1)
-
-    def windows(self, contents: np.ndarray) -> np.ndarray:
-        """First words of the windows of these contents' segments."""
-        s, n = self.start[self.pick[contents]], self.size[self.pick[contents]]
-        return np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-    def hot_windows(self, contents: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Their distinct windows as sorted entries, and the entry of each window."""
-        at = self.windows(contents)
-        w = np.repeat(weight[contents], self.size[self.pick[contents]])
-        order = np.lexsort((self.w2[at], self.w1[at]))
-        a, b = self.w1[at][order], self.w2[at][order]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        cut = np.flatnonzero(first)
-        entry = np.zeros(len(cut), _CONTENT)
-        where = np.empty(len(at), np.int64)
-        if len(a):
-            entry["c1"], entry["c2"], entry["many"] = a[cut], b[cut], np.minimum(np.add.reduceat(w[order], cut), 2)
-            where[order] = np.cumsum(first) - 1
-        return entry, where
-
-
-def _pack(entries: np.ndarray):
-    return lambda a, b: entries[a:b].tobytes()
-
-
-def _count_contents(payloads: list) -> list:
-    """For entries (c1, c2, many) of all batches: 0 occurs once, 1 more often, 2 so and this entry is the first of them."""
-    parts = [np.frombuffer(p, _CONTENT) for p in payloads]
-    x = np.concatenate(parts)
-    order = np.lexsort((x["c2"], x["c1"]))
-    a, b = x["c1"][order], x["c2"][order]
-    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    size = np.diff(np.append(cut, len(x)))
-    more = np.add.reduceat(x["many"][order].astype(np.int64), cut) > 1
-    got = np.empty(len(x), np.uint8)
-    got[order] = np.repeat(more, size)
-    got[order[cut[more]]] = 2
-    return _cut(got, parts)
-
-
-def _cut(values: np.ndarray, parts: list) -> list:
-    ends = np.cumsum([len(p) for p in parts])
-    return [v.tobytes() for v in np.split(values, ends[:-1])]
-
-
-def _count_anchors(payloads: list) -> list:
-    """0 the anchor occurs once, 1 with one content, 2 with several, 3 with very many."""
-    parts = [np.frombuffer(p, _ANCHOR) for p in payloads]
-    x = np.concatenate(parts)
-    order = np.argsort(x["anchor"], kind="stable")
-    a = x["anchor"][order]
-    cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    total = np.add.reduceat(x["times"][order].astype(np.int64), cut)
-    contents = np.add.reduceat(x["contents"][order].astype(np.int64), cut)
-    several = np.minimum.reduceat(x["low"][order], cut) != np.maximum.reduceat(x["high"][order], cut)
-    got = np.empty(len(x), np.uint8)
-    got[order] = np.repeat(np.where(total < 2, 0, np.where(~several, 1, np.where(contents <= HOT_CONTENTS, 2, 3))), np.diff(np.append(cut, len(x))))
-    return _cut(got, parts)
-
-
-def _match(payloads: list, window: int) -> list:
-    """Runs the segments of all batches through automata over portions of whole anchors."""
-    heads, words = [], []
-    for p in payloads:
-        n = int(np.frombuffer(p, np.int64, 1)[0])
-        head = np.frombuffer(p, _SEGMENT, n, 8)
-        heads.append(head)
-        words.append(np.frombuffer(p, U64, int(head["n"].sum()), 8 + n * _SEGMENT.itemsize))
-    head, word = np.concatenate(heads), np.concatenate(words)
-    ends = np.cumsum(head["n"], dtype=np.int64)
-    starts, many = ends - head["n"], head["n"].astype(np.int64) - window + 1
-    out, at = np.zeros(int(many.sum()), np.uint8), np.cumsum(many) - many
-    order = np.argsort(head["anchor"], kind="stable")
-    a = head["anchor"][order]
-    cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
-    held: list[int] = []
+        self.first = np.cumsum(self.n) - self.n
+        self.h = t.hashes(self.starts, self.ends)
+
+
+def _segments(w: _Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows, anchor and content hash of each segment."""
+    h = w.h
+    ok = np.flatnonzero(valid_starts(w.of, window)) if len(h) >= window else np.zeros(0, np.int64)
+    if not len(ok):
+        return ok, ok, np.zeros(0, U64), np.zeros(0, U64)
+    g = grams(h, GRAM)
+    low = U64(0xFFFFFFFF)
+    place = np.arange(len(g), dtype=U64)
+    least = low - (sliding_min((g & ~low) | (low - place), window - GRAM + 1)[ok] & low)  # where the smallest gram stands, the last of equals
+    cut = np.flatnonzero(np.concatenate([[True], (ok[1:] != ok[:-1] + 1) | (least[1:] != least[:-1])]))
+    start, size = ok[cut], np.diff(np.append(cut, len(ok)))
+    whole = grams(h, window, seed=1)
+    content = grams(np.stack([whole[start], whole[start + size - 1], size.astype(U64)], axis=1).ravel(), 3)[::3]
+    return start, size, mix(g[least[cut].astype(np.int64)]), content
+
+
+def _match(table: pa.Table, window: int) -> tuple[np.ndarray, list]:
+    """Runs the contents of a shard through automata over portions of whole anchors: rows, and their repeated windows."""
+    anchor, weight = (table.column(c).to_numpy() for c in ("anchor", "weight"))
+    words = [np.frombuffer(x.as_buffer(), U64) for x in table.column("words").combine_chunks()]
+    order = np.lexsort((table.column("content").to_numpy(), anchor))
+    cut = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]]))
+    rows, found, held, load = [], [], [], 0
 
     def flush() -> None:
-        texts = [word[starts[i] : ends[i]].tolist() for i in held]
-        automaton = SuffixAutomaton(texts, head["weight"][held].tolist())
+        texts = [words[i].tolist() for i in held]
+        automaton = SuffixAutomaton(texts, [min(int(weight[i]), 2) for i in held])
         for i, text in zip(held, texts, strict=True):
-            if head["weight"][i] == 1:
-                out[at[i] : at[i] + many[i]] = automaton.repeats(text, window)
+            if weight[i] == 1 and (again := np.flatnonzero(automaton.repeats(text, window))).size:
+                rows.append(i)
+                found.append(again.tolist())
         held.clear()
 
-    load = 0
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        mine = order[lo:hi].tolist()
-        size = int(head["n"][mine].sum())
+        size = sum(len(words[i]) for i in order[lo:hi])
         if held and load + size > AUTOMATON_WORDS:
             flush()
             load = 0
-        held += mine
+        held += order[lo:hi].tolist()
         load += size
     if held:
         flush()
-    back, k = [], 0
-    for h in heads:
-        back.append(out[k : (k := k + int(h["n"].sum()) - len(h) * (window - 1))].tobytes())
-    return back
+    return np.array(rows, np.int64), found
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, removed (spans of words, ends excluded) and kept (the other words, joined by one space), a row for each row of docs."""
     if window < GRAM:
         raise ValueError(f"a window has {GRAM} words at least")
-    kind = docs.schema[id_col].dataType.simpleString()
-    plan = exchange.Plan(docs, text_col, batch_bytes, shard_bytes)
-    batched, shards = plan.batched(docs, id_col, text_col), plan.shards
-
-    def first_round(t: pa.Table) -> list[tuple]:
-        s, number = _Segments(t.column("_text"), window), t.column("batch")[0].as_py()
-        content = np.zeros(len(s.c1), _CONTENT)
-        content["c1"], content["c2"], content["many"] = s.c1, s.c2, np.minimum(s.times, 2)
-        anchor, _ = s.anchors()
-        return exchange.request(number, CONTENT, shards, content["c1"], _pack(content)) + exchange.request(number, ANCHOR, shards, anchor["anchor"], _pack(anchor))
-
-    def second_round(t: pa.Table, answers: dict) -> pa.Table:
-        if not t.num_rows:
-            return exchange.table([])
-        s, number = _Segments(t.column("_text"), window), t.column("batch")[0].as_py()
-        some, hot, weight = s.closer(answers)
-        head = np.zeros(len(some), _SEGMENT)
-        start = s.start[s.pick[some]]
-        head["anchor"], head["n"], head["weight"] = s.anchor[some], s.size[s.pick[some]] + window - 1, weight[some]
-
-        def pack(a: int, b: int) -> bytes:
-            return np.int64(b - a).tobytes() + head[a:b].tobytes() + b"".join(s.h[x : x + n].tobytes() for x, n in zip(start[a:b], head["n"][a:b].tolist(), strict=True))
-
-        entry, _ = s.hot_windows(hot, weight)
-        return exchange.table(exchange.request(number, WORDS, shards, head["anchor"], pack) + exchange.request(number, WINDOW, shards, entry["c1"], _pack(entry)))
-
-    def decide(which: int, batches: list, payloads: list) -> list:
-        return {CONTENT: _count_contents, ANCHOR: _count_anchors, WINDOW: _count_contents}[which](payloads) if which != WORDS else _match(payloads, window)
-
-    def last_round(t: pa.Table, answers: dict) -> pa.Table:
-        if not t.num_rows:
-            return None
-        s = _Segments(t.column("_text"), window)
-        repeat = np.zeros(len(s.h) + 1, bool)  # windows, by first word
-        if len(s.start):
-            content, look, _ = s.verdict(answers)
-            some, hot, weight = s.closer(answers)
-            flags = [np.repeat(content > 0, s.size[s.pick])]
-            base = np.cumsum(s.size[s.pick]) - s.size[s.pick]
-            flag = flags[0]
-            for which, got in ((some, exchange.joined(answers, WORDS, np.uint8)), (hot, None)):
-                if not len(which):
-                    continue
-                if got is None:
-                    got = exchange.joined(answers, WINDOW, np.uint8)[s.hot_windows(hot, weight)[1]]
-                n = s.size[s.pick[which]]
-                at = np.repeat(base[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                mine = np.repeat(look[which], n)
-                flag[at[mine]] = got[mine] > 0
-            n = s.size
-            at = np.repeat(base[s.content] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            repeat[np.repeat(s.start - (np.cumsum(n) - n), n) + np.arange(n.sum())] = flag[at]
-        m = len(s.h)
-        begin = np.flatnonzero(repeat[:m])
-        d = np.bincount(begin, minlength=m + window)[:m] - np.bincount(begin + window, minlength=m + window)[:m]
-        gone = np.cumsum(d) > 0
-        removed = counts(s.of[gone], s.texts.n)
-        return pa.table({id_col: t.column("_id"), "n_words": pa.array(s.n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "removed": _word_spans(gone, s), "kept": _join(s, ~gone)})
-
-    first = exchange.answer(exchange.ask(batched, first_round), decide)
-    second = exchange.answer(batched.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_by_kind(second_round), exchange.REQUEST), decide)
-    return exchange.finish(batched, first.unionAll(second), last_round, f"`{id_col}` {kind}, n_words long, n_removed long, removed array<array<int>>, kept string")
-
-
-def _by_kind(make):
-    def run(docs: pa.Table, got: pa.Table) -> pa.Table:
-        return make(docs, exchange.by_kind(got))
-
-    return run
-
-
-def _word_spans(gone: np.ndarray, s: _Segments) -> pa.Array:
+    kind, work = docs.schema[id_col].dataType.simpleString(), Work(docs.sparkSession)
+    base = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
+    same_row = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i"))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w = _Words(batch.column(2))
+        start, size, anchor, content = _segments(w, window)
+        of = w.of[start]
+        row = pa.array(of)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(start - w.first[of], pa.int32()), pa.array(size, pa.int32())], names=["_id", "_key", "anchor", "content", "start", "size"])
+
+    segments = base.mapInArrow(by_pieces(cut, "_text"), f"_id {kind}, _key long, anchor long, content long, start int, size int")
+    # What is aggregated by a key is written before it is joined by it, so that the join can split a hot key over tasks.
+    shared = work.write(segments.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"))
+    near = work.write(segments.join(shared, "anchor", "left_semi"))
+    contents = work.write(near.groupBy("anchor", "content", "size").agg(F.count("*").alias("weight"), F.min(F.struct("_id", "_key", "start")).alias("at")))
+    several = work.write(contents.groupBy("anchor").agg(F.count("*").alias("m"), F.min("weight").alias("least")).where("m > 1 and least = 1").drop("least"))
+    closer = contents.join(several, "anchor")
+
+    # The words of one copy of each content that needs a closer look.
+    asked = closer.select(F.col("at._id").alias("_i"), F.col("at._key").alias("_k"), F.struct("anchor", "content", "weight", "m", "at.start", "size").alias("s")).groupBy("_i", "_k").agg(F.collect_list("s").alias("s"))
+    texts = base.join(asked, same_row).dropDuplicates(["_i", "_k"]).select("_text", "s")
+
+    def words_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, s = _Words(batch.column(0)), batch.column(1)
+        flat = s.flatten()
+        of = np.repeat(np.arange(len(s)), pa.compute.list_value_length(s).to_numpy(zero_copy_only=False))
+        begin, size = w.first[of] + flat.field("start").to_numpy(), flat.field("size").to_numpy()
+        words = pa.array([w.h[a : a + k + window - 1].tobytes() for a, k in zip(begin.tolist(), size.tolist(), strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("anchor", "content", "weight", "m")), words], names=["anchor", "content", "weight", "m", "words"])
+
+    words = work.write(texts.mapInArrow(by_pieces(words_of, "_text"), "anchor long, content long, weight long, m long, words binary"))
+    total = words.where(F.col("m") <= HOT_CONTENTS).agg(F.sum(F.length("words"))).first()[0] or 0
+
+    def match(table: pa.Table) -> pa.Table:
+        rows, found = _match(table, window)
+        return pa.table([table.column("anchor").take(pa.array(rows)), table.column("content").take(pa.array(rows)), pa.array(found, pa.list_(pa.int32()))], names=["anchor", "content", "windows"])
+
+    sharded = words.where(F.col("m") <= HOT_CONTENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 + total // (8 * SHARD_WORDS))))
+    partly = sharded.groupBy("shard").applyInArrow(match, "anchor long, content long, windows array<int>")
+
+    def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        size = pa.compute.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
+        h = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), U64)
+        of = np.repeat(np.arange(len(size)), size)
+        at = np.flatnonzero(valid_starts(of, window)) if len(h) >= window else np.zeros(0, np.int64)
+        row = pa.array(of[at])
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), pa.array(at - (np.cumsum(size) - size)[of[at]], pa.int32()), *(pa.array(grams(h, window, seed=k)[at].view(np.int64)) for k in (1, 2))], names=["anchor", "content", "weight", "i", "w1", "w2"])
+
+    hot = words.where(F.col("m") > HOT_CONTENTS).select("anchor", "content", "weight", "words")
+    hot = hot.mapInArrow(by_pieces(windows_of, "words"), "anchor long, content long, weight long, i int, w1 long, w2 long")
+    again = work.write(hot.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").drop("n"))
+    counted = hot.where("weight = 1").join(again, ["w1", "w2"]).groupBy("anchor", "content").agg(F.collect_set("i").alias("windows"))
+    whole = contents.where("weight > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("windows"))
+    repeated = work.write(whole.unionByName(partly).unionByName(counted))
+
+    # Sets, as equal rows bring equal spans.
+    spans = near.join(repeated, ["anchor", "content"]).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "size", "windows")).alias("spans"))
+    spans = work.write(spans.withColumnsRenamed({"_id": "_i", "_key": "_k"}))
+    work.drop(shared, near, contents, several, words, again, repeated)
+
+    def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, spans_ = _Words(batch.column(1)), batch.column(2)
+        d = np.zeros(len(w.h) + 1, np.int64)
+        for i in np.flatnonzero(spans_.is_valid().to_numpy(zero_copy_only=False)):
+            for s in spans_[i].as_py():
+                begin = w.first[i] + s["start"] + (np.arange(s["size"]) if s["windows"] is None else np.array(s["windows"]))
+                np.add.at(d, begin, 1)
+                np.add.at(d, begin + window, -1)
+        gone = np.cumsum(d)[:-1] > 0
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(w.n, pa.int64()), pa.array(counts(w.of[gone], w.texts.n), pa.int64()), _word_spans(gone, w), _join(w, ~gone)], names=[id_col, "n_words", "n_removed", "removed", "kept"])
+
+    out = base.join(spans, same_row, "left").select("_id", "_text", "spans")
+    return out.mapInArrow(by_pieces(remove, "_text"), f"`{id_col}` {kind}, n_words long, n_removed long, removed array<array<int>>, kept string")
+
+
+def _word_spans(gone: np.ndarray, s: _Words) -> pa.Array:
     """Runs of removed words of each text."""
     first = np.cumsum(s.n) - s.n
     edge = np.ones(len(gone), bool)
@@ -362,7 +257,7 @@ def _word_spans(gone: np.ndarray, s: _Segments) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts(of, s.texts.n))]).astype(np.int32)), inner)
 
 
-def _join(s: _Segments, keep: np.ndarray) -> pa.Array:
+def _join(s: _Words, keep: np.ndarray) -> pa.Array:
     """The kept words of each text, joined by one space."""
     a, b, of = s.starts[keep], s.ends[keep], s.of[keep]
     size = b - a + 1  # with the space after

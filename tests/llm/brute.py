@@ -128,25 +128,26 @@ def jaccard_groups(rows, threshold=0.8):
 
 
 # 8
-def lm_scores(texts, backoff=0.4, least=2, order=2):
+def lm_scores(texts, corpus, order=2, backoff=0.4):
+    """(words, words scored by a pair or longer that the corpus has twice, backoffs, log score) of each text."""
     count = collections.Counter()
-    for t in texts:
+    for t in corpus:
         w = words(t)
         count.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
     total, out = sum(c for g, c in count.items() if len(g) == 1), []
 
     def score(gram):
         if len(gram) == 1:
-            return count[gram] / total, False
-        if count[gram] >= least:
-            return count[gram] / count[gram[:-1]], True
-        s, hit = score(gram[1:])
-        return backoff * s, hit
+            return max(1, count[gram]) / max(1, total), 0, 0
+        if count[gram]:
+            return count[gram] / count[gram[:-1]], int(count[gram] > 1), 0
+        s, hit, cut = score(gram[1:])
+        return backoff * s, hit, cut + 1
 
     for t in texts:
         w = words(t)
         got = [score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))]
-        out.append((len(w), sum(h for _, h in got), sum(math.log(s) for s, _ in got) if w else None))
+        out.append((len(w), sum(h for _, h, _ in got), sum(b for _, _, b in got), sum(math.log(s) for s, _, _ in got) if w else None))
     return out
 
 
