@@ -9,6 +9,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder: the cluster's spark.checkpoint.dir, or one in the warehouse where that is unset."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        given = spark.conf.get("spark.checkpoint.dir", "")
-        spark.sparkContext.setCheckpointDir(given or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        given, warehouse = spark.conf.get("spark.checkpoint.dir", ""), spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not given and not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(given or f"{warehouse}/_checkpoints")
     return df.checkpoint()
