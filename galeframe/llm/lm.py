@@ -6,8 +6,9 @@ corpus are counted. Words near the start of a document have the context that the
 
 `score` takes the documents themselves as the corpus. Each n-gram of a document has been counted then, so that the longest
 decides and the logarithm of a document's score is a sum over its n-grams: times of the n-gram as one that scores a word,
-less its times as a context, by the logarithm of its count. So rows (document, n-gram, times) are dealt by the hash of the
-n-gram, counted there, and summed per document; the n-grams cross the network once. N-grams that make up more than about
+less its times as a context, by the logarithm of its count. So n-grams are dealt by hash (a row holds those that a
+document has in one part of the hash space), exploded there, counted, and their scores summed per document; they cross
+the network once. N-grams that make up more than about
 1 / MOST_HOT of all words would gather in one task. There are at most MOST_HOT of each order; they are found by what is
 frequent in a task's own words, counted exactly, and their counts are broadcast as a table that the documents are scored
 with before the rest of their n-grams is dealt.
@@ -17,7 +18,7 @@ the exploded n-grams, order by order, the unseen ones backing off.
 
 Defined results: a null text or one without words has 0 words and null scores; repeated rows each count in the corpus
 and each get their result; extra columns are ignored; a word that another corpus lacks counts as one that it has once;
-n-grams are told apart by 64-bit hashes.
+n-grams are told apart by 64-bit hashes, and so are the documents that parts of a score belong to.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ U64 = np.uint64
 #: At most so many n-grams of an order are broadcast, 16 bytes each.
 MOST_HOT = 1 << 20
 #: A task reports its frequent n-grams for each so many words, a partition of the exchange is for about so many, and so many bytes of text are exploded at once.
-HEAVY_WORDS, PARTITION_WORDS, EXPLODED_BYTES = 4_000_000, 2_250_000, 2 << 20
+HEAVY_WORDS, PARTITION_WORDS, EXPLODED_BYTES = 2_200_000, 2_250_000, 1 << 20
 
 
 class _Grams:
@@ -139,18 +140,21 @@ def _checked(order: int) -> None:
 def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", most_hot: int = MOST_HOT, partition_words: int = PARTITION_WORDS) -> DataFrame:
     """Documents scored by themselves as the corpus: id, n_words, n_pair_hits (words scored by a pair or a longer n-gram that occurs twice or more), log_score (sum of natural logarithms) and mean_log_score, a row for each row of docs."""
     _checked(order)
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     keys, times, n = hot_counts(docs.select(text_col), order, most_hot, Work(spark))
     shared = spark.sparkContext.broadcast((keys, times))
     base = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
 
+    # A few parts for each core at least, where there are words enough.
+    parts = 1 + max(n // partition_words, min(4 * spark.sparkContext.defaultParallelism, 10 * n // partition_words))
+
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """A row for each document and n-gram that isn't broadcast, and one for each document with its words and the score of the others."""
+        """A row for each document and part with the n-grams that aren't broadcast, and one for each document with its words and the score of the others."""
         hot, count = shared.value
         logs = np.log(np.maximum(count, 1))
-        g, m = _Grams(batch.column(2), order), batch.num_rows
+        g, m = _Grams(batch.column(1), order), batch.num_rows
         done, hits = -np.log(max(n, 1)) * (g.n if order == 1 else np.minimum(g.n, 1)), np.zeros(m)
-        rows = []
+        cold = []
         for k, (at, x) in enumerate(zip(g.at, g.grams, strict=True), 1):
             of = g.of[at]
             opens, goes_on = at == g.first[of], at < (g.first + g.n)[of] - k
@@ -163,28 +167,35 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
             i, known = _looked_up(hot, gram)
             done += np.bincount(doc[known], weight[known] * logs[i[known]], m)
             hits += np.bincount(doc[known], hit[known] * (count[i[known]] > 1), m)
-            rows.append([z[~known] for z in (doc, gram, often, weight, hit)])
-        rows.append([np.arange(m), mix(g.n.astype(U64) * U64(1 << 32) + np.arange(m, dtype=U64)), *np.zeros((2, m), np.int64), hits.astype(np.int64)])
-        doc, gram, often, weight, hit = (np.concatenate(z) for z in zip(*rows, strict=True))
-        by_doc = np.argsort(doc, kind="stable")  # neighbours that are alike make small shuffle blocks
-        doc, of_gram = doc[by_doc], by_doc < len(doc) - m
-        columns = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), _signed(gram[by_doc]), *(pa.array(z[by_doc], pa.int32()) for z in (often, weight, hit)), pa.array(done[doc], mask=of_gram), pa.array(g.n[doc], pa.int64(), mask=of_gram)]
-        return pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "gram", "times", "weight", "hit", "done", "words"])
+            cold.append([z[~known] for z in (doc, gram, np.stack([often, weight, hit], axis=1))])
+        doc, gram, uses = (np.concatenate(z) for z in zip(*cold, strict=True))
+        part = (gram >> U64(16)).astype(np.int64) % parts
+        order_ = np.argsort(doc * parts + part, kind="stable")  # n-grams of an order stay together
+        where = (doc * parts + part)[order_]
+        cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
+        row, of_doc = np.concatenate([doc[order_][cut], np.arange(m)]), np.arange(len(cut) + m) >= len(cut)
+        ends = np.concatenate([cut, np.full(m + 1, len(where))])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(gram[order_])), pa.ListArray.from_arrays(pa.array(3 * ends, pa.int32()), pa.array(uses[order_].ravel(), pa.int32()))]
+        own = pa.StructArray.from_arrays([pa.array(done[row]), pa.array(g.n[row], pa.int64()), pa.array(hits[row].astype(np.int64))], ["score", "words", "hits"], mask=pa.array(~of_doc))
+        parts_ = pa.array(np.concatenate([part[order_][cut], np.arange(m) % parts]), pa.int32())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), parts_, own, *lists], names=["_key", "part", "own", "grams", "uses"])
 
     def exploded(batches):
         for batch in batches:
             for piece in pieces(batch, "_text", EXPLODED_BYTES):
                 yield explode(piece)
 
-    rows = base.mapInArrow(exploded, f"_id {kind}, _key long, gram long, times int, weight int, hit int, done double, words long")
-    # The row that a document has for itself counts no n-gram: its times are 0.
-    dealt = rows.repartition(1 + n // partition_words, "gram")
-    known = dealt.withColumn("c", F.sum("times").over(Window.partitionBy("gram")))
-    worth = F.coalesce("done", F.col("weight") * F.log("c"))
-    hit = F.when(F.col("words").isNotNull() | (F.col("c") > 1), F.col("hit")).otherwise(0)
-    sums = known.groupBy("_id", "_key").agg(F.sum(worth).alias("score"), F.sum(hit).alias("hits"), F.max("words").alias("n_words"), F.count("words").alias("copies"))
-    sums = sums.select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "n_words", (F.col("hits") / F.col("copies")).cast("long").alias("n_pair_hits"), F.when(F.col("n_words") > 0, F.col("score") / F.col("copies")).alias("log_score"))
-    out = base.select("_id", "_key").join(sums, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")))
+    rows = base.select("_key", "_text").mapInArrow(exploded, "_key long, part int, own struct<score: double, words: bigint, hits: bigint>, grams array<long>, uses array<int>")
+    # uses has three numbers for each n-gram: times that it stands in the document, weight of its logarithm, and words
+    # that it scores. The last two travel as one through the sort.
+    dealt = rows.repartition(parts, "part").select("_key", "part", "own", "uses", F.posexplode_outer("grams").alias("i", "gram"))
+    dealt = dealt.select("_key", "part", "own", "gram", F.expr("get(uses, 3 * i)").alias("times"), F.expr("shiftleft(cast(get(uses, 3 * i + 1) as bigint), 32) + get(uses, 3 * i + 2)").alias("worth"))
+    known = dealt.withColumn("c", F.sum("times").over(Window.partitionBy("gram", "part")))
+    score = F.coalesce("own.score", F.shiftright("worth", 32) * F.log("c"))
+    hit = F.coalesce("own.hits", F.when(F.col("c") > 1, F.col("worth").bitwiseAND(0xFFFFFFFF)))
+    sums = known.groupBy("_key").agg(F.sum(score).alias("score"), F.sum(hit).alias("hits"), F.max("own.words").alias("n_words"), F.count("own").alias("copies"))
+    sums = sums.select(F.col("_key"), "n_words", (F.col("hits") / F.col("copies")).cast("long").alias("n_pair_hits"), F.when(F.col("n_words") > 0, F.col("score") / F.col("copies")).alias("log_score"))
+    out = base.select("_id", "_key").join(sums, "_key")
     return out.select(F.col("_id").alias(id_col), "n_words", "n_pair_hits", "log_score", (F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 
