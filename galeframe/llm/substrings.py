@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         row = pa.array(of[at])
         return pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(3)), pa.array(at - (np.cumsum(size) - size)[of[at]], pa.int32()), *(pa.array(grams(h, window, seed=k)[at].view(np.int64)) for k in (1, 2))], names=["anchor", "content", "weight", "i", "w1", "w2"])
 
-    hot = words.where(F.col("m") > HOT_CONTENTS).select("anchor", "content", "weight", "words")
+    # Dealt evenly first: a hot anchor's contents may lie in few files.
+    hot = words.where(F.col("m") > HOT_CONTENTS).select("anchor", "content", "weight", "words").repartition("anchor", "content")
     hot = hot.mapInArrow(by_pieces(windows_of, "words"), "anchor long, content long, weight long, i int, w1 long, w2 long")
     again = work.write(hot.groupBy("w1", "w2").agg(F.sum("weight").alias("n")).where("n > 1").drop("n"))
     counted = hot.where("weight = 1").join(again, ["w1", "w2"]).groupBy("anchor", "content").agg(F.collect_set("i").alias("windows"))
