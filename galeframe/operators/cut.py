@@ -1,16 +1,28 @@
-"""Cutting the lineage of a loop's state, in the folder that the cluster shares."""
+"""Written state: the lineage of a loop cut, and scratch folders, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Where it is unset, a folder of the warehouse, but on a cluster not one of the driver's own disk."""
+    given, warehouse = spark.conf.get("spark.checkpoint.dir", ""), spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not given and not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return given or f"{warehouse}/_checkpoints"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder: the cluster's spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    """df, written to the checkpoint folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        given, warehouse = spark.conf.get("spark.checkpoint.dir", ""), spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        if not given and not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(given or f"{warehouse}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

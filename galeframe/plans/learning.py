@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.functions import labels
+from galeframe.functions import cdf, labels
 from galeframe.operators import experiments, metrics, ml, reshape
 from galeframe.plans.base import LONG, long_table, r, rounded
 
@@ -90,11 +90,51 @@ def q91_sweep_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(experiments.sweep_report(runs, "subset"))
 
 
+def q92_fold_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What is determinate of q80_leave_one_out: each gold-standard row is predicted once, by a model without its station."""
+    got = q80_leave_one_out(spark, d)
+    return rounded(got.select("station_id", F.col("height_m").cast("int").alias("height_m"), "qnum", "observed", F.col("predicted").isNotNull().alias("predicted")))
+
+
+def _shape(scored: DataFrame) -> DataFrame:
+    """Rows, and drops over the quantiles, of each station and height."""
+    g = scored.groupBy("station_id", "height_m").agg(F.count("pred_observation").alias("n"), cdf.collected(F.col("qnum"), F.col("pred_observation")).alias("p"))
+    return g.select("station_id", "height_m", "n", cdf.count_drops(F.col("p.v")).alias("drops"))
+
+
+def q93_final_model_shape(spark: SparkSession, d: str) -> DataFrame:
+    """What is determinate of q81_final_model: a prediction for each row, never falling over the quantiles."""
+    return rounded(_shape(q81_final_model(spark, d)))
+
+
+def q94_network_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What is determinate of q84_network: a prediction for each row."""
+    return rounded(_shape(q84_network(spark, d)).drop("drops"))
+
+
+def q95_hybrid_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What is determinate of q82_hybrid_model: a prediction for each row, positive in the tail."""
+    got = q82_hybrid_model(spark, d)
+    return rounded(got.groupBy("station_id", "height_m").agg(F.count("pred_observation").alias("n"), F.count(F.when((F.col("qnum") >= 95) & (F.col("pred_observation") > 0), 1)).alias("positive_tail")))
+
+
+def q96_wide_model_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """One model for each of the 101 quantiles."""
+    a = reshape.to_arrays(long_table(spark, d), ["station_id", "height_m"], ["observation", "era5", "wtk"])
+    got = ml.wide_models(a, ["era5", "wtk"], [], "observation", list(range(101)), {"trees": 2, "depth": 2})
+    return rounded(got.groupBy("qnum").agg(F.count("*").alias("models")))
+
+
 QUERIES = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 _T = f"with {LONG}, t as (select *, cast(substr(station_id, 2) as int) n from lng), ex as (select distinct station_id fold, station_id from t where typ = 'GS' union select distinct station_id, 'S' || (n + 2) from t where typ = 'GS' and n % 4 = 0)"
 
 ORACLES = {
+    "q92_fold_rows": f"{_T} select station_id, height_m::bigint height_m, qnum::bigint qnum, {r('observation')} observed, true predicted from t where typ = 'GS'",
+    "q93_final_model_shape": f"{_T} select station_id, height_m::bigint height_m, count(*)::bigint n, 0::bigint drops from t group by 1, 2",
+    "q94_network_rows": f"{_T} select station_id, height_m::bigint height_m, count(*)::bigint n from t group by 1, 2",
+    "q95_hybrid_rows": f"{_T} select station_id, height_m::bigint height_m, count(*)::bigint n, count(*) filter (where qnum >= 95)::bigint positive_tail from t group by 1, 2",
+    "q96_wide_model_numbers": "select unnest(range(0, 101)) qnum, 1::bigint models",
     "q91_sweep_report": f"with m as (select unnest(range(0, 8)) m), b as (select unnest([1, 2, 4]) b, unnest(['a', 'b', 'c']) feature), p as (select feature, (2.0 - pow(m + b, 2) / 70.0) - (2.0 - pow(m, 2) / 70.0) c from m, b where m & b = 0) select feature, {r('avg(c)')} mean, {r('avg(c) - 1.96 * stddev_samp(c) / sqrt(count(*))')} low, {r('avg(c) + 1.96 * stddev_samp(c) / sqrt(count(*))')} high, cast(count(*) as bigint) n from p group by 1",
     "q85_neighbour_map": f"{_T} select fold, station_id from ex",
     "q86_folds": f"{_T} select fold, 'train' as role, cast(count(*) as bigint) as n from t, (select distinct fold from ex) f where not exists (select 1 from ex where ex.fold = f.fold and ex.station_id = t.station_id) group by 1 union all select station_id, 'test', cast(count(*) as bigint) from t where typ = 'GS' group by 1",

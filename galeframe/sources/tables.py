@@ -58,8 +58,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str = r"\.(parquet|pq|
 def read_tiles(spark: SparkSession, folder: str) -> DataFrame:
     """Tile files of any of the formats: grid_id, lat, lon, height_m and all 101 quantiles, NULL where a file lacks one; rows without place go."""
     parts = [with_columns(read_table(spark, f), QCOLS, "double") for f in list_files(spark, folder)]
-    df = union_all([p.select("grid_id", "lat", "lon", "height_m", *QCOLS) for p in parts])
-    return df.withColumns({c: cdf.number(F.col(c)) for c in ["lat", "lon", "height_m", *QCOLS]}).withColumn("grid_id", F.col("grid_id").cast("string")).dropna(subset=["lat", "lon"])
+    # Each part as numbers, as text and numbers don't stack.
+    return union_all([p.select(F.col("grid_id").cast("string").alias("grid_id"), *[cdf.number(F.col(c)).alias(c) for c in ["lat", "lon", "height_m", *QCOLS]]) for p in parts]).dropna(subset=["lat", "lon"])
 
 
 def read_per_height(spark: SparkSession, folder: str) -> DataFrame:
