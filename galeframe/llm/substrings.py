@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         rows, found = _match(table, window)
         return pa.table([table.column("anchor").take(pa.array(rows)), table.column("content").take(pa.array(rows)), pa.array(found, pa.list_(pa.int32()))], names=["anchor", "content", "windows"])
 
-    sharded = words.where(F.col("m") <= HOT_CONTENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 + total // (8 * SHARD_WORDS))))
+    sharded = words.where(F.col("m") <= HOT_CONTENTS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(max(4 * docs.sparkSession.sparkContext.defaultParallelism, 1 + total // (8 * SHARD_WORDS)))))
     partly = sharded.groupBy("shard").applyInArrow(match, "anchor long, content long, windows array<int>")
 
     def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
