@@ -36,7 +36,7 @@ from galeframe.llm.store import Work
 U64 = np.uint64
 #: At most so many n-grams of an order are broadcast, 16 bytes each.
 MOST_HOT = 1 << 20
-#: A task reports its frequent n-grams for each so many words, a partition of the exchange is for about so many, and so many bytes of text are exploded at once.
+#: A task reports its frequent n-grams for each so many words, a partition of the exchange is for about so many, and so many bytes of text are counted or exploded at once.
 HEAVY_WORDS, PARTITION_WORDS, EXPLODED_BYTES = 2_200_000, 2_250_000, 1 << 20
 
 
@@ -84,13 +84,13 @@ def hot_counts(texts: DataFrame, order: int, most: int, work: Work) -> tuple[np.
 
         def report():
             for k in range(order):
-                keys, times = np.unique(np.concatenate(held[k]), return_counts=True)
-                often = times * most >= words  # what is frequent on the whole is so in a report at least
-                yield _counted(keys[often], times[often], None if k else words)
+                every = np.concatenate(held[k])
                 held[k].clear()
+                # What is frequent on the whole is so in a report at least.
+                yield _counted(*_often(every, -(-words // most)), None if k else words)
 
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, EXPLODED_BYTES):
                 g = _Grams(piece.column(0), order)
                 words += len(g.of)
                 for k in range(order):
@@ -110,7 +110,7 @@ def hot_counts(texts: DataFrame, order: int, most: int, work: Work) -> tuple[np.
     def exact(batches):
         keys, total = shared.value, None
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, EXPLODED_BYTES):
                 for got in _Grams(piece.column(0), order).grams:
                     gram, times = np.unique(got, return_counts=True)
                     at, known = _looked_up(keys, gram)
@@ -124,6 +124,13 @@ def hot_counts(texts: DataFrame, order: int, most: int, work: Work) -> tuple[np.
     return keys, times, n
 
 
+def _often(every: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur `least` times or more, and their times. Sorts in place, as `every` may be large."""
+    every.sort()
+    keys = np.unique(every[: max(0, len(every) - least + 1)][every[: max(0, len(every) - least + 1)] == every[least - 1 :]])
+    return keys, np.searchsorted(every, keys, side="right") - np.searchsorted(every, keys)
+
+
 def _looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in sorted keys, and which are found."""
     if not len(keys):
