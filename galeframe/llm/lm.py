@@ -7,8 +7,8 @@ corpus are counted. Words near the start of a document have the context that the
 `score` takes the documents themselves as the corpus. Each n-gram of a document has been counted then, so that the longest
 decides and the logarithm of a document's score is a sum over its n-grams: times of the n-gram as one that scores a word,
 less its times as a context, by the logarithm of its count. So n-grams are dealt by hash (a row holds those that a
-document has in one part of the hash space), exploded there, counted, and their scores summed per document; they cross
-the network once. N-grams that make up more than about
+piece of a batch has in one part of the hash space, each with its document), exploded there, counted, and their scores
+summed per document; they cross the network once. N-grams that make up more than about
 1 / MOST_HOT of all words would gather in one task. There are at most MOST_HOT of each order; they are found by what is
 frequent in a task's own words, counted exactly, and their counts are broadcast as a table that the documents are scored
 with before the rest of their n-grams is dealt.
@@ -156,7 +156,7 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
     parts = 1 + max(n // partition_words, min(4 * spark.sparkContext.defaultParallelism, 10 * n // partition_words))
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """A row for each document and part with the n-grams that aren't broadcast, and one for each document with its words and the score of the others."""
+        """A row for each part with the n-grams that aren't broadcast, and one for each document with its words and the score of the others."""
         hot, count = shared.value
         logs = np.log(np.maximum(count, 1))
         g, m = _Grams(batch.column(1), order), batch.num_rows
@@ -177,26 +177,28 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
             cold.append([z[~known] for z in (doc, gram, np.stack([often, weight, hit], axis=1))])
         doc, gram, uses = (np.concatenate(z) for z in zip(*cold, strict=True))
         part = (gram >> U64(16)).astype(np.int64) % parts
-        order_ = np.argsort(doc * parts + part, kind="stable")  # n-grams of an order stay together
-        where = (doc * parts + part)[order_]
-        cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
-        row, of_doc = np.concatenate([doc[order_][cut], np.arange(m)]), np.arange(len(cut) + m) >= len(cut)
-        ends = np.concatenate([cut, np.full(m + 1, len(where))])
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(gram[order_])), pa.ListArray.from_arrays(pa.array(3 * ends, pa.int32()), pa.array(uses[order_].ravel(), pa.int32()))]
-        own = pa.StructArray.from_arrays([pa.array(done[row]), pa.array(g.n[row], pa.int64()), pa.array(hits[row].astype(np.int64))], ["score", "words", "hits"], mask=pa.array(~of_doc))
-        parts_ = pa.array(np.concatenate([part[order_][cut], np.arange(m) % parts]), pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), parts_, own, *lists], names=["_key", "part", "own", "grams", "uses"])
+        order_ = np.lexsort((doc, part))  # n-grams of a document stay together, and those of an order
+        doc, gram, part, uses = doc[order_], gram[order_], part[order_], uses[order_]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        ends = np.concatenate([cut, np.full(m + 1, len(part))])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)[doc]
+        lists = [pa.ListArray.from_arrays(pa.array(k * ends, pa.int32()), x) for k, x in ((1, pa.array(keys)), (1, _signed(gram)), (3, pa.array(uses.ravel(), pa.int32())))]
+        row = np.concatenate([np.zeros(len(cut), np.int64), np.arange(m)])
+        packed = pa.array(np.arange(len(row)) < len(cut))
+        own = pa.StructArray.from_arrays([batch.column(0).take(pa.array(row)), pa.array(done[row]), pa.array(g.n[row], pa.int64()), pa.array(hits[row].astype(np.int64))], ["key", "score", "words", "hits"], mask=packed)
+        parts_ = pa.array(np.concatenate([part[cut], np.arange(m) % parts]), pa.int32())
+        return pa.RecordBatch.from_arrays([parts_, own, *lists], names=["part", "own", "keys", "grams", "uses"])
 
     def exploded(batches):
         for batch in batches:
             for piece in pieces(batch, "_text", EXPLODED_BYTES):
                 yield explode(piece)
 
-    rows = base.select("_key", "_text").mapInArrow(exploded, "_key long, part int, own struct<score: double, words: bigint, hits: bigint>, grams array<long>, uses array<int>")
+    rows = base.select("_key", "_text").mapInArrow(exploded, "part int, own struct<key: bigint, score: double, words: bigint, hits: bigint>, keys array<long>, grams array<long>, uses array<int>")
     # uses has three numbers for each n-gram: times that it stands in the document, weight of its logarithm, and words
     # that it scores. The last two travel as one through the sort.
-    dealt = rows.repartition(parts, "part").select("_key", "part", "own", "uses", F.posexplode_outer("grams").alias("i", "gram"))
-    dealt = dealt.select("_key", "part", "own", "gram", F.expr("get(uses, 3 * i)").alias("times"), F.expr("shiftleft(cast(get(uses, 3 * i + 1) as bigint), 32) + get(uses, 3 * i + 2)").alias("worth"))
+    dealt = rows.repartition(parts, "part").select("part", "own", "keys", "uses", F.posexplode_outer("grams").alias("i", "gram"))
+    dealt = dealt.select(F.coalesce("own.key", F.expr("get(keys, i)")).alias("_key"), "part", "own", "gram", F.expr("get(uses, 3 * i)").alias("times"), F.expr("shiftleft(cast(get(uses, 3 * i + 1) as bigint), 32) + get(uses, 3 * i + 2)").alias("worth"))
     known = dealt.withColumn("c", F.sum("times").over(Window.partitionBy("gram", "part")))
     score = F.coalesce("own.score", F.shiftright("worth", 32) * F.log("c"))
     hit = F.coalesce("own.hits", F.when(F.col("c") > 1, F.col("worth").bitwiseAND(0xFFFFFFFF)))
