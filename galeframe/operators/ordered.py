@@ -1,23 +1,51 @@
-"""Ranks, runs, top lists and samples. Global orders are built from ranges, so no task holds the whole table."""
+"""Ranks, runs, top lists and samples. Global orders are built from ranges sized to the rows, so no task holds the whole table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def ranked(df: DataFrame, value: str, *ties: str, descending: bool = False, name: str = "rank", parts: int = 64) -> DataFrame:
-    """A global row number by value, then ties; NULLs last. Ranges of the value are ranked apart and shifted by the counts of the ranges before."""
+from galeframe.operators.cut import cut
+
+
+#: Rows that a range of a global order holds, about.
+RANGE_ROWS = 1_000_000
+
+
+def positions(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "position", range_rows: int = RANGE_ROWS, write: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """Each row's place, from 0, in the order given within its group (without groups, in the whole table).
+
+    As many ranges as the rows need are cut from a sample of the order, each about range_rows long whatever the values:
+    rows that are equal in all of the order are told apart by where they were read, so one value in half the table is
+    many ranges. The ranges are sorted and written, so that a repeated task can't move a row; a row's place is its place
+    in the range plus the rows of the ranges before, of which a small table of counts tells. NULL is a group and a value.
+    """
+    group = group or []
+    ranges = max(1, -(-df.count() // range_rows))
+    keys = [*[F.col(g).asc_nulls_first() for g in group], *order, F.col("_read").asc()]
+    told = df.withColumn("_read", F.monotonically_increasing_id())
+    laid = write(told.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("_read").withColumn("_at", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counted = laid.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counted.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    placed = laid.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
+    if not group:
+        return placed
+    first = placed.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min(name).alias("_first"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return placed.join(first, same).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *[f"_g_{g}" for g in group])
+
+
+def ranked(df: DataFrame, value: str, *ties: str, descending: bool = False, name: str = "rank", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """A global row number by value, then ties; NULLs last."""
     v = F.col(value).cast("double")
     key = F.coalesce(-v if descending else v, F.lit(float("inf")))
-    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    edges = F.array(*[F.lit(float(c)) for c in sorted({c for c in cuts if c is not None})]).cast("array<double>")
-    rows = df.withColumn("_key", key).withColumn("_part", F.size(F.filter(edges, lambda e: e < F.col("_key"))))
-    before = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most `parts` rows
-    local = F.row_number().over(Window.partitionBy("_part").orderBy("_key", *[F.col(t) for t in ties]))
-    return rows.withColumn("_local", local).join(F.broadcast(before), "_part").withColumn(name, F.col("_local") + F.col("_before")).drop("_key", "_part", "_local", "_before")
+    return positions(df, [key.asc(), *[F.col(t).asc() for t in ties]], name=name, range_rows=range_rows).withColumn(name, F.col(name) + 1)
 
 
 def cumulative_share(df: DataFrame, value: str, *ties: str) -> DataFrame:
@@ -26,22 +54,30 @@ def cumulative_share(df: DataFrame, value: str, *ties: str) -> DataFrame:
     return ranked(df, value, *ties).crossJoin(F.broadcast(total)).withColumn("share", (F.col("rank") - 0.5) / F.col("_total")).drop("_total")
 
 
+def dense(df: DataFrame, value: str, name: str, descending: bool = False, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The rank of each row's value among the distinct values, from 0; NULLs last. The distinct values are ranked, and their ranks joined."""
+    v = F.col(value)
+    order = v.desc_nulls_last() if descending else v.asc_nulls_last()
+    ranks = positions(df.select(value).distinct(), [order], name=name, range_rows=range_rows).withColumnRenamed(value, "_value")
+    return df.join(ranks, v.eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def dense_axes(points: DataFrame, digits: int = 6, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """grid_id LLLPPP of each point, rows kept: latitudes counted from the north, longitudes from the west."""
     from galeframe.functions.geo import rounded
 
     rows = points.withColumns({"_la": rounded(F.col(lat), digits), "_lo": rounded(F.col(lon), digits)})
-    # The distinct values of one axis of a grid are few.
-    la = rows.select("_la").distinct().withColumn("_i", F.dense_rank().over(Window.orderBy(F.desc("_la"))) - 1)
-    lo = rows.select("_lo").distinct().withColumn("_j", F.dense_rank().over(Window.orderBy("_lo")) - 1)
     code = lambda c: F.when(F.col(c) < 1000, F.lpad(F.col(c).cast("string"), 3, "0")).otherwise(F.col(c).cast("string"))
-    return rows.join(la, "_la").join(lo, "_lo").withColumn("grid_id", F.concat(code("_i"), code("_j"))).drop("_la", "_lo", "_i", "_j")
+    placed = dense(dense(rows, "_la", "_i", descending=True), "_lo", "_j")
+    return placed.withColumn("grid_id", F.concat(code("_i"), code("_j"))).drop("_la", "_lo", "_i", "_j")
 
 
 def shares(df: DataFrame, value: str, *ties: str) -> DataFrame:
-    """value's dense rank (largest first) and share of the total, over an aggregated table."""
-    w = Window.orderBy(F.desc(value))
-    return df.withColumns({"dense": F.dense_rank().over(w), "position": F.row_number().over(Window.orderBy(F.desc(value), *ties)), "share": F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy()))})
+    """value's dense rank (largest first), its position with ties told apart, and its share of the total."""
+    total = df.agg(F.sum(value).alias("_total"))
+    placed = positions(df, [F.desc(value), *[F.col(t).asc() for t in ties]]).withColumn("position", F.col("position") + 1)
+    placed = dense(placed, value, "dense", descending=True).withColumn("dense", F.col("dense") + 1)
+    return placed.crossJoin(F.broadcast(total)).withColumn("share", F.try_divide(F.col(value), F.col("_total"))).drop("_total")
 
 
 def runs(df: DataFrame, value: str, span: int = 1 << 20) -> DataFrame:
@@ -81,24 +117,20 @@ def sample_rows(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(F.sha1(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary")), *key).limit(n)
 
 
-def balanced(df: DataFrame, cls: str, *key: str, strategy: str = "downsample", seed: int = 42) -> DataFrame:
+def balanced(df: DataFrame, cls: str, *key: str, strategy: str = "downsample", seed: int = 42, range_rows: int = RANGE_ROWS) -> DataFrame:
     """As many rows of each class: a hash-ordered part of the larger (downsample), or the smaller repeated (upsample)."""
+    if strategy not in ("downsample", "upsample"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     sizes = df.groupBy(cls).agg(F.count("*").alias("_n"))
     goal = sizes.agg((F.min if strategy == "downsample" else F.max)("_n").alias("_goal"))
     order = F.sha1(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary"))
-    rows = df.withColumn("_h", order).withColumn("_part", F.substring("_h", 1, 2))
-    w = Window.partitionBy(cls, "_part").orderBy("_h", *key)
-    before = rows.groupBy(cls, "_part").agg(F.count("*").alias("_m"))
-    before = before.select(cls, "_part", (F.sum("_m").over(Window.partitionBy(cls).orderBy("_part")) - F.col("_m")).alias("_before"))
-    placed = rows.withColumn("_r", F.row_number().over(w)).join(before, [cls, "_part"]).withColumn("_r", F.col("_r") + F.col("_before"))
-    placed = placed.join(F.broadcast(sizes), cls).crossJoin(F.broadcast(goal))
+    placed = positions(df.withColumn("_h", order), [F.col("_h").asc(), *[F.col(k).asc() for k in key]], [cls], "_r", range_rows)
+    placed = placed.join(F.broadcast(sizes.withColumnRenamed(cls, "_cls")), F.col(cls).eqNullSafe(F.col("_cls"))).drop("_cls").crossJoin(F.broadcast(goal))  # a row for each class
     if strategy == "downsample":
-        out = placed.where("_r <= _goal")
-    elif strategy == "upsample":
-        out = placed.withColumn("_", F.explode(F.sequence(F.lit(0), F.expr("_goal div _n + if(_r <= _goal % _n, 1, 0) - 1")))).drop("_")
+        out = placed.where("_r < _goal")
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return out.drop("_h", "_part", "_r", "_before", "_n", "_goal")
+        out = placed.withColumn("_", F.explode(F.sequence(F.lit(0), F.expr("_goal div _n + if(_r < _goal % _n, 1, 0) - 1")))).drop("_")
+    return out.drop("_h", "_r", "_n", "_goal")
 
 
 def first_rows(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

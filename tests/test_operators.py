@@ -116,11 +116,28 @@ def test_ranks_over_ranges_are_the_global_ranks(spark):
     r = random.Random(5)
     xs = [(i, r.choice([None, *map(float, range(50))])) for i in range(500)]
     df = spark.createDataFrame(xs, "i long, x double")
-    got = {row["i"]: row["rank"] for row in ordered.ranked(df, "x", "i", parts=8).collect()}
+    got = {row["i"]: row["rank"] for row in ordered.ranked(df, "x", "i", range_rows=8).collect()}
     want = sorted(xs, key=lambda t: (t[1] is None, t[1] or 0, t[0]))
     assert [got[i] for i, _ in want] == list(range(1, 501))
 
 
+def test_a_value_in_half_the_table_is_many_ranges(spark):
+    laid = []
+
+    def write(df):
+        laid.append(ordered.cut(df))
+        return laid[-1]
+
+    df = spark.range(0, 20000, 1, 8).select("id", F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("x"), F.when(F.col("id") % 3 > 0, "a").alias("g"))
+    got = ordered.positions(df, [F.col("x").asc()], ["g"], range_rows=1000, write=write).collect()
+    assert max(r["count"] for r in laid[0].groupBy(F.shiftright("_at", 33)).count().collect()) <= 3000
+    for g in ("a", None):
+        rows = sorted((r["position"], r["x"]) for r in got if r["g"] == g)
+        assert [p for p, _ in rows] == list(range(len(rows)))
+        assert [x for _, x in rows] == sorted(x for _, x in rows)
+    assert ordered.positions(df.where("false"), [F.col("x").asc()], ["g"]).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 257])
 def test_ranked_quantiles_are_numpy_percentiles(spark, n):
     rng = np.random.default_rng(n)
