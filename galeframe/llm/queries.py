@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import chat, decontaminate, extract, jaccard, lines, lm, mixing, quality, substrings, urls
+from galeframe.llm import chat, decontaminate, extract, jaccard, lines, lm, manifest, mixing, quality, substrings, urls
 from galeframe.llm.common import read
 
 
@@ -86,6 +86,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holders of some rows claim one character more than the row has."""
+    wrong = F.coalesce(F.try_add("n_chars", F.lit(1).cast("long")), F.col("n_chars"))
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    fields = [F.when(tampered, wrong).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in manifest.FIELDS]
+    got = manifest.verify(manifest.manifest(read(spark, sf_dir, "documents"), claimed=manifest.leaf(*fields)))
+    return got.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op1_exact_mixing": op1_exact_mixing,
@@ -101,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -120,6 +130,10 @@ select doc_id, d.source, cast(r // 64 as bigint) block, slot, release_at as rele
 from d join o on o.source = d.source and o.j = d.r // 64 join s using (k)"""
 
 
+#: The CRC-32 of a string's bytes, as SQL beside the one row of crc_table.
+CRC = "xor(list_reduce(list_transform(range(1, strlen({0}) * 2, 2), lambda i: cast('0x' || substr(hex({0}), i, 2) as bigint)), lambda c, b: xor(c >> 8, v[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+CRC_TABLE = "crc_table as (select list(list_reduce([8, 7, 6, 5, 4, 3, 2, 1], lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k) order by k) v from range(256) r(k))"
+
 ORACLES: dict[str, str] = {
     "op1_source_mixing": _mixing("case source when 'src0' then 3 when 'src1' then 2 else 1 end"),
     "op1_exact_mixing": _mixing("case source when 'src0' then 3 when 'src1' then 2 when 'src2' then 10 else 4 end"),
@@ -190,6 +204,25 @@ s as (select t.rid, b.c >= 2 hit, case when t.p is null then ln(u.c / (select co
   from t join u on t.x = u.x left join b on t.p = b.p and t.x = b.x left join u up on t.p = up.x),
 g as (select rid, count(*) n, count(*) filter (where hit) h, sum(s) s from s group by rid)
 select doc_id, cast(coalesce(n, 0) as bigint) n_words, cast(coalesce(h, 0) as bigint) n_pair_hits, round(s, 4) log_score, round(s / n, 6) mean_log_score from d left join g using (rid)""",
+    "op13_merkle_manifest": rf"""
+with recursive {CRC_TABLE},
+d as (select doc_id, lang, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') a, n_chars c, coalesce(strlen(text) || ':' || text, '-') z,
+  coalesce({CRC.format("cast(doc_id as varchar)")} % 7 = 0, false) bad from documents, crc_table),
+e as (select doc_id, lang, bad, sha256(a || coalesce(strlen(cast(c as varchar)) || ':' || c, '-') || z) leaf, sha256(a || coalesce(strlen(cast(c + 1 as varchar)) || ':' || (c + 1), '-') || z) wrong from d),
+l as (select *, dense_rank() over (order by lang nulls first) tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 idx, count(*) over (partition by lang) n from e),
+up as (select tree, 0 lvl, idx, n, leaf digest from l union all select tree, lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by idx)) from up where n > 1 group by tree, lvl, idx // 2, n),
+sub as (select tree, lvl depth, digest, max(tree) over () m from up where n = 1),
+top as (select 0 lvl, tree - 1 idx, m n, digest from sub union all select lvl + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by idx)) from top where n > 1 group by lvl, idx // 2, n),
+step as (select doc_id, leaf, wrong, bad, l.tree, g.lvl s, (l.idx >> g.lvl) & 1 side, (select digest from up u where u.tree = l.tree and u.lvl = g.lvl and u.idx = xor(l.idx >> g.lvl, 1)) sib from l, sub, range(0, 64) g(lvl) where sub.tree = l.tree and g.lvl < depth
+  union all select doc_id, leaf, wrong, bad, l.tree, depth + g.lvl, ((l.tree - 1) >> g.lvl) & 1, (select digest from top u where u.lvl = g.lvl and u.idx = xor((l.tree - 1) >> g.lvl, 1)) from l, sub, range(0, 64) g(lvl) where sub.tree = l.tree and g.lvl < (select max(lvl) from top)),
+key as (select row_number() over () k, * from l),
+walk as (select k, key.leaf, s, side, sib from key join step on key.leaf = step.leaf and key.tree = step.tree and key.doc_id is not distinct from step.doc_id qualify row_number() over (partition by k, s) = 1),
+fold as (select k, 0 s, case when bad then wrong else leaf end h from key
+  union all select k, fold.s + 1, sha256(case when side = 1 then coalesce(sib, '') || h else h || coalesce(sib, '') end) from fold join walk using (k, s)),
+done as (select k, arg_max(h, s) folded_root from fold group by k),
+proof as (select k, sha256(coalesce(string_agg(sib, '' order by s), '')) proof_sha256 from walk group by k)
+select doc_id, leaf, sub.digest subroot, top.digest root, coalesce(proof_sha256, sha256('')) proof_sha256, folded_root, folded_root = top.digest verified
+from top join key on top.n = 1 join sub using (tree) join done using (k) left join proof using (k)""",
     "op9_substring_dedup": r"""
 with d as (select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
 win as (select rid, i, md5(array_to_string(w[i:i + 34], ' ')) s from (select rid, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
