@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galeframe.llm import chat, decontaminate, extract, jaccard, lines, lm, manifest, mixing, quality, substrings, urls
+from galeframe.llm import chat, decontaminate, extract, jaccard, lines, lm, manifest, mixing, private, quality, substrings, urls, variants
 from galeframe.llm.common import read
 
 
@@ -86,6 +86,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five letters that occur three times, after one letter was lost in one of 97 pairs of document and word."""
+    words = variants.word_counts(read(spark, sf_dir, "documents"), change=variants.typo).where("n >= 3")
+    return variants.spelling_variants(words)
+
+
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    plain = F.filter("spans", lambda s: s["plain"])
+    count = lambda k: F.size(F.filter(plain, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, private.KINDS), F.sha2(private.told(plain).cast("binary"), 256).alias("base_sha256"), private.told(F.col("spans")).alias("spans"))
+
+
+def op12_plain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op12_private_data: the spans without a disguise."""
+    return op12_private_data(spark, sf_dir).drop("spans")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The holders of some rows claim one character more than the row has."""
     wrong = F.coalesce(F.try_add("n_chars", F.lit(1).cast("long")), F.col("n_chars"))
@@ -110,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_private_data": op12_private_data,
+    "op12_plain_spans": op12_plain_spans,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -204,6 +225,34 @@ s as (select t.rid, b.c >= 2 hit, case when t.p is null then ln(u.c / (select co
   from t join u on t.x = u.x left join b on t.p = b.p and t.x = b.x left join u up on t.p = up.x),
 g as (select rid, count(*) n, count(*) filter (where hit) h, sum(s) s from s group by rid)
 select doc_id, cast(coalesce(n, 0) as bigint) n_words, cast(coalesce(h, 0) as bigint) n_pair_hits, round(s, 4) log_score, round(s / n, 6) mean_log_score from d left join g using (rid)""",
+    "op11_spelling_variants": rf"""
+with recursive {CRC_TABLE},
+t as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) x from documents),
+g as (select coalesce(cast(doc_id as varchar), '') || ':' || w k, w, count(*) c from (select doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') w from t) group by all),
+h as (select w, c, {CRC.format("k")} h from g, crc_table),
+z as (select case when h % 97 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end w, sum(c) n from h group by 1),
+v as (select w, cast(n as bigint) n from z where length(w) >= 5 and n >= 3),
+u as (select w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) r from (select w, n, unnest(range(1, length(w) + 1)) i from v)),
+p as (select a.w, b.w o, b.n m from u a join u b on a.r = b.r and a.i = b.i and a.w <> b.w union select a.w, b.w, b.n from v a join u b on a.w = b.r union select b.w, a.w, a.n from v a join u b on a.w = b.r),
+s as (select w, count(*) k, first(o order by m desc, o) o, max(m) m from p group by w),
+f as (select v.w, v.n, coalesce(k, 0) n_near, case when m >= 2 * n then o end form, case when m >= 2 * n then m end form_n from v left join s using (w)),
+e as (select w, form y, 1 i from f where form is not null union all select e.w, f.form, i + 1 from e join f on f.w = e.y where f.form is not null)
+select w word, form, coalesce((select arg_max(y, i) from e where e.w = f.w), w) root, n, n_near, form_n from f""",
+    "op12_plain_spans": r"""
+with d as (select row_number() over () rid, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) t from documents),
+x as (select rid, 1 o, 'email' kind, regexp_replace(t, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+)', chr(1) || '\1' || chr(2), 'g') y from d
+  union all select rid, 2, 'ip', regexp_replace(t, '([0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+))', chr(1) || '\1' || chr(2), 'g') from d
+  union all select rid, 3, 'card', regexp_replace(t, '([0-9]([\x20-]?[0-9])+)', chr(1) || '\1' || chr(2), 'g') from d
+  union all select rid, 4, 'phone', regexp_replace(t, '(\+[0-9][\x20().0-9-]+[0-9])', chr(1) || '\1' || chr(2), 'g') from d),
+p as (select rid, o, kind, string_split(y, chr(1)) x from x),
+m as (select rid, o, kind, string_split(x[i], chr(2))[1] v, cast(list_sum(list_transform(x[1:i - 1], lambda z: length(replace(z, chr(2), '')))) as bigint) a from (select *, unnest(range(2, len(x) + 1)) i from p)),
+g as (select *, reverse(regexp_replace(v, '[^0-9]', '', 'g')) g, list_transform(string_split(v, '.'), lambda z: ltrim(z, '0')) q from m),
+c as (select rid, o, kind, a, a + length(v) b from g where case kind when 'email' then true
+  when 'ip' then list_max(list_transform(q, lambda z: case when length(z) > 3 then 999 when z = '' then 0 else cast(z as int) end)) <= 255
+  when 'phone' then length(g) between 10 and 15
+  else length(g) between 14 and 19 and list_sum(list_transform(range(1, length(g) + 1), lambda i: case when i % 2 = 1 then cast(substr(g, i, 1) as int) else (2 * cast(substr(g, i, 1) as int)) % 10 + (2 * cast(substr(g, i, 1) as int)) // 10 end)) % 10 = 0 end),
+s as (select rid, count(*) filter (where o = 1) n_email, count(*) filter (where o = 2) n_ip, count(*) filter (where o = 3) n_card, count(*) filter (where o = 4) n_phone, string_agg(kind || ':' || a || ':' || b, ',' order by a, o) t from c group by rid)
+select doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(n_card, 0) n_card, coalesce(n_phone, 0) n_phone, sha256(coalesce(s.t, '')) base_sha256 from d left join s using (rid)""",
     "op13_merkle_manifest": rf"""
 with recursive {CRC_TABLE},
 d as (select doc_id, lang, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') a, n_chars c, coalesce(strlen(text) || ':' || text, '-') z,
