@@ -146,10 +146,11 @@ def looks() -> dict[str, str]:
 
 
 LOOK = looks()
-LOOK_CHARS = re.compile(f"[{''.join(map(re.escape, sorted(LOOK)))}]")
 
 #: Letters that stand for a digit in a number.
 AS_DIGIT = str.maketrans("OoIl|SBZ", "00111582")
+DIGIT = re.compile("[0-9]")
+DIGIT_LIKE = set("OoIl|SBZ")
 MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl|SBZ]{0,8}[0-9])[0-9]*+[OoIl|SBZ][0-9OoIl|SBZ]*+(?![A-Za-z])|(?<=[0-9]\.)[OoIl|]{1,3}(?![A-Za-z])")
 
 #: Digits as words, from zero to nine, in English, Spanish, French and German.
@@ -183,22 +184,37 @@ DOT = re.compile(rf"(?i)(?P<mark>{DOT_MARK})|(?P<bare>{DOT_BARE})|\.")
 LOCAL_DOTS = re.compile(rf"(?i)[a-z0-9._%+]{{1,64}}(?:(?:{DOT_MARK}|[ _-]dot[ _-])[a-z0-9._%+]{{1,64}}){{1,4}}\Z")
 LOCAL_DOT = re.compile(rf"(?i){DOT_MARK}|[ _-]dot[ _-]")
 DISGUISED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{DOT_MARK}|{DOT_BARE})[0-9]{{1,3}}){{3}}(?![0-9])")
-#: One of these is in every text that has a disguised @ or dot.
-HINTS = re.compile(r"(?i)dot|p[ou]nkt|punto|point|period|[\[({<][ ]{0,2}(?:a|@|\.|ä)|[ ]@|@[ ]|&#|%40|%2e|&commat|arroba|arobase")
+#: One of these, or a bracket before one, is in every text that has a disguised @ or dot.
+HINTS = ("dot", "punkt", "punto", "point", "period", " @", "@ ", "&#", "%40", "%2e", "&commat", "arroba", "arobase")
+BRACKET_HINT = re.compile(r"[\[({<][ ]{0,2}[a@.ä]")
 
 
 def look_alikes(text: str) -> list[tuple[int, int, str]]:
-    return [] if text.isascii() else [(m.start(), m.end(), LOOK[m[0]]) for m in LOOK_CHARS.finditer(text)]
+    found = set() if text.isascii() else LOOK.keys() & set(text)
+    if not found:
+        return []
+    return [(m.start(), m.end(), LOOK[m[0]]) for m in re.finditer(f"[{''.join(map(re.escape, sorted(found)))}]", text)]
 
 
 def mixed_numbers(text: str) -> list[tuple[int, int, str]]:
     """Letters for digits, in numbers."""
+    ends = [m.start() for m in DIGIT.finditer(text)]
+    if not any(text[k - 1 : k] in DIGIT_LIKE or text[k + 1 : k + 2] in DIGIT_LIKE or text[k + 1 : k + 2] == "." and text[k + 2 : k + 3] in DIGIT_LIKE for k in ends):
+        return []
     return [(m.start(), m.end(), m[0].translate(AS_DIGIT)) for m in MIXED.finditer(text)]
 
 
+def has_spelled(text: str) -> bool:
+    """Is one of the words a digit?"""
+    for token in set(text.lower().split()):
+        if token in SPELLED or not token.isalpha() and not SPELLED.keys().isdisjoint(SPELLED_WORD.findall(token)):
+            return True
+    return False
+
+
 def spelled_numbers(text: str) -> list[tuple[int, int, str]]:
     """Runs of digits as words, signs and numbers become one number, if they hold two such words, or one and a dot."""
-    if SPELLED.keys().isdisjoint(w.lower() for w in set(SPELLED_WORD.findall(text))):
+    if not has_spelled(text):
         return []
     out = []
     for m in NUMBER.finditer(text):
@@ -217,7 +233,8 @@ def spelled_numbers(text: str) -> list[tuple[int, int, str]]:
 
 def addresses(text: str) -> list[tuple[int, int, str]]:
     """Words and brackets for @ and dots, in e-mail and network addresses."""
-    if not HINTS.search(text):
+    low = text.lower()
+    if not any(h in low for h in HINTS) and not (any(b in low for b in "[({<") and BRACKET_HINT.search(low)):
         return []
     out = [(m.start() + d.start(), m.start() + d.end(), ".") for m in DISGUISED_IP.finditer(text) for d in DOT.finditer(m[0]) if d[0] != "."]
     done = 0
