@@ -1,14 +1,35 @@
-"""Gradient-boosted regression with monotonic constraints: histogram trees in NumPy, for training in one task and scoring in Arrow batches.
+"""Gradient-boosted regression with monotonic constraints: histogram trees, any number of models grown side by side.
 
-Spark ML's trees have no such constraints. A model is trained on one task's rows (a fold, or a bounded sample), folds
-are trained side by side, and a finished model scores any number of rows.
+Spark ML's trees have no such constraints and fit one model at a time. Here rows stay on the executors, coded as bin
+numbers. For each level of a tree one job sums the gradients by (model, node, feature, bin): each task adds up its rows
+in NumPy arrays, the sums meet in an aggregate, and the driver picks the splits of all models from a table whose size
+depends on models, nodes and bins, not on rows. A model is a fold, a quantile, a feature set or a trial; a row names the
+models that it trains. Many models are grown in lots, so that the sums of a lot stay below MOST_CELLS.
+
+Absolute loss is the default: the gradient is the sign of the error, and a leaf gives the median error of its rows,
+held within what the constraints allow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from galeframe.operators.cut import Scratch
+
+#: Fitted settings of a model. loss: absolute or squared; rows, columns: the part of both that a tree sees.
+PARAMETERS = {"trees": 100, "depth": 4, "rate": 0.1, "ridge": 1.0, "least": 5, "rows": 1.0, "columns": 1.0}
+#: Sums (of one model, node, feature and bin) that the driver holds at a time.
+MOST_CELLS = 4_000_000
+#: Trees after which the margins of the rows are written.
+MARGIN_TREES = 10
+BINS = 64
 
 
 @dataclass
@@ -42,61 +63,401 @@ class Boosted:
         return [(i, float(g), float(w)) for i, (g, w) in enumerate(zip(self.gain, self.weight, strict=True))]
 
 
-def _grow(nodes, code, cuts, g, h, rows, level, low, high, signs, depth, ridge, rate, least, gain, weight) -> int:
-    me = len(nodes)
-    nodes.append(None)
-    leaf = lambda a, b: -a / (b + ridge)
-    best = (1e-9, None)
-    G, H = g[rows].sum(), h[rows].sum()
-    if level < depth and len(rows) >= 2 * least:
-        score = lambda w, a, b: -(a * w + 0.5 * (b + ridge) * w * w)
-        here = score(np.clip(leaf(G, H), low, high), G, H)
-        for f, sign in enumerate(signs):
-            n = len(cuts[f]) + 1
-            c = code[rows, f]
-            gs, hs, ns = np.bincount(c, g[rows], n + 1), np.bincount(c, h[rows], n + 1), np.bincount(c, minlength=n + 1)
-            for lost in (0, 1) if ns[n] else (0,):  # missing values left or right
-                gl, hl, nl = np.cumsum(gs[:n])[:-1], np.cumsum(hs[:n])[:-1], np.cumsum(ns[:n])[:-1]
-                if lost == 0:
-                    gl, hl, nl = gl + gs[n], hl + hs[n], nl + ns[n]
-                wl, wr = np.clip(leaf(gl, hl), low, high), np.clip(leaf(G - gl, H - hl), low, high)
-                gains = score(wl, gl, hl) + score(wr, G - gl, H - hl) - here
-                gains[(nl < least) | (len(rows) - nl < least) | (sign * (wr - wl) < 0)] = -1
-                if len(gains) and gains.max() > best[0]:
-                    k = int(gains.argmax())
-                    best = (float(gains[k]), (f, k, lost, wl[k], wr[k]))
-    if best[1] is None:
-        nodes[me] = (0, np.inf, me, me, 0, float(np.clip(leaf(G, H), low, high)) * rate)
-        return me
-    f, k, lost, wl, wr = best[1]
-    gain[f] += best[0]
-    weight[f] += 1
-    c = code[rows, f]
-    right = np.where(c == len(cuts[f]) + 1, lost == 1, c > k)
-    mid, sign = (wl + wr) / 2, signs[f]
-    bl, br = {1: ((low, mid), (mid, high)), -1: ((mid, high), (low, mid)), 0: ((low, high),) * 2}[sign]
-    a = _grow(nodes, code, cuts, g, h, rows[~right], level + 1, *bl, signs, depth, ridge, rate, least, gain, weight)
-    b = _grow(nodes, code, cuts, g, h, rows[right], level + 1, *br, signs, depth, ridge, rate, least, gain, weight)
-    nodes[me] = (f, cuts[f][k], a, b, lost, 0.0)
-    return me
-
-
-def fit(x: np.ndarray, y: np.ndarray, monotone: list[int] | None = None, trees: int = 100, depth: int = 4, rate: float = 0.1, ridge: float = 1.0, least: int = 5, bins: int = 64, sample: float = 1.0, seed: int = 0, loss: str = "squared") -> Boosted:
-    """Boosting with squared or absolute loss. monotone: 1 rising, -1 falling, 0 free, for each feature. With absolute loss the gradient is the sign."""
+@dataclass
+class Lot:
+    """Settings of the models of a lot, an array entry for each."""
+
+    trees: np.ndarray
+    depth: np.ndarray
+    rate: np.ndarray
+    ridge: np.ndarray
+    least: np.ndarray
+    rows: np.ndarray
+    columns: np.ndarray
+    features: np.ndarray  # models x features: may the model use it?
+    signs: np.ndarray
+    loss: str
+    seed: int
+
+    @property
+    def n(self) -> int:
+        return len(self.trees)
+
+
+@dataclass
+class Tree:
+    """One tree of each model of a lot, as heaps: the children of node i are 2 i + 1 and 2 i + 2. A leaf's feature is -1."""
+
+    number: int
+    feature: np.ndarray
+    cut: np.ndarray
+    missing: np.ndarray
+    value: np.ndarray
+    depth: int
+
+    def place(self, codes: np.ndarray, row: np.ndarray, model: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node of each pair of row and model."""
+        node = np.zeros(len(row), np.int64)
+        for _ in range(self.depth if levels is None else levels):
+            f = self.feature[model, node]
+            c = codes[row, f]
+            right = np.where(c == BINS, self.missing[model, node] == 1, c > self.cut[model, node])
+            node = np.where(f < 0, node, 2 * node + 1 + right)
+        return node
+
+
+def seen(row_id: np.ndarray, tree: int, lot: Lot, model: np.ndarray) -> np.ndarray:
+    """Which pairs a tree sees, by a hash of the row and the tree."""
+    with np.errstate(over="ignore"):
+        h = (row_id.astype(np.uint64) + np.uint64(tree * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (h >> np.uint64(11)).astype(float) / 2**53 < lot.rows[model]
+
+
+def gradient(loss: str, margin: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sign(margin - y) if loss == "absolute" else margin - y
+
+
+def sums(lot: Lot, tree: Tree, level: int, codes: np.ndarray, y: np.ndarray, row_id: np.ndarray, row: np.ndarray, model: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradients, rows) of a level by model, node, feature and bin, flat."""
+    width, nf = 1 << level, codes.shape[1]
+    size = lot.n * width * nf * (BINS + 1)
+    g, n = np.zeros(size), np.zeros(size)
+    for a in range(0, len(row), 1 << 18):
+        at = slice(a, a + (1 << 18))
+        node = tree.place(codes, row[at], model[at], level) - (width - 1)
+        use = (node >= 0) & seen(row_id[row[at]], tree.number, lot, model[at])
+        r, m = row[at][use], model[at][use]
+        cell = (((m * width + node[use])[:, None] * nf + np.arange(nf)) * (BINS + 1) + codes[r]).ravel()
+        g += np.bincount(cell, np.repeat(gradient(lot.loss, margin[at][use], y[r]), nf), size)
+        n += np.bincount(cell, minlength=size)
+    return g, n
+
+
+def choose(lot: Lot, g: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gain, feature, cut, missing, left weight, right weight) of the best split of each model and node; gain is 0 where none is good.
+
+    g, n: models x nodes x features x bins. Of equal gains the first feature counts, then missing values to the left, then the lowest cut.
+    """
+    ridge, least = lot.ridge[:, None, None, None], lot.least[:, None, None, None]
+    lo, hi = low[:, :, None, None], high[:, :, None, None]
+    G, N = g[:, :, :1].sum(axis=3, keepdims=True), n[:, :, :1].sum(axis=3, keepdims=True)
+    weight = lambda a, b: np.clip(-a / (b + ridge), lo, hi)
+    score = lambda w, a, b: -(a * w + 0.5 * (b + ridge) * w * w)
+    here = score(weight(G, N), G, N)
+    options = []
+    for lost in (0, 1):
+        gl, nl = np.cumsum(g[..., :BINS], axis=3)[..., :-1], np.cumsum(n[..., :BINS], axis=3)[..., :-1]
+        if lost == 0:
+            gl, nl = gl + g[..., BINS:], nl + n[..., BINS:]
+        wl, wr = weight(gl, nl), weight(G - gl, N - nl)
+        gains = score(wl, gl, nl) + score(wr, G - gl, N - nl) - here
+        bad = (nl < least) | (N - nl < least) | (lot.signs[None, None, :, None] * (wr - wl) < 0) | ~allowed[:, None, :, None]
+        if lost:
+            bad |= n[..., BINS:] == 0
+        options.append((np.where(bad, -1.0, gains), wl, wr))
+    gains, wl, wr = (np.stack([o[k] for o in options], axis=3) for k in range(3))
+    shape = gains.shape  # models, nodes, features, lost, cuts
+    flat = gains.reshape(*shape[:2], -1)
+    best = flat.argmax(axis=2)
+    pick = lambda x: np.take_along_axis(x.reshape(*shape[:2], -1), best[..., None], axis=2)[..., 0]
+    gain, (f, lost, k) = pick(gains), np.unravel_index(best, shape[2:])
+    return np.where(gain > 1e-9, gain, 0.0), f, k, lost, pick(wl), pick(wr)
+
+
+def held(tree: Tree, median: np.ndarray, count: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Leaf values from the leaves' medians: below a split with a constraint, the leaves on one side are kept to one side of the point between both sides' means."""
+    total, rows = np.where(tree.feature < 0, median * count, 0.0), np.where(tree.feature < 0, count, 0.0)
+    nodes = tree.feature.shape[1]
+    for i in range(nodes // 2 - 1, -1, -1):
+        inner = tree.feature[:, i] >= 0
+        total[:, i] = np.where(inner, total[:, 2 * i + 1] + total[:, 2 * i + 2], total[:, i])
+        rows[:, i] = np.where(inner, rows[:, 2 * i + 1] + rows[:, 2 * i + 2], rows[:, i])
+    mean = total / np.maximum(rows, 1)
+    low, high = np.full(median.shape, -np.inf), np.full(median.shape, np.inf)
+    for i in range(nodes // 2):
+        f = tree.feature[:, i]
+        sign = np.where(f >= 0, signs[f], 0)
+        mid = np.clip((mean[:, 2 * i + 1] + mean[:, 2 * i + 2]) / 2, low[:, i], high[:, i])
+        for child, upper in ((2 * i + 1, 1), (2 * i + 2, -1)):
+            low[:, child] = np.where(sign == -upper, mid, low[:, i])
+            high[:, child] = np.where(sign == upper, mid, high[:, i])
+    return np.clip(median, low, high)
+
+
+Sums = Callable[[Tree, int], tuple[np.ndarray, np.ndarray]]
+Medians = Callable[[Tree], tuple[np.ndarray, np.ndarray]]
+
+
+def grow(lot: Lot, nf: int, level_sums: Sums, medians: Medians, done: Callable[[Tree], None], gain: np.ndarray, weight: np.ndarray) -> None:
+    """Grows the lot's trees; done is handed each finished one. gain, weight: models x features, added to."""
+    rng = np.random.default_rng(lot.seed)
+    most = int(lot.depth.max(initial=0))
+    models, nodes = np.arange(lot.n), (2 << most) - 1
+    for number in range(int(lot.trees.max(initial=0))):
+        tree = Tree(number, np.full((lot.n, nodes), -1), np.zeros((lot.n, nodes), int), np.zeros((lot.n, nodes), int), np.zeros((lot.n, nodes)), most)
+        draw = rng.random((lot.n, nf))
+        part = np.maximum(1, np.round(lot.columns * lot.features.sum(axis=1))).astype(int)
+        order = np.argsort(np.argsort(np.where(lot.features, draw, 2.0), axis=1), axis=1)
+        allowed = lot.features & (order < part[:, None]) & (number < lot.trees)[:, None]
+        low, high = np.full((lot.n, nodes), -np.inf), np.full((lot.n, nodes), np.inf)
+        for level in range(most):
+            first, width = (1 << level) - 1, 1 << level
+            g, n = (x.reshape(lot.n, width, nf, BINS + 1) for x in level_sums(tree, level))
+            here = np.arange(first, first + width)
+            if level == 0:
+                G, N = g[:, 0, 0].sum(axis=1), n[:, 0, 0].sum(axis=1)
+                tree.value[:, 0] = -G / (N + lot.ridge)
+            got, f, k, lost, wl, wr = choose(lot, g, n, low[:, here], high[:, here], allowed)
+            split = (got > 0) & (level < lot.depth)[:, None]
+            if not split.any():
+                break
+            tree.feature[:, here] = np.where(split, f, -1)
+            tree.cut[:, here], tree.missing[:, here] = k, lost
+            for m, j in zip(*np.nonzero(split), strict=True):
+                i, sign, mid = first + j, lot.signs[f[m, j]], (wl[m, j] + wr[m, j]) / 2
+                gain[m, f[m, j]] += got[m, j]
+                weight[m, f[m, j]] += 1
+                for child, w, upper in ((2 * i + 1, wl[m, j], 1), (2 * i + 2, wr[m, j], -1)):
+                    tree.value[m, child] = w
+                    low[m, child] = mid if sign == -upper else low[m, i]
+                    high[m, child] = mid if sign == upper else high[m, i]
+        if lot.loss == "absolute":
+            tree.value = held(tree, *medians(tree), lot.signs)
+        tree.value = np.where((models >= 0)[:, None] & (number < lot.trees)[:, None], tree.value * lot.rate[:, None], 0.0)
+        done(tree)
+
+
+def _model(trees: list[Tree], m: int, base: float, cuts: list[np.ndarray], gain: np.ndarray, weight: np.ndarray) -> Boosted:
+    """The trees of model m, with thresholds in place of bin numbers."""
+    roots, feature, threshold, children, missing, value = [], [], [], [], [], []
+    for tree in trees:
+        roots.append(len(feature))
+        first, stack = len(feature), [0]
+        number = {}
+        while stack:
+            i = stack.pop()
+            number[i] = first + len(number)
+            if tree.feature[m, i] >= 0:
+                stack += [2 * i + 2, 2 * i + 1]
+        for i, me in number.items():
+            f = int(tree.feature[m, i])
+            leaf = f < 0
+            feature.append(0 if leaf else f)
+            threshold.append(float(cuts[f][tree.cut[m, i]]) if not leaf and tree.cut[m, i] < len(cuts[f]) else np.inf)
+            children.append((me, me) if leaf else (number[2 * i + 1], number[2 * i + 2]))
+            missing.append(0 if leaf else int(tree.missing[m, i]))
+            value.append(float(tree.value[m, i]) if leaf else 0.0)
+    if not feature:
+        roots, feature, threshold, children, missing, value = [], [0], [np.inf], [(0, 0)], [0], [0.0]
+    return Boosted(float(base), roots, np.array(feature), np.array(threshold), np.array(children), np.array(missing), np.array(value), max((t.depth for t in trees), default=0), gain, weight)
+
+
+def code(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Bin numbers; a bin ends with its cut, and BINS stands for a missing value."""
+    return np.stack([np.where(np.isnan(x[:, f]), BINS, np.searchsorted(c, x[:, f], side="left")) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
+
+
+def like(lists: pa.ListArray, values: np.ndarray) -> pa.ListArray:
+    """Lists as long as the given ones."""
+    ends = lists.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(values))
+
+
+def lower_median(x: np.ndarray) -> float:
+    return float(np.sort(x)[(len(x) - 1) // 2]) if len(x) else 0.0
+
+
+def _lot(settings: list[dict], features: list[list[int]], signs: list[int], loss: str, seed: int) -> Lot:
+    full = [PARAMETERS | s for s in settings]
+    used = np.zeros((len(full), len(signs)), bool)
+    for m, f in enumerate(features):
+        used[m, f] = True
+    return Lot(**{k: np.array([s[k] for s in full]) for k in PARAMETERS}, features=used, signs=np.array(signs, int), loss=loss, seed=seed)
+
+
+def fit(x: np.ndarray, y: np.ndarray, monotone: list[int] | None = None, seed: int = 0, loss: str = "absolute", **settings) -> Boosted:
+    """One model on arrays, grown as those on a table are. monotone: 1 rising, -1 falling, 0 free, for each feature."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     signs = list(monotone or [0] * x.shape[1])
-    cuts = [np.unique(np.nanquantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) if np.isfinite(x[:, f]).any() else np.zeros(0) for f in range(x.shape[1])]
-    code = np.stack([np.where(np.isnan(x[:, f]), len(c) + 1, np.searchsorted(c, x[:, f], side="left")) for f, c in enumerate(cuts)], axis=1)
-    rng = np.random.default_rng(seed)
-    base = float(np.median(y) if loss == "absolute" else y.mean())
-    out, nodes, roots = np.full(len(y), base), [], []
-    gain, weight = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    model = None
-    for _ in range(trees):
-        g = np.sign(out - y) if loss == "absolute" else out - y
-        rows = np.flatnonzero(rng.random(len(y)) < sample) if sample < 1 else np.arange(len(y))
-        roots.append(_grow(nodes, code, cuts, g, np.ones(len(y)), rows, 0, -np.inf, np.inf, signs, depth, ridge, rate, least, gain, weight))
-        f, t, a, b, m, v = (np.array(z) for z in zip(*nodes, strict=True))
-        model = Boosted(base, list(roots), f, t, np.stack([a, b], axis=1), m, v, depth, gain, weight)
-        out = out + Boosted(0.0, roots[-1:], f, t, model.children, m, v, depth, gain, weight).predict(x)
-    return model
+    cuts = [np.unique(np.nanquantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="inverted_cdf")) if np.isfinite(x[:, f]).any() else np.zeros(0) for f in range(x.shape[1])]
+    codes, lot = code(x, cuts), _lot([settings], [list(range(x.shape[1]))], signs, loss, seed)
+    rows, zero = np.arange(len(y)), np.zeros(len(y), int)
+    base = lower_median(y) if loss == "absolute" else float(y.mean()) if len(y) else 0.0
+    margin, trees = np.full(len(y), base), []
+
+    def medians(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        node, use = tree.place(codes, rows, zero), seen(rows, tree.number, lot, zero)
+        median, count = np.zeros(tree.value.shape), np.zeros(tree.value.shape)
+        for i in np.unique(node[use]):
+            of = y[use & (node == i)] - margin[use & (node == i)]
+            median[0, i], count[0, i] = lower_median(of), len(of)
+        return median, count
+
+    def done(tree: Tree) -> None:
+        trees.append(tree)
+        margin[:] += tree.value[zero, tree.place(codes, rows, zero)]
+
+    gain, weight = np.zeros((1, x.shape[1])), np.zeros((1, x.shape[1]))
+    grow(lot, x.shape[1], lambda tree, level: sums(lot, tree, level, codes, y, rows, rows, zero, margin), medians, done, gain, weight)
+    return _model(trees, 0, base, cuts, gain[0], weight[0])
+
+
+class Table:
+    """A batch of coded rows: pairs of row and model in place of the arrays of models."""
+
+    def __init__(self, batch: pa.RecordBatch, nf: int, first: int, n: int):
+        col = lambda name: batch.column(batch.schema.get_field_index(name))
+        flat = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+        self.row_id, self.y = (col(c).to_numpy(zero_copy_only=False) for c in ("row_id", "y"))
+        self.codes = np.frombuffer(b"".join(col("codes").to_pylist()), np.uint8).reshape(-1, nf)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(col("models").offsets.to_numpy()))
+        model, margin = flat(col("models")) - first, flat(col("margin"))
+        use = (model >= 0) & (model < n)
+        self.row, self.model, self.margin, self.use = row[use], model[use], margin[use], use
+
+    def add(self, trees: list[Tree]) -> np.ndarray:
+        for t in trees:
+            self.margin = self.margin + t.value[self.model, t.place(self.codes, self.row, self.model)]
+        return self.margin
+
+
+def fit_many(rows: DataFrame, names: list[str], signs: list[int], settings: list[dict], features: list[list[int]] | None = None, loss: str = "absolute", seed: int = 0, target: str = "y", key: Column | None = None) -> list[Boosted | None]:
+    """As many models as settings. rows: the features, the target, and models array<int>, the numbers of the models that the row trains.
+
+    A number twice in the array counts twice. Missing features have a bin of their own; rows without a target or models
+    are left out; a model without rows is None. key tells rows apart when a tree sees a part of them only. Bins end at
+    quantiles of all the rows and a model starts from a median, by sketches whose ranks are off by 1 in 100,000 rows at
+    most; the medians of leaves by 1 in 10,000 of the leaf's rows.
+    """
+    nf, spark = len(names), rows.sparkSession
+    x = [F.col(c).cast("double") for c in names]
+    rows = rows.where(F.col(target).isNotNull() & (F.size("models") > 0))
+    found = rows.agg(*[F.percentile_approx(c, [k / BINS for k in range(1, BINS)], 100_000).alias(f"q{i}") for i, c in enumerate(x)]).first()
+    cuts = [np.unique(np.array(found[i] or [], float)) for i in range(nf)]
+    each = rows.select(F.explode("models").alias("model"), F.col(target).cast("double").alias("y")).groupBy("model")
+    start = each.agg(F.percentile_approx("y", 0.5, 100_000).alias("base") if loss == "absolute" else F.avg("y").alias("base"))
+    bases = {r["model"]: r["base"] for r in start.collect()}  # a row for each model
+    if not bases:
+        return [None] * len(settings)
+    base = np.array([bases.get(m, 0.0) for m in range(len(settings))], float)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = code(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[3:]], axis=1), cuts)
+            models = b.column(1)
+            margin = like(models, base[models.flatten().to_numpy(zero_copy_only=False)])
+            yield pa.RecordBatch.from_arrays([b.column(0), models, pa.array([r.tobytes() for r in codes], pa.binary()), b.column(2), margin], ["row_id", "models", "codes", "y", "margin"])
+
+    schema = "row_id long, models array<int>, codes binary, y double, margin array<double>"
+    row_id = key if key is not None else F.xxhash64(*x, F.col(target).cast("double"))
+    work = Scratch(spark)
+    table = work.write(rows.select(row_id.alias("row_id"), F.transform("models", lambda m: m.cast("int")).alias("models"), F.col(target).cast("double").alias("y"), *x).mapInArrow(coded, schema)).persist()
+    features = features or [list(range(nf))] * len(settings)
+    deepest = max(((PARAMETERS | s)["depth"] for s in settings), default=0)
+    size = max(1, MOST_CELLS // (max(1, nf) * (BINS + 1) << max(0, deepest - 1)))
+    out: list[Boosted | None] = []
+    for first in range(0, len(settings), size):
+        part = slice(first, first + size)
+        lot = _lot(settings[part], features[part], signs, loss, seed)
+        trees = _grow_on(table, work, lot, nf, first, schema)
+        for m in range(lot.n):
+            own = [t for t in trees[0] if t.number < lot.trees[m]]
+            out.append(_model(own, m, base[first + m], cuts, trees[1][m], trees[2][m]) if first + m in bases else None)
+    table.unpersist()
+    work.close()
+    return out
+
+
+def _grow_on(table: DataFrame, work: Scratch, lot: Lot, nf: int, first: int, schema: str) -> tuple[list[Tree], np.ndarray, np.ndarray]:
+    """Grows a lot whose rows are a written table."""
+    spark, n = table.sparkSession, lot.n
+    trees: list[Tree] = []
+    now, fresh = table, 0  # rows with the margins of the first `fresh` trees
+    gain, weight = np.zeros((n, nf)), np.zeros((n, nf))
+
+    def level_sums(tree: Tree, level: int) -> tuple[np.ndarray, np.ndarray]:
+        sent = spark.sparkContext.broadcast((lot, trees[fresh:], tree))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, before, at = sent.value
+            size = own.n * nf * (BINS + 1) << level
+            g, k = np.zeros(size), np.zeros(size)
+            for b in batches:
+                t = Table(b, nf, first, n)
+                dg, dk = sums(own, at, level, t.codes, t.y, t.row_id, t.row, t.model, t.add(before))
+                g += dg
+                k += dk
+            cell = np.flatnonzero(k)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(g[cell]), pa.array(k[cell])], ["cell", "g", "k"])
+
+        got = now.mapInArrow(run, "cell long, g double, k double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("k").alias("k")).toPandas()
+        sent.unpersist()
+        g, k = (np.zeros(n * nf * (BINS + 1) << level) for _ in range(2))
+        g[got.cell], k[got.cell] = got.g, got.k
+        return g, k
+
+    def medians(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        sent = spark.sparkContext.broadcast((lot, trees[fresh:], tree))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, before, at = sent.value
+            for b in batches:
+                t = Table(b, nf, first, n)
+                margin, use = t.add(before), seen(t.row_id[t.row], at.number, own, t.model)
+                leaf = t.model * at.value.shape[1] + at.place(t.codes, t.row, t.model)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[use]), pa.array((t.y[t.row] - margin)[use])], ["leaf", "error"])
+
+        got = now.mapInArrow(run, "leaf long, error double").groupBy("leaf").agg(F.percentile_approx("error", 0.5, 10_000).alias("median"), F.count("*").alias("k")).toPandas()
+        sent.unpersist()
+        median, count = np.zeros(tree.value.size), np.zeros(tree.value.size)
+        median[got.leaf], count[got.leaf] = got["median"], got.k
+        return median.reshape(tree.value.shape), count.reshape(tree.value.shape)
+
+    def done(tree: Tree) -> None:
+        nonlocal now, fresh
+        trees.append(tree)
+        if len(trees) % MARGIN_TREES or len(trees) == lot.trees.max():
+            return
+        sent = spark.sparkContext.broadcast(trees[fresh:])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                t = Table(b, nf, first, n)
+                margin = b.column(4).flatten().to_numpy(zero_copy_only=False).copy()
+                margin[t.use] = t.add(sent.value)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], like(b.column(1), margin)], b.schema.names)
+
+        new = work.write(now.mapInArrow(run, schema)).persist()
+        if now is not table:
+            now.unpersist()
+            work.drop(now)
+        now, fresh = new, len(trees)
+        sent.unpersist()
+
+    grow(lot, nf, level_sums, medians, done, gain, weight)
+    if now is not table:
+        now.unpersist()
+    return trees, gain, weight
+
+
+def predict_many(rows: DataFrame, models: list[Boosted | None], names: list[str], which: str, name: str, used: list[list[int]] | None = None) -> DataFrame:
+    """Adds the prediction of the model whose number the column `which` has; NULL where there is none, or where a feature that the model uses (those listed in used) is missing."""
+    sent = rows.sparkSession.sparkContext.broadcast((models, used))  # bounded by the trees
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        known, lists = sent.value
+        for number, *cols in batches:
+            x = np.stack([np.asarray(c, float) for c in cols], axis=1)
+            m, out = number.fillna(-1).to_numpy(int), np.full(len(number), np.nan)
+            for k in np.unique(m):
+                if 0 <= k < len(known) and known[k] is not None:
+                    at = np.flatnonzero((m == k) & (np.isfinite(x[:, lists[k]]).all(axis=1) if lists else True))
+                    out[at] = known[k].predict(x[at])
+            yield pd.Series(out)
+
+    got = rows.withColumn(name, score(F.col(which).cast("int"), *[F.col(c).cast("double") for c in names]))
+    return got.withColumn(name, F.when(~F.isnan(name), F.col(name)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,35 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+class Scratch:
+    """Written tables of one operator call. drop() deletes those no longer read; the rest goes with close(), or at the end of the session."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, scratch(spark)
+        atexit.register(self.close)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._work_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if getattr(t, "_work_path", None):
+                self._delete(t._work_path)
+
+    def close(self) -> None:
+        atexit.unregister(self.close)
+        try:
+            self._delete(self.root)
+        except Exception:  # the session has ended, and its folder with it
+            pass
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

@@ -7,22 +7,24 @@ import json
 import math
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from galeframe.functions import cdf, labels
 from galeframe.functions.constants import N_QUANTILES
 from galeframe.operators import boosting
-from galeframe.operators.ordered import balanced
+from galeframe.operators.cut import Scratch
+from galeframe.operators.ordered import balanced, positions
 from galeframe.operators.schema import derived_features, require
 
-#: Rows that a model trained in one task is fitted on at most, chosen by hash; the bound of its memory.
+#: Rows that a profile model trained in one task is fitted on at most, chosen by hash; the bound of its memory.
 MAX_TRAIN_ROWS = 2_000_000
-#: Fitted settings of the model.
-PARAMETERS = {"trees": 100, "depth": 4, "rate": 0.1, "ridge": 1.0, "least": 5, "loss": "squared"}
 
 
 def features(long: DataFrame, winds: list[str], aux: list[str] = (), target: str = "observation") -> tuple[DataFrame, list[str], list[int]]:
@@ -40,36 +42,117 @@ def neighbour_map(long: DataFrame, ids: str = "neighbors_km_site_ids") -> DataFr
     return near.unionByName(gs.select("fold", F.col("fold").alias("station_id"))).distinct()
 
 
-def folds(long: DataFrame, excluded: DataFrame, stations: DataFrame) -> DataFrame:
+def folds(long: DataFrame, excluded: DataFrame) -> DataFrame:
     """A row (fold, role) for each training row of a fold (all stations but the excluded) and each of its test rows. The training rows are repeated for each fold: meant for the observed stations, not for grids."""
-    train = long.crossJoin(F.broadcast(stations.select(F.col("station_id").alias("fold")))).join(F.broadcast(excluded), ["fold", "station_id"], "left_anti").withColumn("role", F.lit("train"))
-    test = long.join(F.broadcast(stations), "station_id", "left_semi").withColumn("fold", F.col("station_id")).withColumn("role", F.lit("test"))
+    stations = excluded.select("fold").distinct()
+    out = excluded.groupBy("station_id").agg(F.collect_set("fold").alias("_out"))  # a row for each observed station
+    every = stations.agg(F.array_sort(F.collect_set("fold")).alias("_all"))  # one row
+    known = long.join(F.broadcast(out), "station_id", "left").crossJoin(F.broadcast(every))
+    train = known.withColumn("fold", F.explode(F.array_except("_all", F.coalesce("_out", F.array().cast(out.schema["_out"].dataType))))).drop("_out", "_all").withColumn("role", F.lit("train"))
+    test = long.join(F.broadcast(stations.withColumnRenamed("fold", "station_id")), "station_id", "left_semi").withColumn("fold", F.col("station_id")).withColumn("role", F.lit("test"))
     return train.unionByName(test)
 
 
-def _boosted(train, test, names, monotone, target, o) -> np.ndarray:
-    return boosting.fit(train[names].to_numpy(float), train[target].to_numpy(float), monotone, **(PARAMETERS | o)).predict(test[names].to_numpy(float))
-
-
-def _hybrid(train, test, names, monotone, target, o, cutoff: int = 95, floor: float = 1e-3) -> np.ndarray:
-    """The base model, and from the cutoff on a model of the target's logarithm."""
-    cutoff, o = o.get("cutoff", cutoff), {k: v for k, v in o.items() if k != "cutoff"}
-    out, tail = _boosted(train, test, names, monotone, target, o), train[train.qnum >= cutoff]
-    high = (test.qnum >= cutoff).to_numpy()
-    if len(tail) >= 20 and high.any():
-        out[high] = np.exp(_boosted(tail.assign(**{target: np.log(np.maximum(tail[target], floor))}), test[high], names, monotone, target, o))
-    return out
-
-
-def _wide(train, test, names, monotone, target, o) -> np.ndarray:
-    """A model for each quantile, and then the running maximum."""
-    feats = [(n, m) for n, m in zip(names, monotone, strict=True) if n != "qnum"]
-    out = pd.Series(np.nan, index=test.index)
-    for q, part in test.groupby("qnum"):
-        own = train[train.qnum == q]
-        if len(own):
-            out[part.index] = _boosted(own, part, [n for n, _ in feats], [m for _, m in feats], target, o)
-    return out.groupby(test.height_m).cummax().to_numpy()
+@dataclass(frozen=True)
+class Run:
+    """One model for each fold: what it sees, and how it is fitted. method: boosting, hybrid or wide."""
+
+    names: tuple[str, ...]
+    signs: tuple[int, ...]
+    parameters: dict = field(default_factory=dict)
+    method: str = "boosting"
+
+
+def _profiles_of_folds(rows: DataFrame, fold_of: DataFrame, excluded: DataFrame, n: int, balance: str | None, seed: int) -> DataFrame:
+    """(station_id, height_m, cls, run, fold): the profiles that train each fold of each run. rows: the same without fold; balanced by whole profiles, in an order seeded by the fold."""
+    out = excluded.join(F.broadcast(fold_of), "fold").groupBy("station_id").agg(F.collect_set("no").alias("_out"))
+    of = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.coalesce("_out", F.array().cast("array<int>")))
+    profiles = rows.distinct().join(F.broadcast(out), "station_id", "left").withColumn("no", F.explode(of)).drop("_out")
+    if not balance:
+        return profiles
+    if balance not in ("downsample", "upsample"):
+        raise ValueError(f"unknown strategy {balance!r}")
+    sizes = profiles.groupBy("run", "no").agg(F.count_if(F.col("cls") == "GS").alias("_gs"), F.count_if(F.col("cls") != "GS").alias("_asos"))
+    named = profiles.join(F.broadcast(fold_of), "no")
+    order = F.sha1(F.concat_ws("|", labels.fold_seed(seed, F.col("fold")).cast("string"), F.col("station_id"), F.col("height_m").cast("string")).cast("binary"))
+    placed = positions(named.withColumn("_h", order), [F.col("_h").asc()], ["run", "no", "cls"], "_r").join(sizes, ["run", "no"])
+    own, other = (F.when(F.col("cls") == "GS", F.col(a)).otherwise(F.col(b)) for a, b in (("_gs", "_asos"), ("_asos", "_gs")))
+    placed = placed.withColumns({"_own": own, "_other": other})
+    if balance == "downsample":
+        return placed.where("_other = 0 or _r < _other").select(*profiles.columns)
+    times = F.expr("if(_other <= _own, 1, _other div _own + if(_r < _other % _own, 1, 0))")
+    return placed.withColumn("_", F.explode(F.sequence(F.lit(1), times))).select(*profiles.columns)
+
+
+def cross_validate(long: DataFrame, runs: list[Run], excluded: DataFrame, target: str = "observation", least_rows: int = 20, balance: str | None = "downsample", seed: int = 42, cutoff: int = 95, floor: float = 1e-3) -> DataFrame:
+    """(run, station_id, height_m, qnum, observed, predicted): leave-one-out predictions of each run, counted from 0.
+
+    The models of all runs and folds are grown together on one coded table; a row names the models that it trains. A
+    model of fewer than least_rows rows predicts NULL. hybrid adds, from the cutoff on, models of the target's
+    logarithm, where these have 20 rows; wide has a model for each quantile, and takes the running maximum.
+    """
+    names = list(dict.fromkeys(n for r in runs for n in r.names))
+    sign = {n: s for r in runs for n, s in zip(r.names, r.signs, strict=True)}
+    stations = sorted(r["fold"] for r in excluded.select("fold").distinct().collect())  # the observed stations
+    n, spark = len(stations), long.sparkSession
+    fold_of = spark.createDataFrame(list(zip(stations, range(n), strict=True)), f"fold {long.schema['station_id'].dataType.simpleString()}, no int")
+    keep = list(dict.fromkeys(["station_id", "height_m", "qnum", *names]))
+    rows = long.select(*keep, F.col(target).cast("double").alias("_y"), F.when(labels.observation_type(F.col("observation_type")) == "GS", "GS").otherwise("ASOS").alias("cls"))
+    whole = [F.forall(F.array(*[F.col(c).isNotNull() for c in r.names]), lambda b: b) for r in runs]
+    valid = F.array_compact(F.array(*[F.when(w, F.lit(k)) for k, w in enumerate(whole)]))
+    usable = rows.where("_y is not null").withColumn("run", valid)
+    profiles = _profiles_of_folds(usable.select("station_id", "height_m", "cls", F.explode("run").alias("run")), fold_of, excluded, n, balance, seed)
+    chosen = profiles.groupBy(F.col("station_id").alias("_s"), F.col("height_m").alias("_hm"), F.col("cls").alias("_c")).agg(F.collect_list(F.col("run") * n + F.col("no")).alias("_models"))
+    same = (F.col("station_id") == F.col("_s")) & F.col("height_m").eqNullSafe(F.col("_hm")) & (F.col("cls") == F.col("_c"))
+    mine = usable.join(chosen, same).withColumn("models", F.filter("_models", lambda m: F.array_contains("run", F.floor(m / n).cast("int"))))
+    work = Scratch(spark)
+    mine = work.write(mine.select(*keep, "_y", "models"))
+    sizes = {r["m"]: r["count"] for r in mine.select(F.explode("models").alias("m")).groupBy("m").count().collect()}
+    enough = [sizes.get(m, 0) >= least_rows for m in range(len(runs) * n)]
+
+    test = long.join(F.broadcast(fold_of), long["station_id"] == fold_of["fold"]).drop("fold").withColumn("run", F.explode(F.array(*[F.lit(k) for k in range(len(runs))])))
+    test = test.select("run", "no", F.col("station_id"), F.col("height_m").cast("double").alias("height_m"), F.col("qnum").cast("int").alias("qnum"), *[n for n in names if n not in ("height_m", "qnum")], F.col(target).cast("double").alias("observed"), (F.col("run") * n + F.col("no")).alias("_m"))
+    signs = [sign[c] for c in names]
+
+    def models(table: DataFrame, of: list[int], per: int = 1, drop: str | None = None) -> tuple[list, list]:
+        """Models of these runs, per of them for each fold, and the numbers of the features that each uses."""
+        used = [[names.index(c) for c in runs[k].names if c != drop] for k in of for _ in range(n * per)]
+        settings = [runs[k].parameters for k in of for _ in range(n * per)]
+        return boosting.fit_many(table, names, signs, settings, used, seed=seed, target="_y"), used
+
+    def numbered(of: list[int], m: Column) -> Column:
+        """The number of a model among those of some runs."""
+        return F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(of) for x in (r, k)]), F.floor(m / n).cast("int")) * n + m % n
+
+    parts = []
+    for method in ("boosting", "hybrid", "wide"):
+        of = [k for k, r in enumerate(runs) if r.method == method]
+        if not of:
+            continue
+        own = mine.withColumn("models", F.transform(F.filter("models", lambda m: F.floor(m / n).cast("int").isin(of)), lambda m: numbered(of, m)))
+        asked = test.where(F.col("run").isin(of)).withColumn("_k", numbered(of, F.col("_m")))
+        good = [enough[k * n + j] for k in of for j in range(n)]
+        if method == "wide":
+            per = N_QUANTILES
+            of_quantile = lambda m: (m * per + F.col("qnum")).cast("int")
+            fitted, used = models(own.withColumn("models", F.transform("models", of_quantile)), of, per, "qnum")
+            fitted = [m if good[k // per] else None for k, m in enumerate(fitted)]
+            got = boosting.predict_many(asked.withColumn("_k", of_quantile(F.col("_k"))), fitted, names, "_k", "predicted", used)
+            w = Window.partitionBy("run", "station_id", "height_m").orderBy("qnum").rowsBetween(Window.unboundedPreceding, 0)
+            got = got.withColumn("predicted", F.when(F.col("predicted").isNotNull(), F.max("predicted").over(w)))
+        else:
+            fitted, used = models(own, of)
+            got = boosting.predict_many(asked, [m if ok else None for m, ok in zip(fitted, good, strict=True)], names, "_k", "predicted", used)
+        if method == "hybrid":
+            tail = own.where(F.col("qnum") >= cutoff).withColumn("_y", F.log(F.greatest("_y", F.lit(floor))))
+            high = {r["m"] for r in tail.select(F.explode("models").alias("m")).groupBy("m").count().where("count >= 20").collect()}
+            fitted, used = models(tail, of)
+            fitted = [m if k in high and ok else None for k, (m, ok) in enumerate(zip(fitted, good, strict=True))]
+            got = boosting.predict_many(got, fitted, names, "_k", "_tail", used)
+            got = got.withColumn("predicted", F.when((F.col("qnum") >= cutoff) & F.col("_tail").isNotNull(), F.exp("_tail")).otherwise(F.col("predicted"))).drop("_tail")
+        parts.append(got.select("run", "station_id", "height_m", "qnum", "observed", cdf.finite(F.col("predicted")).alias("predicted")))
+    work.drop(mine)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _perceptron(train, test, names, monotone, target, o) -> np.ndarray:
@@ -120,8 +203,10 @@ def _convolution(train, test, names, monotone, target, o) -> np.ndarray:
     return out.to_numpy()
 
 
-#: How a fold is fitted and scored.
-METHODS = {"boosting": _boosted, "hybrid": _hybrid, "wide": _wide, "network": _perceptron, "convolution": _convolution}
+#: How a fold of whole profiles is fitted and scored, in one task.
+METHODS = {"network": _perceptron, "convolution": _convolution}
+#: What cross_validate() grows.
+GROWN = ("boosting", "hybrid", "wide")
 
 
 def _fold(train: pd.DataFrame, test: pd.DataFrame, seed: int, names: list[str], monotone: list[int], target: str, least_rows: int, balance: str | None, fit, o: dict) -> pd.DataFrame:
@@ -145,51 +230,35 @@ def _fold(train: pd.DataFrame, test: pd.DataFrame, seed: int, names: list[str],
     return out
 
 
-def leave_one_out(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, target: str = "observation", least_rows: int = 20, balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, method: str = "boosting", max_broadcast_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(station_id, height_m, qnum, observed, predicted) for the rows of each fold's station. Folds run side by side, one task each; below least_rows the prediction is NULL.
-
-    Up to max_broadcast_rows the table is broadcast once and each fold takes its part of it; a larger table is dealt to
-    the folds by a shuffle instead.
-    """
+def leave_one_out(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, target: str = "observation", least_rows: int = 20, balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, method: str = "boosting") -> DataFrame:
+    """(station_id, height_m, qnum, observed, predicted) for the rows of each fold's station; below least_rows the prediction is NULL."""
+    if method in GROWN:
+        return cross_validate(long, [Run(tuple(names), tuple(monotone), parameters or {}, method)], excluded, target, least_rows, balance, seed).drop("run")
     if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
-    fit, o, spark = METHODS[method], parameters or {}, long.sparkSession
+        raise ValueError(f"unknown method {method!r}; there are {sorted([*GROWN, *METHODS])}")
+    fit, o = METHODS[method], parameters or {}
     keep = list(dict.fromkeys(["station_id", "height_m", "qnum", *[n for n in names if n != "qnum"], target, "observation_type"]))
-    rows = long.select(*keep)
     schema = f"station_id {long.schema['station_id'].dataType.simpleString()}, height_m double, qnum int, observed double, predicted double"
     settings = (names, monotone, target, least_rows, balance, fit, o)
-    if rows.count() <= max_broadcast_rows:
-        table = spark.sparkContext.broadcast(rows.toPandas())
-        tasks = excluded.groupBy("fold").agg(F.collect_set("station_id").alias("out")).withColumn("seed", labels.fold_seed(seed, F.col("fold")))
-
-        def one(part: pd.DataFrame) -> pd.DataFrame:
-            data, r = table.value, part.iloc[0]
-            return _fold(data[~data.station_id.isin(r["out"])], data[data.station_id == r["fold"]], int(r["seed"]), *settings)
 
-        done = tasks.groupBy("fold").applyInPandas(one, schema)
-    else:
-        stations = excluded.select(F.col("fold").alias("station_id")).distinct()
+    def dealt(part: pd.DataFrame) -> pd.DataFrame:
+        return _fold(part[part.role == "train"], part[part.role == "test"], int(part.seed.iloc[0]), *settings)
 
-        def dealt(part: pd.DataFrame) -> pd.DataFrame:
-            return _fold(part[part.role == "train"], part[part.role == "test"], int(part.seed.iloc[0]), *settings)
-
-        done = folds(rows, excluded, stations).withColumn("seed", labels.fold_seed(seed, F.col("fold"))).groupBy("fold").applyInPandas(dealt, schema)
+    done = folds(long.select(*keep), excluded).withColumn("seed", labels.fold_seed(seed, F.col("fold"))).groupBy("fold").applyInPandas(dealt, schema)
     return done.withColumn("predicted", cdf.finite(F.col("predicted")))
 
 
-def train(long: DataFrame, names: list[str], monotone: list[int], target: str = "observation", balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, max_rows: int = MAX_TRAIN_ROWS) -> boosting.Boosted:
-    """The final model, on a balanced, bounded, hash-chosen set of rows with finite features."""
+def train(long: DataFrame, names: list[str], monotone: list[int], target: str = "observation", balance: str | None = "downsample", seed: int = 42, parameters: dict | None = None, loss: str = "absolute") -> boosting.Boosted:
+    """The final model, on all balanced rows with finite features. Without such a row it is None."""
     rows = long
     for c in [*names, target]:
         rows = rows.where(F.col(c).isNotNull())
     rows = rows.withColumn("_cls", F.when(labels.observation_type(F.col("observation_type")) == "GS", "GS").otherwise("ASOS"))
     if balance:
         rows = balanced(rows, "_cls", "station_id", "height_m", "qnum", strategy=balance, seed=seed)
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("station_id", "height_m", "qnum", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    got = rows.select("station_id", "height_m", *dict.fromkeys(["qnum", *names, target])).toPandas().sort_values(["station_id", "height_m", "qnum"])
-    return boosting.fit(got[names].to_numpy(float), got[target].to_numpy(float), monotone, **(PARAMETERS | (parameters or {})))
+    rows = rows.withColumn("models", F.array(F.lit(0)))
+    key = F.xxhash64("station_id", "height_m", "qnum")
+    return boosting.fit_many(rows, names, monotone, [parameters or {}], loss=loss, seed=seed, target=target, key=key)[0]
 
 
 def predict(df: DataFrame, model: boosting.Boosted, names: list[str], name: str = "pred_observation") -> DataFrame:
@@ -208,24 +277,28 @@ def predict(df: DataFrame, model: boosting.Boosted, names: list[str], name: str
 
 def monotone_predictions(pred: DataFrame, keys: list[str], value: str = "pred_observation") -> DataFrame:
     """Running maximum over the quantiles of each key."""
-    from pyspark.sql.window import Window
-
     return pred.withColumn(value, F.max(value).over(Window.partitionBy(*keys).orderBy("qnum").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def wide_models(arrays: DataFrame, inputs: list[str], aux: list[str], target: str, numbers: list[int], parameters: dict | None = None) -> DataFrame:
-    """(qnum, model): a separate model for each quantile, trained side by side, one task each."""
-    settings = PARAMETERS | (parameters or {})
+def wide_models(arrays: DataFrame, inputs: list[str], aux: list[str], target: str, numbers: list[int], parameters: dict | None = None) -> list[boosting.Boosted | None]:
+    """A separate model for each of the quantiles, grown side by side; score with wide_predictions()."""
+    rows = _quantile_rows(arrays, inputs, aux, target, numbers).withColumn("models", F.array("which"))
+    n = len(inputs) + len(aux)
+    return boosting.fit_many(rows, [f"x{i}" for i in range(n)], [1] * len(inputs) + [0] * len(aux), [parameters or {}] * len(numbers))
+
+
+def _quantile_rows(arrays: DataFrame, inputs: list[str], aux: list[str], target: str | None, numbers: list[int]) -> DataFrame:
     x = [F.get(F.col(c), F.col("qnum")).alias(f"x{i}") for i, c in enumerate(inputs)] + [F.col(a).cast("double").alias(f"x{len(inputs) + i}") for i, a in enumerate(aux)]
-    n = len(x)
-    rows = arrays.withColumn("qnum", F.explode(F.array(*[F.lit(q) for q in numbers]))).select("qnum", *x, F.get(F.col(target), F.col("qnum")).alias("y")).where("y is not null")
+    y = [F.get(F.col(target), F.col("qnum")).alias("y")] if target else []
+    rest = [c for c in arrays.columns if c not in (*inputs, *aux, target)]
+    return arrays.select("*", F.posexplode(F.array(*[F.lit(q) for q in numbers])).alias("which", "qnum")).select(*rest, "which", "qnum", *x, *y)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*[f"x{i}" for i in range(n)], "y"])
-        model = boosting.fit(part[[f"x{i}" for i in range(n)]].to_numpy(float), part.y.to_numpy(float), [1] * len(inputs) + [0] * len(aux), **settings)
-        return pd.DataFrame({"qnum": [int(part.qnum.iloc[0])], "model": [pickle.dumps(model)]})
 
-    return rows.groupBy("qnum").applyInPandas(run, "qnum int, model binary")
+def wide_predictions(arrays: DataFrame, models: list[boosting.Boosted | None], inputs: list[str], aux: list[str], numbers: list[int], keys: list[str], name: str = "pred_observation") -> DataFrame:
+    """(keys, qnum, prediction) by each quantile's own model, and then the running maximum."""
+    rows = _quantile_rows(arrays, inputs, aux, None, numbers).select(*keys, "which", "qnum", *[f"x{i}" for i in range(len(inputs) + len(aux))])
+    got = boosting.predict_many(rows, models, [f"x{i}" for i in range(len(inputs) + len(aux))], "which", name)
+    return monotone_predictions(got.select(*keys, "qnum", name), keys, name)
 
 
 def hybrid_models(long: DataFrame, names: list[str], monotone: list[int], tail_names: list[str], tail_monotone: list[int], cutoff: int = 95, floor: float = 1e-3, **settings) -> tuple[boosting.Boosted, boosting.Boosted]:
@@ -301,30 +374,28 @@ def feature_subsets(items: list[str], empty: bool = False) -> list[list[str]]:
     return [list(c) for k in range(0 if empty else 1, len(items) + 1) for c in itertools.combinations(items, k)]
 
 
-def sweep(long: DataFrame, subsets: list[list[str]], aux: list[str], excluded: DataFrame, **settings) -> list[dict]:
-    """Pooled errors of leave-one-out runs for each feature subset: a row of the run manifest each."""
-    out = []
-    for names in subsets:
-        table, feats, signs = features(long, names, aux)
-        done = leave_one_out(table, feats, signs, excluded, **settings)
-        e = F.col("predicted") - F.col("observed")
-        r = done.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(e).alias("n")).first()
-        out.append({"label": "+".join(names) or "none", "features": json.dumps(names), "rmse": r["rmse"], "mae": r["mae"], "n": r["n"]})
-    return out
+def errors(done: DataFrame) -> DataFrame:
+    """(run, rmse, mae, n) of cross-validated predictions."""
+    e = F.col("predicted") - F.col("observed")
+    return done.groupBy("run").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.count(e).alias("n"))
 
 
-def search(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, trials: int = 10, seed: int = 0, space: dict | None = None) -> list[dict]:
-    """Random search over boosting settings (logarithmic between the bounds), best first: a driver loop of distributed leave-one-out runs."""
-    rng = np.random.default_rng(seed)
-    space = space or {"trees": (50, 200), "depth": (2, 6), "rate": (0.03, 0.3), "ridge": (0.1, 10.0)}
-    runs = []
-    for _ in range(trials):
-        p = {k: float(math.exp(rng.uniform(math.log(a), math.log(b)))) for k, (a, b) in space.items()}
-        p = {k: round(v) if isinstance(space[k][0], int) else v for k, v in p.items()}
-        e = F.col("predicted") - F.col("observed")
-        r = leave_one_out(long, names, monotone, excluded, parameters=p).agg(F.sqrt(F.avg(e * e)).alias("rmse")).first()
-        runs.append(p | {"rmse": r["rmse"]})
-    return sorted(runs, key=lambda r: (r["rmse"] is None, r["rmse"]))
+def sweep(long: DataFrame, subsets: list[list[str]], aux: list[str], excluded: DataFrame, done: DataFrame | None = None, parameters: dict | None = None, **settings) -> DataFrame:
+    """(label, features, rmse, mae, n): pooled leave-one-out errors with each feature subset, the models of all subsets and folds grown together.
+
+    done: the manifest of an earlier sweep, whose subsets aren't run again but kept.
+    """
+    label = lambda names: "+".join(names) or "none"
+    known = {r["label"] for r in done.select("label").collect()} if done is not None else set()
+    todo = [s for s in subsets if label(s) not in known]
+    table, _, _ = features(long, list(dict.fromkeys(n for s in subsets for n in s)), aux)
+    schema = "label string, features string, rmse double, mae double, n long"
+    got = long.sparkSession.createDataFrame([], schema)
+    if todo:
+        runs = [Run((*s, "qnum", *aux), (*[1] * (len(s) + 1), *[0] * len(aux)), parameters or {}) for s in todo]
+        named = long.sparkSession.createDataFrame([(k, label(s), json.dumps(s)) for k, s in enumerate(todo)], "run int, label string, features string")
+        got = named.join(errors(cross_validate(table, runs, excluded, **settings)), "run").drop("run")
+    return got if done is None else done.select(*got.columns).unionByName(got)
 
 
 def importance(spark: SparkSession, model: boosting.Boosted, names: list[str]) -> DataFrame:

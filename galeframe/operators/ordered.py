@@ -125,7 +125,7 @@ def balanced(df: DataFrame, cls: str, *key: str, strategy: str = "downsample", s
     goal = sizes.agg((F.min if strategy == "downsample" else F.max)("_n").alias("_goal"))
     order = F.sha1(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))).cast("binary"))
     placed = positions(df.withColumn("_h", order), [F.col("_h").asc(), *[F.col(k).asc() for k in key]], [cls], "_r", range_rows)
-    placed = placed.join(F.broadcast(sizes.withColumnRenamed(cls, "_cls")), F.col(cls).eqNullSafe(F.col("_cls"))).drop("_cls").crossJoin(F.broadcast(goal))  # a row for each class
+    placed = placed.join(F.broadcast(sizes.withColumnRenamed(cls, "_class_of")), F.col(cls).eqNullSafe(F.col("_class_of"))).drop("_class_of").crossJoin(F.broadcast(goal))  # a row for each class
     if strategy == "downsample":
         out = placed.where("_r < _goal")
     else:

@@ -1,7 +1,6 @@
-"""Data sources that Spark lacks: paged HTTP services, gridded HDF5 or GRIB files, rasters.
+"""Paged HTTP services, rasters kept as tables, and outside services that are asked by place; read by the executors.
 
-Each is a Python data source or a per-partition reader, so that files, pages and points are read by the executors. What
-needs a library that isn't installed says so when it is used, not when this module is imported.
+Gridded HDF5 and GRIB files are read by hdf5.py and grib.py, raster files by tiff.py.
 """
 
 from __future__ import annotations
@@ -18,6 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
+
+from galeframe.sources.grib import GribSource
+from galeframe.sources.hdf5 import H5PlacesSource, H5Source
 
 RETRY = frozenset({429, 500, 502, 503, 504})
 
@@ -72,106 +75,11 @@ class PagedSource(DataSource):
         return PagedReader(dict(self.options))
 
 
-def _needed(module: str):
-    import importlib
-
-    try:
-        return importlib.import_module(module)
-    except ImportError as e:
-        raise ImportError(f"reading this format needs the package {module!r}") from e
-
-
-class HdfReader(DataSourceReader):
-    """A partition for each file and block of columns (neighbouring gids together)."""
-
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        files, gids = json.loads(self.options["files"]), sorted(json.loads(self.options["gids"]))
-        size = int(self.options.get("block", 256))
-        return [InputPartition((f, gids[i : i + size])) for f in files for i in range(0, len(gids), size)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        h5py = _needed("h5py")
-        path, gids = partition.value
-        with h5py.File(path, "r") as f:
-            data = f[self.options["variable"]]
-            scale = float(data.attrs.get("scale_factor", 1.0)) or 1.0
-            offset = float(data.attrs.get("add_offset", 0.0))
-            times = [t.decode() for t in f["time_index"][:]]
-            for a, b in runs(gids):
-                block = data[:, a:b].astype("float32") / scale + offset
-                for j in range(b - a):
-                    for t, v in zip(times, block[:, j], strict=True):
-                        yield path, a + j, t, float(v)
-
-
-class HdfSource(DataSource):
-    """spark.read.format("h5wind").options(files=json, gids=json, variable=name).load() -> file, gid, time, value."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "h5wind"
-
-    def schema(self) -> str:
-        return "file string, gid long, time string, value double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return HdfReader(dict(self.options))
-
-
-class GribReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in json.loads(self.options["files"])]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        xarray = _needed("xarray")
-        _needed("cfgrib")
-        names = self.options.get("variables", "u10,v10,u100,v100").split(",")
-        with xarray.open_dataset(partition.value, engine="cfgrib") as ds:
-            for t in ds["time"].values:
-                one = ds.sel(time=t)
-                table = pd.DataFrame({n: one[n].values.ravel() if n in one else np.nan for n in names})
-                lat, lon = np.meshgrid(one["latitude"].values, one["longitude"].values, indexing="ij")
-                for row in zip(np.repeat(str(t), lat.size), lat.ravel().tolist(), lon.ravel().tolist(), *[table[n].tolist() for n in names], strict=True):
-                    yield row
-
-
-class GribSource(DataSource):
-    """spark.read.format("grib").options(files=json, variables="u10,v10").load() -> time, lat, lon and the variables."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "grib"
-
-    def schema(self) -> str:
-        names = self.options.get("variables", "u10,v10,u100,v100").split(",")
-        return "time string, lat double, lon double, " + ", ".join(f"{n} double" for n in names)
-
-    def reader(self, schema) -> DataSourceReader:
-        return GribReader(dict(self.options))
-
-
 def register(spark: SparkSession) -> None:
-    for source in (PagedSource, HdfSource, GribSource):
+    for source in (PagedSource, H5Source, H5PlacesSource, GribSource):
         spark.dataSource.register(source)
 
 
-def runs(sorted_ids: list[int]) -> list[tuple[int, int]]:
-    """(start, end) of neighbouring ids, end excluded: what is read at once."""
-    out: list[list[int]] = []
-    for i in sorted_ids:
-        if out and out[-1][1] == i:
-            out[-1][1] = i + 1
-        else:
-            out.append([i, i + 1])
-    return [(a, b) for a, b in out]
-
-
 def raster_cells(raster: DataFrame, west: float, north: float, dx: float, dy: float, points: DataFrame, value: str = "value", nodata: float | None = None, lat: str = "lat", lon: str = "lon", name: str = "sample") -> DataFrame:
     """Samples a raster, kept as (row, col, value), at points: an equi-join by cell. nodata and values of -1e20 and less are NULL, points outside too."""
     r = F.floor((F.lit(north) - F.col(lat)) / dy).cast("long")
@@ -183,22 +91,6 @@ def raster_cells(raster: DataFrame, west: float, north: float, dx: float, dy: fl
     return points.withColumns({"_r": r, "_c": c}).join(cells, ["_r", "_c"], "left").drop("_r", "_c")
 
 
-def sample_raster_file(points: DataFrame, path: str | None, name: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Samples a raster file by the executors' own reader; without a path all NULL."""
-    if path is None:
-        return points.withColumn(name, F.lit(None).cast("double"))
-
-    def run(batches):
-        rasterio = _needed("rasterio")
-        with rasterio.open(path) as ds:
-            for b in batches:
-                v = np.array([x[0] for x in ds.sample(zip(b[lon], b[lat], strict=True))], float)
-                v[(v == ds.nodata) | (v <= -1e20)] = np.nan
-                yield b.assign(**{name: v})
-
-    return points.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in points.schema)}, `{name}` double")
-
-
 def looked_up(points: DataFrame, ask: Callable[[float, float, float], float | None], name: str = "elevation_m", pixel_sizes: tuple = (10.0, 30.0, 90.0), lat: str = "lat", lon: str = "lon", partitions: int = 16) -> DataFrame:
     """Values of an outside service at distinct places, asked once each by the executors; the first pixel size with an answer. reason tells why there is none."""
     places = points.select(lat, lon).where(f"{lat} is not null and {lon} is not null").distinct().repartition(partitions)
@@ -227,4 +119,7 @@ def looked_up(points: DataFrame, ask: Callable[[float, float, float], float | No
 def failures(looked: DataFrame, samples: int = 10, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Failed places by reason, with a few of them."""
     bad = looked.where("reason is not null").select("reason", lat, lon).distinct()
-    return bad.groupBy("reason").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.struct(lat, lon))), 1, samples).alias("examples"))
+    # A rank that is limited is cut in each task before the rows of a reason meet.
+    first = bad.withColumn("_k", F.row_number().over(Window.partitionBy("reason").orderBy(lat, lon))).where(F.col("_k") <= samples)
+    shown = first.groupBy("reason").agg(F.array_sort(F.collect_list(F.struct(lat, lon))).alias("examples"))
+    return bad.groupBy("reason").agg(F.count("*").alias("n")).join(shown, "reason")

@@ -276,8 +276,8 @@ def test_leave_one_out_folds(spark):
     table, names, signs = ml.features(t, ["era5"])
     got = ml.leave_one_out(table, names, signs, ex, parameters={"trees": 40, "depth": 3}).collect()
     assert len(got) == 63 and math.sqrt(np.mean([(r["predicted"] - r["observed"]) ** 2 for r in got])) < 1.5
-    dealt = ml.leave_one_out(table, names, signs, ex, parameters={"trees": 40, "depth": 3}, max_broadcast_rows=0).collect()
-    assert sorted(map(tuple, dealt)) == sorted(map(tuple, got))
+    same = [sorted(map(tuple, ml.leave_one_out(t, names, signs, ex, parameters={"trees": 3, "depth": 3, "rows": 0.7, "columns": 0.7}).collect())) for t in (table, table.repartition(1))]
+    assert same[0] == same[1]
     few = ml.leave_one_out(table, names, signs, ex, least_rows=10_000).collect()
     assert all(r["predicted"] is None for r in few)
 
@@ -293,11 +293,39 @@ def test_model_and_network_score(spark):
     assert ml.predict(table.drop("era5"), model, names).where("pred_observation is null").isEmpty()
 
 
+def test_models_on_a_table_are_those_on_arrays(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.uniform(0, 10, (300, 3)), 1)
+    x[rng.random(x.shape) < 0.1] = NAN
+    y = np.nan_to_num(x[:, 0]) + np.sin(np.nan_to_num(x[:, 1])) + np.where(np.isnan(x[:, 2]), 3.0, 0.0)
+    values = [[float(v) if np.isfinite(v) else None for v in r] for r in x]
+    rows = [(*v, float(t), [0, 1, 2] if k % 3 else [0, 1, 1]) for k, (v, t) in enumerate(zip(values, y, strict=True))] + [(1.0, 1.0, 1.0, None, [0]), (1.0, 1.0, 1.0, 99.0, [])]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, models array<int>").repartition(3)
+    settings = [{"trees": 12, "depth": 3, "rate": 0.3}, {"trees": 2, "depth": 1, "rate": 1.0}, {"trees": 4, "depth": 2, "least": 40}, {"trees": 3}]
+    for loss in ("absolute", "squared"):
+        got = boosting.fit_many(df, ["a", "b", "c"], [1, 0, 0], settings, [[0, 1, 2], [0, 1, 2], [1, 2], [0]], loss=loss)
+        twice, some = np.concatenate([np.arange(300), np.arange(0, 300, 3)]), np.flatnonzero(np.arange(300) % 3)
+        of = {0: np.arange(300), 1: twice, 2: some}
+        for m, at in of.items():
+            own = x[at] if m < 2 else np.where(np.arange(3) == 0, NAN, x[at])
+            want = boosting.fit(own, y[at], [1, 0, 0], loss=loss, **settings[m])
+            if m == 0:
+                assert np.allclose(got[m].predict(x), want.predict(x))
+            assert abs(np.abs(got[m].predict(own) - y[at]).mean() - np.abs(want.predict(own) - y[at]).mean()) < 0.15
+        line = np.stack([np.linspace(0, 10, 50), np.full(50, 3.0), np.full(50, 3.0)], axis=1)
+        assert (np.diff(got[0].predict(line)) >= -1e-12).all() and got[3] is None
+        assert got[1].depth == 1 or len(got[1].roots) == 2
+
+
 def test_sweep_and_subsets(spark):
     assert ml.feature_subsets(["a", "b", "c"]) == [["a"], ["b"], ["c"], ["a", "b"], ["a", "c"], ["b", "c"], ["a", "b", "c"]]
     t = long_rows(spark)
+    t = t.withColumn("wtk", F.when(F.col("qnum") != 50, F.col("era5") + 1))
     runs = ml.sweep(t, [["era5"]], [], ml.neighbour_map(t), parameters={"trees": 5})
-    assert runs[0]["label"] == "era5" and runs[0]["n"] == 63
+    assert [(r["label"], r["n"]) for r in runs.collect()] == [("era5", 63)]
+    more = ml.sweep(t, ml.feature_subsets(["era5", "wtk"]), [], ml.neighbour_map(t), done=runs, parameters={"trees": 1, "depth": 2})
+    assert {r["label"]: r["n"] for r in more.collect()} == {"era5": 63, "wtk": 60, "era5+wtk": 60}
+    assert more.where("label = 'era5'").first() == runs.first()
 
 
 @pytest.mark.parametrize("name", ["baseline", "enriched", "cdf_context", "wide", "hybrid", "network", "convolution"])

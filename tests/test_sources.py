@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galeframe.functions.constants import QCOLS
-from galeframe.sources import connectors, tables
+from galeframe.sources import connectors, hdf5, tables, tiff
 from galeframe.streaming import ingest
 
 
@@ -101,7 +101,7 @@ def test_paged_source(spark, tmp_path):
 
 
 def test_runs_of_ids():
-    assert connectors.runs([1, 2, 3, 7, 9, 10]) == [(1, 4), (7, 8), (9, 11)] and connectors.runs([]) == []
+    assert hdf5.runs([1, 2, 3, 7, 9, 10]) == [(1, 4), (7, 8), (9, 11)] and hdf5.runs([]) == []
 
 
 def test_lookup_with_fallback_and_failures(spark):
@@ -114,13 +114,7 @@ def test_lookup_with_fallback_and_failures(spark):
     got = connectors.looked_up(pts, ask, partitions=2)
     assert sorted((r["lat"], r["elevation_m"], r["reason"]) for r in got.where("lat < 2").collect()) == [(1.0, 100.0, None)] * 2
     assert connectors.failures(got).first()["reason"] == "TimeoutError"
-    assert connectors.sample_raster_file(pts, None, "g").where("g is not null").isEmpty()
-
-
-def test_missing_libraries_say_so(spark):
-    connectors.register(spark)
-    with pytest.raises(Exception, match="needs the package"):
-        spark.read.format("h5wind").options(files='["x"]', gids="[1]", variable="ws").load().collect()
+    assert tiff.sample_raster(pts, None, "g").where("g is not null").isEmpty()
 
 
 def test_streams_resume(spark, tmp_path):
