@@ -6,7 +6,7 @@ import itertools
 import json
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,13 +18,11 @@ from pyspark.sql.window import Window
 
 from galeframe.functions import cdf, labels
 from galeframe.functions.constants import N_QUANTILES
-from galeframe.operators import boosting
+from galeframe.operators import boosting, networks
 from galeframe.operators.cut import Scratch
 from galeframe.operators.ordered import balanced, positions
 from galeframe.operators.schema import derived_features, require
 
-#: Rows that a profile model trained in one task is fitted on at most, chosen by hash; the bound of its memory.
-MAX_TRAIN_ROWS = 2_000_000
 
 
 def features(long: DataFrame, winds: list[str], aux: list[str] = (), target: str = "observation") -> tuple[DataFrame, list[str], list[int]]:
@@ -109,6 +107,9 @@ def cross_validate(long: DataFrame, runs: list[Run], excluded: DataFrame, target
     mine = work.write(mine.select(*keep, "_y", "models"))
     sizes = {r["m"]: r["count"] for r in mine.select(F.explode("models").alias("m")).groupBy("m").count().collect()}
     enough = [sizes.get(m, 0) >= least_rows for m in range(len(runs) * n)]
+    if not all(enough):
+        trained = F.array(*[F.lit(m) for m, ok in enumerate(enough) if ok]).cast("array<int>")
+        mine = mine.withColumn("models", F.filter("models", lambda m: F.array_contains(trained, m)))
 
     test = long.join(F.broadcast(fold_of), long["station_id"] == fold_of["fold"]).drop("fold").withColumn("run", F.explode(F.array(*[F.lit(k) for k in range(len(runs))])))
     test = test.select("run", "no", F.col("station_id"), F.col("height_m").cast("double").alias("height_m"), F.col("qnum").cast("int").alias("qnum"), *[n for n in names if n not in ("height_m", "qnum")], F.col(target).cast("double").alias("observed"), (F.col("run") * n + F.col("no")).alias("_m"))
@@ -151,54 +152,45 @@ def cross_validate(long: DataFrame, runs: list[Run], excluded: DataFrame, target
             got = boosting.predict_many(got, fitted, names, "_k", "_tail", used)
             got = got.withColumn("predicted", F.when((F.col("qnum") >= cutoff) & F.col("_tail").isNotNull(), F.exp("_tail")).otherwise(F.col("predicted"))).drop("_tail")
         parts.append(got.select("run", "station_id", "height_m", "qnum", "observed", cdf.finite(F.col("predicted")).alias("predicted")))
-    work.drop(mine)
+    work.close()
     return reduce(DataFrame.unionByName, parts)
 
 
+def _hashed(keys: pd.DataFrame) -> np.ndarray:
+    return pd.util.hash_pandas_object(keys, index=False).to_numpy().view(np.int64)
+
+
 def _perceptron(train, test, names, monotone, target, o) -> np.ndarray:
-    return network_scores(fit_network(train[names].to_numpy(float), train[target].to_numpy(float), **o), test[names].to_numpy(float))
+    """Stations are kept for validation where there are five or more."""
+    hidden, s = o.get("hidden", (32, 16)), networks.Settings(**{k: v for k, v in o.items() if k != "hidden"})
+    if train.station_id.nunique() < 5:
+        s.validation = 0.0
+    rows = networks.Rows(train[names].to_numpy(float), np.zeros((len(train), 0)), train[[target]].to_numpy(float), _hashed(train[["station_id", "height_m", "qnum"]]), _hashed(train[["station_id"]]))
+    return networks.fit_arrays(networks.Perceptron(len(names), tuple(hidden)), rows, s).predict(test[names].to_numpy(float))[:, 0]
 
 
-def _profiles(part: pd.DataFrame, names: list[str], target: str) -> tuple[np.ndarray, np.ndarray, list]:
-    """(profiles, channels, points) of the wind columns, targets, and the rows of each profile; only profiles with all of the points."""
-    channels = [n for n in names if n != "qnum"]
+def _profiles(part: pd.DataFrame, channels: list[str], aux: list[str], target: str) -> tuple[networks.Rows, list]:
+    """The profiles that have all of the points, and the rows of each."""
     most = part.groupby(["station_id", "height_m"]).size().max()
     kept = [g for _, g in part.groupby(["station_id", "height_m"], sort=True) if len(g) == most]
-    return np.stack([g[channels].to_numpy(float).T for g in kept]), np.stack([g[target].to_numpy(float) for g in kept]), [g.index for g in kept]
-
-
-def fit_convolution(x: np.ndarray, y: np.ndarray, hidden: int = 8, width: int = 5, steps: int = 300, rate: float = 0.01, seed: int = 0) -> dict:
-    """Profiles to profiles: a convolution along the quantiles, tanh, a linear layer to one softplus step for each quantile, and their running sum, so that profiles rise."""
-    n, c, p = x.shape
-    rng = np.random.default_rng(seed)
-    mean, sd = x.mean(axis=(0, 2), keepdims=True), np.maximum(x.std(axis=(0, 2), keepdims=True), 1e-8)
-    m = {"mean": mean, "sd": sd, "width": width, "k": rng.normal(0, 1 / math.sqrt(c * width), (c * width, hidden)), "kb": np.zeros(hidden), "w": rng.normal(0, 0.1, hidden), "wb": np.log(np.expm1(np.maximum(np.diff(y.mean(axis=0), prepend=y.mean(axis=0)[0] - 1e-3), 1e-3))), "base": np.array(y[:, 0].mean()), "slope": np.zeros(c)}
-
-    def gradient(m: dict) -> dict:
-        patches, a, z, out = _convolved(m, x)
-        e = (out - y) / y.size
-        steps_back = np.cumsum(e[:, ::-1], axis=1)[:, ::-1] / (1 + np.exp(-z))
-        d = steps_back[:, :, None] * m["w"] * (1 - a * a)
-        return {"w": np.einsum("np,nph->h", steps_back, a), "wb": steps_back.sum(axis=0), "k": np.einsum("npc,nph->ch", patches, d), "kb": d.sum(axis=(0, 1)), "base": np.array(e.sum()), "slope": np.einsum("n,nc->c", e.sum(axis=1), ((x - m["mean"]) / m["sd"]).mean(axis=2))}
-
-    return adam(m, gradient, steps, rate)
-
-
-def _convolved(m: dict, x: np.ndarray) -> tuple:
-    z0 = (x - m["mean"]) / m["sd"]
-    padded = np.pad(z0, ((0, 0), (0, 0), (m["width"] // 2, m["width"] // 2)), mode="edge")
-    patches = np.lib.stride_tricks.sliding_window_view(padded, m["width"], axis=2).transpose(0, 2, 1, 3).reshape(len(x), x.shape[2], -1)
-    a = np.tanh(patches @ m["k"] + m["kb"])
-    z = a @ m["w"] + m["wb"]
-    return patches, a, z, np.cumsum(np.logaddexp(0, z), axis=1) + m["base"] + (z0.mean(axis=2) @ m["slope"])[:, None]
+    first = pd.concat([g.head(1) for g in kept])
+    rows = networks.Rows(np.stack([g[channels].to_numpy(float).T for g in kept]), first[aux].to_numpy(float), np.stack([g[target].to_numpy(float) for g in kept]), _hashed(first[["station_id", "height_m"]]), _hashed(first[["station_id"]]))
+    return rows, [g.index for g in kept]
 
 
 def _convolution(train, test, names, monotone, target, o) -> np.ndarray:
-    x, y, _ = _profiles(train, names, target)
-    xt, _, rows = _profiles(test.assign(**{target: test[target].fillna(0)}), names, target)
+    """Winds are channels along the quantiles, other features an embedding beside them."""
+    channels, aux = [n for n, m in zip(names, monotone, strict=True) if m and n != "qnum"], [n for n, m in zip(names, monotone, strict=True) if not m]
+    shape = {k: o[k] for k in ("filters", "embedding", "hidden") if k in o}
+    s = networks.Settings(**{k: v for k, v in o.items() if k not in shape})
+    rows, _ = _profiles(train, channels, aux, target)
+    asked, places = _profiles(test.assign(**{target: test[target].fillna(0)}), channels, aux, target)
     out = pd.Series(np.nan, index=test.index)
-    if xt.shape[2] == x.shape[2]:
-        for r, v in zip(rows, _convolved(fit_convolution(x, y, **o), xt)[3], strict=True):
+    if asked.x.shape[2] == rows.x.shape[2]:
+        if len(np.unique(rows.station)) < 5:
+            s.validation = 0.0
+        model = networks.fit_arrays(networks.Convolution(len(channels), rows.x.shape[2], len(aux), **shape), rows, s)
+        for r, v in zip(places, model.predict(asked.x, asked.aux), strict=True):
             out[r] = v
     return out.to_numpy()
 
@@ -314,59 +306,13 @@ def hybrid_predictions(df: DataFrame, base: boosting.Boosted, tail: boosting.Boo
     return scored.withColumn("pred_observation", F.when(F.col("qnum") >= cutoff, F.exp("_tail")).otherwise(F.col("_base"))).drop("_base", "_tail")
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, steps: int = 400, rate: float = 0.01, seed: int = 0) -> dict:
-    """A two-layer perceptron on standardised features, missing ones 0, trained by Adam."""
-    mean, sd = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
-    sd = np.where(sd < 1e-8, 1.0, sd)
-    rng = np.random.default_rng(seed)
-    m = {"mean": mean, "sd": sd, "w1": rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 1 / math.sqrt(hidden), hidden), "b2": np.array(y.mean())}
-    z = np.nan_to_num((x - mean) / sd)
-
-    def gradient(m: dict) -> dict:
-        a = np.tanh(z @ m["w1"] + m["b1"])
-        e = (a @ m["w2"] + m["b2"] - y) / len(y)
-        d = np.outer(e, m["w2"]) * (1 - a * a)
-        return {"w1": z.T @ d, "b1": d.sum(axis=0), "w2": a.T @ e, "b2": np.array(e.sum())}
-
-    return adam(m, gradient, steps, rate)
-
-
-def adam(m: dict, gradient, steps: int, rate: float) -> dict:
-    """m after so many steps; gradient(m) tells which of its entries are trained."""
-    first: dict = {}
-    second: dict = {}
-    for step in range(1, steps + 1):
-        for k, g in gradient(m).items():
-            first[k] = 0.9 * first.get(k, 0) + 0.1 * g
-            second[k] = 0.999 * second.get(k, 0) + 0.001 * g**2
-            m[k] = m[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return m
-
-
-def network_scores(m: dict, x: np.ndarray) -> np.ndarray:
-    return np.tanh(np.nan_to_num((x - m["mean"]) / m["sd"]) @ m["w1"] + m["b1"]) @ m["w2"] + m["b2"]
-
-
-def network(long: DataFrame, names: list[str], target: str = "observation", max_rows: int = MAX_TRAIN_ROWS, **settings) -> dict:
-    """The perceptron, trained on bounded rows; predict with network_predictions()."""
-    rows = long.where(F.col(target).isNotNull()).select(*names, target)
-    total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(*names), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
-    got = rows.toPandas().sort_values([*names, target])
-    return fit_network(got[names].to_numpy(float), got[target].to_numpy(float), **settings)
+def network(long: DataFrame, names: list[str], target: str = "observation", hidden: tuple[int, ...] = (32, 16), **settings) -> networks.Fitted:
+    """The perceptron on all rows, which stay on the executors; predict with network_predictions()."""
+    return networks.fit_table(networks.Perceptron(len(names), tuple(hidden)), long, names, target, networks.Settings(**settings), key=["station_id", "height_m", "qnum"])
 
 
-def network_predictions(df: DataFrame, model: dict, names: list[str], name: str = "pred_observation") -> DataFrame:
-    """The perceptron as a Column expression: no Python while scoring."""
-    z = [F.coalesce((F.col(n).cast("double") - float(model["mean"][i])) / float(model["sd"][i]), F.lit(0.0)) for i, n in enumerate(names)]
-    out = F.lit(float(model["b2"]))
-    for j in range(len(model["b1"])):
-        s = F.lit(float(model["b1"][j]))
-        for i, c in enumerate(z):
-            s = s + c * float(model["w1"][i, j])
-        out = out + F.tanh(s) * float(model["w2"][j])
-    return df.withColumn(name, out)
+def network_predictions(df: DataFrame, model: networks.Fitted, names: list[str], name: str = "pred_observation") -> DataFrame:
+    return networks.predictions(df, model, names, name)
 
 
 def feature_subsets(items: list[str], empty: bool = False) -> list[list[str]]:
@@ -398,6 +344,66 @@ def sweep(long: DataFrame, subsets: list[list[str]], aux: list[str], excluded: D
     return got if done is None else done.select(*got.columns).unionByName(got)
 
 
+def parameter_sweep(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, grid: dict[str, list], base: dict | None = None, **settings) -> DataFrame:
+    """(parameter, value, rmse, mae, n): leave-one-out errors with one parameter changed at a time, all side by side."""
+    changes = [(k, v) for k, values in grid.items() for v in values]
+    runs = [Run(tuple(names), tuple(monotone), (base or {}) | {k: v}) for k, v in changes]
+    named = long.sparkSession.createDataFrame([(i, k, float(v)) for i, (k, v) in enumerate(changes)], "run int, parameter string, value double")
+    return named.join(errors(cross_validate(long, runs, excluded, **settings)), "run").drop("run")
+
+
+#: Parameters that are searched, with their bounds; all on a logarithmic scale, whole where the bounds are.
+SPACE = {"trees": (50, 200), "depth": (2, 6), "rate": (0.03, 0.3), "ridge": (0.1, 10.0)}
+
+
+def parzen(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The density at some places of the unit interval: a normal around each point, as wide as their number tells, and one wide normal for what isn't known."""
+    centre, width = np.append(points, 0.5), np.append(np.full(len(points), 1 / (1 + min(100, len(points)))), 1.0)
+    z = (at[:, None] - centre) / width
+    return (np.exp(-z * z / 2) / width / math.sqrt(2 * math.pi)).mean(axis=1)
+
+
+def suggested(history: list[tuple[np.ndarray, float]], size: int, rng: np.random.Generator, n: int, good: float = 0.25, drawn: int = 32) -> list[np.ndarray]:
+    """n places of the unit cube to try next: of some drawn around the good trials, those where good trials are densest against the others, parameter by parameter."""
+    if len(history) < max(4, 2 * n):
+        return [rng.random(size) for _ in range(n)]
+    order = sorted(history, key=lambda h: h[1])
+    k = max(2, math.ceil(good * len(order)))
+    best, rest = np.stack([h[0] for h in order[:k]]), np.stack([h[0] for h in order[k:]])
+    out = []
+    for _ in range(n):
+        pick = best[rng.integers(0, k, (drawn, size)), np.arange(size)]
+        draws = np.clip(pick + rng.normal(0, 1 / (1 + min(100, k)), (drawn, size)), 0, 1)
+        value = sum(np.log(parzen(best[:, j], draws[:, j])) - np.log(parzen(rest[:, j], draws[:, j])) for j in range(size))
+        out.append(draws[int(np.argmax(value))])
+    return out
+
+
+def tpe(evaluate: Callable[[list[dict]], list[float]], space: dict[str, tuple], trials: int, side_by_side: int = 4, seed: int = 0) -> list[dict]:
+    """Trials with their loss, best first. evaluate is handed some trials at a time, to run them together."""
+    rng, history, runs = np.random.default_rng(seed), [], []
+    low, high = (np.log(np.array([b[k] for b in space.values()], float)) for k in (0, 1))
+    while len(runs) < trials:
+        places = suggested(history, len(space), rng, min(side_by_side, trials - len(runs)))
+        asked = [dict(zip(space, np.exp(low + p * (high - low)).tolist(), strict=True)) for p in places]
+        asked = [{k: round(v) if isinstance(space[k][0], int) else v for k, v in a.items()} for a in asked]
+        for p, a, loss in zip(places, asked, evaluate(asked), strict=True):
+            history.append((p, loss))
+            runs.append(a | {"loss": loss})
+    return sorted(runs, key=lambda r: r["loss"])
+
+
+def search(long: DataFrame, names: list[str], monotone: list[int], excluded: DataFrame, trials: int = 12, side_by_side: int = 4, seed: int = 0, space: dict | None = None, **settings) -> list[dict]:
+    """Boosting settings by tree-structured Parzen search, best first; the trials of a round are grown together, over all folds."""
+
+    def evaluate(asked: list[dict]) -> list[float]:
+        done = cross_validate(long, [Run(tuple(names), tuple(monotone), a) for a in asked], excluded, **settings)
+        found = {r["run"]: r["rmse"] for r in errors(done).collect()}
+        return [found.get(k) if found.get(k) is not None else math.inf for k in range(len(asked))]
+
+    return tpe(evaluate, space or SPACE, trials, side_by_side, seed)
+
+
 def importance(spark: SparkSession, model: boosting.Boosted, names: list[str]) -> DataFrame:
     """(feature, gain, weight, total_gain, rank_gain): gain is the mean of a feature's splits."""
     rows = [(names[i], g / w if w else 0.0, w, g) for i, g, w in model.importance()]

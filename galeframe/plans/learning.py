@@ -51,7 +51,7 @@ def _wide(spark: SparkSession, d: str, parameters: dict) -> DataFrame:
 
 def q84_network(spark: SparkSession, d: str) -> DataFrame:
     table, names, _ = ml.features(_training(spark, d), ["era5", "wtk"])
-    return ml.network_predictions(table, ml.network(table, names, hidden=8, steps=200), names).select("station_id", "height_m", "qnum", "pred_observation")
+    return ml.network_predictions(table, ml.network(table, names, hidden=(8,), epochs=40, rate=0.05), names).select("station_id", "height_m", "qnum", "pred_observation")
 
 
 def q85_neighbour_map(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def q90_experiments(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid, wide, perceptron and convolution runs against the baseline."""
     t = _training(spark, d)
     ex = ml.neighbour_map(t)
-    small = {"network": {"steps": 60, "hidden": 8}, "convolution": {"steps": 60}, "wide": {"trees": 1, "depth": 2, "least": 2}}
+    small = {"network": {"epochs": 60, "hidden": (8,)}, "convolution": {"epochs": 40}, "wide": {"trees": 1, "depth": 2, "least": 2}}
     runs = {k: experiments.run(k, t, ["era5", "wtk"], ex, small.get(k, QUICK)) for k in ("baseline", "hybrid", "wide", "network", "convolution")}
     return experiments.report(runs, "baseline")
 
@@ -140,6 +140,14 @@ def q96_wide_medians(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_wide(spark, d, {"trees": 0}))
 
 
+def q133_convolution_property(spark: SparkSession, d: str) -> DataFrame:
+    """Convolution folds: predictions of each profile, how many fall over the quantiles, and how many are below zero."""
+    t = _training(spark, d)
+    got = experiments.run("convolution", t, ["era5", "wtk"], ml.neighbour_map(t), {"epochs": 15})
+    p = got.groupBy("station_id", "height_m").agg(F.count("predicted").alias("n"), F.min("predicted").alias("low"), cdf.collected(F.col("qnum"), F.col("predicted")).alias("p"))
+    return rounded(p.select("station_id", F.col("height_m").cast("int").alias("height_m"), "n", cdf.count_drops(F.col("p.v")).alias("drops"), (F.col("low") < 0).alias("below_zero")))
+
+
 def q97_fold_medians(spark: SparkSession, d: str) -> DataFrame:
     """Folds of no tree: the lower median of the balanced training rows of each fold."""
     t = _training(spark, d)
@@ -170,6 +178,7 @@ ORACLES = {
     "q94_network_rows": f"{_T} select station_id, height_m::bigint height_m, count(*)::bigint n from t group by 1, 2",
     "q95_hybrid_rows": f"{_T} select station_id, height_m::bigint height_m, count(*)::bigint n, count(*) filter (where qnum >= 95)::bigint positive_tail from t group by 1, 2",
     "q96_wide_medians": f"{_T}, m as (select qnum, quantile_disc(observation, 0.5) p from t where observation is not null group by qnum) select station_id, height_m::bigint height_m, qnum::bigint qnum, {r('max(p) over (partition by station_id, height_m order by qnum)')} pred_observation from t join m using (qnum)",
+    "q133_convolution_property": f"{_T} select station_id, height_m::bigint height_m, count(*)::bigint n, 0::bigint drops, false below_zero from t where typ = 'GS' group by 1, 2",
     "q97_fold_medians": f"""{_T}, p as (select distinct f.fold, t.station_id, t.height_m, typ from t, (select distinct fold from ex) f where observation is not null and era5 is not null and wtk is not null and not exists (select 1 from ex where ex.fold = f.fold and ex.station_id = t.station_id)),
 q as (select *, row_number() over (partition by fold, typ order by sha1(concat(cast('0x' || substr(sha1(fold || '42'), 1, 8) as bigint), '|', station_id, '|', height_m))) k, count(*) filter (where typ <> 'GS') over (partition by fold) a, count(*) filter (where typ = 'GS') over (partition by fold) g from p),
 c as (select * from q where k <= case when typ = 'GS' then (case when a = 0 then g else a end) else (case when g = 0 then a else g end) end),

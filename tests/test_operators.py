@@ -274,7 +274,7 @@ def test_leave_one_out_folds(spark):
     ex = ml.neighbour_map(t)
     assert sorted(map(tuple, ex.collect())) == [("S0", "S0"), ("S0", "S1"), ("S1", "S1"), ("S2", "S2")]
     table, names, signs = ml.features(t, ["era5"])
-    got = ml.leave_one_out(table, names, signs, ex, parameters={"trees": 40, "depth": 3}).collect()
+    got = ml.leave_one_out(table, names, signs, ex, parameters={"trees": 14, "depth": 3, "rate": 0.3}).collect()
     assert len(got) == 63 and math.sqrt(np.mean([(r["predicted"] - r["observed"]) ** 2 for r in got])) < 1.5
     same = [sorted(map(tuple, ml.leave_one_out(t, names, signs, ex, parameters={"trees": 3, "depth": 3, "rows": 0.7, "columns": 0.7}).collect())) for t in (table, table.repartition(1))]
     assert same[0] == same[1]
@@ -284,11 +284,11 @@ def test_leave_one_out_folds(spark):
 
 def test_model_and_network_score(spark):
     table, names, signs = ml.features(long_rows(spark), ["era5"])
-    model = ml.train(table, names, signs, parameters={"trees": 60})
+    model = ml.train(table, names, signs, parameters={"trees": 16, "rate": 0.4})
     scored = ml.monotone_predictions(ml.predict(table, model, names), ["station_id", "height_m"])
     assert scored.agg(F.sqrt(F.avg(F.pow(F.col("pred_observation") - F.col("observation"), F.lit(2))))).first()[0] < 1.0
     assert ml.importance(spark, model, names).where("rank_gain = 1").count() == 1
-    net = ml.network_predictions(table, ml.network(table, names, hidden=8, steps=300), names)
+    net = ml.network_predictions(table, ml.network(table, names, hidden=(8,), epochs=80, rate=0.05, dropout=0.0, validation=0.0), names)
     assert net.agg(F.sqrt(F.avg(F.pow(F.col("pred_observation") - F.col("observation"), F.lit(2))))).first()[0] < 1.5
     assert ml.predict(table.drop("era5"), model, names).where("pred_observation is null").isEmpty()
 
@@ -331,7 +331,7 @@ def test_sweep_and_subsets(spark):
 @pytest.mark.parametrize("name", ["baseline", "enriched", "cdf_context", "wide", "hybrid", "network", "convolution"])
 def test_experiments_beat_no_correction(spark, name):
     t = long_rows(spark)
-    small = {"network": {"steps": 400}, "convolution": {"steps": 600, "rate": 0.02}}.get(name, {"trees": 40, "depth": 3})
+    small = {"network": {"epochs": 300, "dropout": 0.0}, "convolution": {"epochs": 300, "dropout": 0.0}}.get(name, {"trees": 14, "depth": 3, "rate": 0.3})
     if name in ("wide",):
         small = {"trees": 10, "depth": 1, "least": 1}
     got = experiments.run(name, t, ["era5"], ml.neighbour_map(t), small, balance=None).collect()
