@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import cdf
 from galeframe.functions.labels import observation_type
 from galeframe.operators.ordered import cumulative_share
-from galeframe.operators.quantiles import ranked_percentiles
+from galeframe.operators.quantiles import medians, ranked_percentiles
 
 
 def stacked(df: DataFrame, keep: list[str], columns: list[str], name: str = "dataset", value: str = "value") -> DataFrame:
@@ -73,8 +73,19 @@ def bias_rows(site: DataFrame, datasets: list[str], keep: list[str], observed: s
     return rows.select(*keep, F.substring("dataset", 6, 1000).alias("dataset"), "bias", F.abs("bias").alias("absbias"), (F.abs("bias") / F.col("_o") * 100).alias("pct"))
 
 
+def _with_medians(rows: DataFrame, keys: list[str], of: dict[str, str], *more: Column) -> DataFrame:
+    """Aggregates of groups of any size: medians, of = {new column: column}, by ranks, and others beside them."""
+    middle = medians(rows, keys, list(of.values())).select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[F.col(c).alias(n) for n, c in of.items()])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    return rows.groupBy(*keys).agg(*more).join(middle, same, "left").drop(*[f"_g_{k}" for k in keys])
+
+
 def summary(site: DataFrame, datasets: list[str], keep: str = "observation_type") -> DataFrame:
-    return bias_rows(site, datasets, [keep]).groupBy("dataset", F.col(keep).alias("subset")).agg(F.median("bias").alias("median_bias"), F.avg("absbias").alias("mean_abs_bias"), F.median("absbias").alias("median_abs_bias"), F.avg("pct").alias("mean_abs_pct_bias"), F.median("pct").alias("median_abs_pct_bias"), F.count("*").alias("n_sites"))
+    rows = bias_rows(site, datasets, [keep]).withColumnRenamed(keep, "subset")
+    middle = {"median_bias": "bias", "median_abs_bias": "absbias", "median_abs_pct_bias": "pct"}
+    return _with_medians(rows, ["dataset", "subset"], middle, F.avg("absbias").alias("mean_abs_bias"), F.avg("pct").alias("mean_abs_pct_bias"), F.count("*").alias("n_sites"))
 
 
 def height_band(c: Column, width: int) -> Column:
@@ -89,7 +100,9 @@ def band_biases(site: DataFrame, datasets: list[str], subset: str = "GS", width:
 
 
 def band_metrics(site: DataFrame, datasets: list[str], subset: str = "GS", width: int = 10) -> DataFrame:
-    return band_biases(site, datasets, subset, width).groupBy("dataset", "height_band_m").agg(F.avg("bias").alias("mean_bias"), F.avg("absbias").alias("mean_abs_bias"), F.median("absbias").alias("median_abs_bias"), F.avg("pct").alias("mean_abs_pct_bias"), F.count("*").alias("n_sites")).withColumn("subset", F.lit(subset))
+    rows = band_biases(site, datasets, subset, width)
+    got = _with_medians(rows, ["dataset", "height_band_m"], {"median_abs_bias": "absbias"}, F.avg("bias").alias("mean_bias"), F.avg("absbias").alias("mean_abs_bias"), F.avg("pct").alias("mean_abs_pct_bias"), F.count("*").alias("n_sites"))
+    return got.withColumn("subset", F.lit(subset))
 
 
 def group_differences(long: DataFrame, dataset: str, predicted: str = "pred_observation", keys: tuple = ("station_id", "height_m"), observed: str = "observation") -> DataFrame:
@@ -108,8 +121,8 @@ def difference_curve(diffs: DataFrame, *ties: str) -> DataFrame:
 
 def bias_quartiles(long: DataFrame, datasets: list[str], observed: str = "observation") -> DataFrame:
     """q25, median and q75 of the error by quantile number and dataset."""
-    g = error_rows(long, ["qnum"], datasets, observed).groupBy("qnum", "dataset").agg(F.percentile("error", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    return g.select("qnum", "dataset", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    q = ranked_percentiles(error_rows(long, ["qnum"], datasets, observed), ["qnum", "dataset"], "error", [0.25, 0.5, 0.75])
+    return q.groupBy("qnum", "dataset").agg(*[F.max(F.when(F.col("k") == i, F.col("value"))).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
 
 
 def limits(df: DataFrame, columns: list[str], trim: float = 0.02) -> DataFrame:

@@ -15,8 +15,8 @@ from galeframe.operators.cut import cut
 RANGE_ROWS = 1_000_000
 
 
-def positions(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "position", range_rows: int = RANGE_ROWS, write: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
-    """Each row's place, from 0, in the order given within its group (without groups, in the whole table).
+def positions(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "position", range_rows: int = RANGE_ROWS, write: Callable[[DataFrame], DataFrame] = cut, weight: str | None = None) -> DataFrame:
+    """Each row's place, from 0, in the order given within its group (without groups, in the whole table). With a weight, the sum of the weights before the row.
 
     As many ranges as the rows need are cut from a sample of the order, each about range_rows long whatever the values:
     rows that are equal in all of the order are told apart by where they were read, so one value in half the table is
@@ -29,7 +29,10 @@ def positions(df: DataFrame, order: list[Column], group: list[str] | None = None
     told = df.withColumn("_read", F.monotonically_increasing_id())
     laid = write(told.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("_read").withColumn("_at", F.monotonically_increasing_id()))
     laid = laid.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    counted = laid.groupBy("_range").agg(F.count("*").alias("_n"))
+    if weight:
+        before_row = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        laid = laid.withColumn("_at", F.coalesce(F.sum(weight).over(before_row), F.lit(0)))
+    counted = laid.groupBy("_range").agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     before = counted.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
     placed = laid.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")
     if not group:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import cdf
 from galeframe.functions.constants import MODELS
 from galeframe.functions.labels import observation_type
+from galeframe.operators.quantiles import medians
 from galeframe.operators.schema import present
 
 
@@ -20,9 +21,10 @@ def row_mean(*columns: Column) -> Column:
 def robust_z(df: DataFrame, value: str, name: str = "zscore") -> DataFrame:
     """(x - median) / (1.4826 MAD), with the population deviation where the MAD is 0; NULL if nothing spreads."""
     v = cdf.finite(F.col(value))
-    centre = df.agg(F.median(v).alias("_m"), F.stddev_pop(v).alias("_sd"))
-    rows = df.crossJoin(F.broadcast(centre))
-    mad = rows.agg((1.4826 * F.median(F.abs(v - F.col("_m")))).alias("_mad"))
+    spread = df.agg(F.stddev_pop(v).alias("_sd"))
+    centre = medians(df.select(v.alias("_m")), [], ["_m"])
+    rows = df.crossJoin(F.broadcast(centre.crossJoin(F.broadcast(spread))))  # one row
+    mad = medians(rows.select(F.abs(v - F.col("_m")).alias("_d")), [], ["_d"]).select((1.4826 * F.col("_d")).alias("_mad"))
     scale = F.when(F.col("_mad") > 1e-12, F.col("_mad")).when(F.col("_sd") > 1e-12, F.col("_sd"))
     return rows.crossJoin(F.broadcast(mad)).withColumn(name, (v - F.col("_m")) / scale).drop("_m", "_sd", "_mad")
 

@@ -1,38 +1,38 @@
 """Exact quantiles of groups of any size: nothing of a group is ever held in one task.
 
 The aggregate in functions.cdf keeps a group's distinct values in one task, which fits stations. Here each group's
-values are counted, ranked within ranges of the value, and only the order statistics that a quantile needs are picked.
+values are counted, their counts added up over ranges of the value, and only the order statistics that a quantile needs
+are picked.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from galeframe.functions import cdf
 from galeframe.functions.constants import N_QUANTILES
+from galeframe.operators.ordered import RANGE_ROWS, positions
 
 
-def ranked_quantiles(samples: DataFrame, keys: list[str], value: str, n: int = N_QUANTILES, parts: int = 64) -> DataFrame:
+def ranked_quantiles(samples: DataFrame, keys: list[str], value: str, n: int = N_QUANTILES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(keys, qnum, value) of n evenly spaced quantiles with linear interpolation; groups without a finite value are missing."""
-    return ranked_percentiles(samples, keys, value, [k / (n - 1) for k in range(n)], parts, "qnum")
+    return ranked_percentiles(samples, keys, value, [k / (n - 1) for k in range(n)], range_rows, "qnum")
 
 
-def ranked_percentiles(samples: DataFrame, keys: list[str], value: str, probabilities: list[float], parts: int = 64, name: str = "k") -> DataFrame:
+def ranked_percentiles(samples: DataFrame, keys: list[str], value: str, probabilities: list[float], range_rows: int = RANGE_ROWS, name: str = "k") -> DataFrame:
     """(keys, k, value) for the k-th of the probabilities, counted from 0 in a column of the given name. Without keys the whole table is one group."""
     x = samples.select(*keys, cdf.finite(F.col(value)).alias("_v")).where("_v is not null")
-    cuts = x.agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    counted = x.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_part", F.size(F.filter(edges, lambda e: e < F.col("_v"))))
-    part = counted.groupBy(*keys, "_part").agg(F.sum("_n").alias("_m"))
-    w = Window.partitionBy(*keys)  # a row for each range of a group
-    part = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), (F.sum("_m").over(w.orderBy("_part")) - F.col("_m")).alias("_before"), F.sum("_m").over(w).alias("_all"))
-    match = F.col("_part") == F.col("_p")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    rows = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))).join(part, match)
-    rows = rows.withColumn("_end", F.col("_before") + F.col("_upto")).withColumn("_start", F.col("_end") - F.col("_n"))
+    counted = x.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    rows = positions(counted, [F.col("_v").asc()], keys, "_start", range_rows, weight="_n").withColumn("_end", F.col("_start") + F.col("_n"))
+    whole = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("_end").alias("_all"))
+    if keys:
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        rows = rows.join(whole, match)
+    else:
+        rows = rows.crossJoin(F.broadcast(whole))  # one row
     # The quantile of probability p lies at (all - 1) p: between the values at its floor and its ceiling.
     given = F.array(*[F.lit(float(p)) for p in probabilities])
     at = lambda k: (F.col("_all") - 1) * F.get(given, k)
@@ -43,3 +43,11 @@ def ranked_percentiles(samples: DataFrame, keys: list[str], value: str, probabil
     low, high = F.max(F.when(inside(F.floor(p)), F.col("_v"))), F.max(F.when(inside(F.ceil(p)), F.col("_v")))
     out = picked.groupBy(*keys, "_k").agg(low.alias("_lo"), high.alias("_hi"), F.max(p - F.floor(p)).alias("_f"))
     return out.select(*keys, F.col("_k").alias(name), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
+
+
+def medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, columns): the median of each column's finite values in each group; groups without one in any column are missing."""
+    each = F.array(*[F.struct(F.lit(c).alias("c"), cdf.finite(F.col(c)).alias("v")) for c in columns])
+    rows = df.select(*keys, F.inline(each).alias("_c", "_x"))
+    found = ranked_percentiles(rows, [*keys, "_c"], "_x", [0.5])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == c, F.col("value"))).alias(c) for c in columns])

@@ -171,7 +171,7 @@ def q66_tile_pipeline(spark: SparkSession, d: str) -> DataFrame:
     series = li.groupBy("gid", "t", "height_m").agg(F.max("ws").alias("ws"), F.max("wd").alias("wd"))
     w = spark.range(9).select(F.col("id").alias("gid"), (F.col("id") % 3).alias("point"), F.lit(1 / 3).alias("weight"))
     q = grid.tile_quantiles(grid.point_speeds(series, w, "point", "gid", "t", [50.0], WTK_HEIGHTS), "point")
-    return rounded(q.select("point", "height_m", "n_hours", F.get("quantiles", F.lit(50)).alias("median")), 3)
+    return rounded(q.select("point", "height_m", "n_hours", F.posexplode("quantiles").alias("qnum", "speed")), 3)
 
 
 def q67_raster(spark: SparkSession, d: str) -> DataFrame:
@@ -286,8 +286,9 @@ select c_custkey, {r('((lon + 180) % 360 + 360) % 360 - 180')} w180, {r('(lon %
     "q66_tile_pipeline": f"""with s as (select l_suppkey % 9 gid, l_orderkey t, case when l_linenumber % 2 = 0 then 40 else 60 end h, max(l_quantity) ws, max(l_partkey % 360) wd from lineitem group by 1, 2, 3),
 u as (select gid % 3 point, t, h, sum(-ws * sin(radians(((270 - wd) % 360 + 360) % 360)) / 3) u, sum(-ws * cos(radians(((270 - wd) % 360 + 360) % 360)) / 3) v from s group by 1, 2, 3),
 w as (select point, t, max(case when h = 40 then sqrt(u * u + v * v) end) lo, max(case when h = 60 then sqrt(u * u + v * v) end) hi from u group by 1, 2),
-z as (select point, hi * pow(50 / 60.0, case when lo > 0 and hi > 0 then ln(lo / hi) / ln(40 / 60.0) else 1 / 7.0 end) sp from w)
-select point, 50.0::double height_m, cast(count(sp) as bigint) n_hours, {r('median(sp)', 3)} median from z group by 1""",
+z as (select point, hi * pow(50 / 60.0, case when lo > 0 and hi > 0 then ln(lo / hi) / ln(40 / 60.0) else 1 / 7.0 end) sp from w),
+b as (select point, cast(count(sp) as bigint) n_hours, quantile_cont(sp, {P101}) q from z group by 1)
+select point, 50.0::double height_m, n_hours, qnum, {r('v', 3)} speed from (select point, n_hours, unnest(q) v, generate_subscripts(q, 1) - 1 qnum from b)""",
     "q67_raster": f"with {POINTS}, c as (select id, cast(floor(48 - lat) as bigint) i, cast(floor(lon + 120) as bigint) j from points) select id, {r('case when i between 0 and 22 and j between 0 and 49 and (i * 50 + j) % 10 <> 0 then i * 50 + j end')} sample from c",
     "q68_bilinear": f"""with {POINTS}, c as (select id, lat, lon, floor(lat + 1e-9) a, floor(lon + 1e-9) b from points), f as (select id, a, b, greatest(lat - a, 0) fy, greatest(lon - b, 0) fx from c), k as (select id, a + i y, b + j x, (case when i = 0 then 1 - (case when fy < 1e-9 then 0 else fy end) else (case when fy < 1e-9 then 0 else fy end) end) * (case when j = 0 then 1 - (case when fx < 1e-9 then 0 else fx end) else (case when fx < 1e-9 then 0 else fx end) end) w from f, range(0, 2) ii(i), range(0, 2) jj(j))
 select id, {r('case when sum(case when y between 25 and 44 and x between -120 and -71 then w else 0 end) > 1 - 1e-9 then sum(w * (((y - 25) * 50 + x + 120)::bigint % 13)) end')} u from k where w > 0 group by 1""",

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import cdf, labels, wind
 from galeframe.functions.constants import QCOLS, TARGET_HEIGHTS
-from galeframe.operators import assemble, metrics, observations, ordered, publish, schema
+from galeframe.operators import assemble, metrics, observations, ordered, publish, schema, tiles
 from galeframe.operators.cut import scratch
 from galeframe.plans.base import P101, SAMPLES, r, rounded, samples, table
-from galeframe.sources import connectors, tables
+from galeframe.sources import connectors, named, tables
 
 
 def _suppliers(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +208,7 @@ def q122_wide_means(spark: SparkSession, d: str) -> DataFrame:
 def q123_feature_table(spark: SparkSession, d: str) -> DataFrame:
     """Importance table: the totals where they are missing."""
     path = f"{scratch(spark)}/f.csv"
-    tables.write_table(table(spark, d, "part").where("p_partkey <= 100").select(F.col("p_name").alias("feature"), "p_partkey", F.col("p_size").alias("weight"), (F.col("p_retailprice") / 100).alias("gain"), F.when(F.col("p_size") > 25, 7).alias("total_gain"), F.col("p_partkey").alias("cover")), path)
+    tables.write_table(table(spark, d, "part").select(F.col("p_name").alias("feature"), "p_partkey", F.col("p_size").alias("weight"), (F.col("p_retailprice") / 100).alias("gain"), F.when(F.col("p_size") > 25, 7).alias("total_gain"), F.col("p_partkey").alias("cover")), path)
     return rounded(tables.feature_table(spark, path).select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "total_gain", "total_cover"))
 
 
@@ -240,6 +240,50 @@ def q127_monotone_violations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(g.select("l_suppkey", cdf.count_drops(F.col("p.v")).alias("drops"), "rmse", "bias"))
 
 
+def q134_station_names(spark: SparkSession, d: str) -> DataFrame:
+    """Station files by their exact names, read back: header, lines, and the sum of the values."""
+    path = scratch(spark)
+    q = _quantiles(spark, d).where("height_m = 60").select("station_id", F.lit("n").alias("kind"), *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(QCOLS)])
+    named.export_stations(q, path, ["station_id", "kind"])
+    named.export_stations(q.withColumn("q000", F.lit(-9.0)), path, ["station_id"])  # these have a file
+    got = named.read_named(spark, path)
+    value = F.split("line", ",")[1].try_cast("double")
+    return rounded(got.groupBy("name").agg(F.min_by("line", "at").alias("header"), F.count("*").alias("n"), F.sum(F.when(F.col("at") > 1, value)).alias("total")))
+
+
+def q135_location_names(spark: SparkSession, d: str) -> DataFrame:
+    """Location files by their exact names, read back whole."""
+    path = scratch(spark)
+    named.export_locations(publish.profiles(_places(spark, d)), path)
+    got = spark.read.option("header", True).csv(path).withColumn("name", F.col("_metadata.file_name"))
+    return rounded(got.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("windspeed_40m").cast("double")).alias("total"), F.max(F.col("probability").cast("double")).alias("last")))
+
+
+def q136_height_names(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each height, one row of each place."""
+    path = scratch(spark)
+    t = _places(spark, d).withColumnRenamed("index", "grid_id")
+    named.export_heights(t.unionByName(t), path, "wtk", ["grid_id", "latitude", "q050"])
+    got = named.read_named(spark, path).where("at > 0")
+    return rounded(got.select("name", F.split("line", ",")[0].cast("bigint").alias("grid_id"), F.split("line", ",")[2].cast("double").alias("q050")))
+
+
+def q137_tile_report(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of a few customers each: those that can't be computed are reported, the others are there, and are skipped when asked for again."""
+
+    def mean(part):
+        if part.c_acctbal.min() < -990:
+            raise ValueError("too low")
+        return part.groupby("c_nationkey", as_index=False).c_acctbal.mean()
+
+    path, t = scratch(spark), table(spark, d, "customer").withColumn("tile", F.floor(F.col("c_custkey") / 40))
+    first = tiles.run_tiles(t.select("tile", "c_nationkey", "c_acctbal"), "tile", mean, path)
+    again = tiles.run_tiles(t.select("tile", "c_nationkey", "c_acctbal"), "tile", mean, path, tries=1)
+    files = named.read_named(spark, path).where("at > 0").groupBy(F.regexp_extract("name", r"tile_(\d+)\.csv", 1).alias("tile")).agg(F.count("*").alias("lines"))
+    got = first.join(again.select("tile", F.col("status").alias("again")), "tile").join(files, "tile", "left")
+    return got.select(F.col("tile").cast("bigint").alias("tile"), "status", "n", "error", "again", "lines")
+
+
 QUERIES = {k: f for k, f in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 _SUP = """sup as (select 'S' || (s_suppkey % 40) station_id, s_name as "name", case when s_name like '%7' then null else 25 + s_suppkey % 17 / 4.0 end::double lat, (-120 + s_suppkey % 13 / 4.0)::double lon, (40 + s_suppkey % 3 * 20)::double height_m from supplier)"""
@@ -260,6 +304,10 @@ ORACLES = {
     "q110_partitions": f"with {SAMPLES} select station_id, height_m::bigint height_m, (case when height_m = 60 then -count(*) else count(*) end)::bigint n from smp group by station_id, height_m",
     "q111_locations": f"with {_Q}, u as (select substr(station_id, 2)::bigint place, height_m, unnest(q) v, generate_subscripts(q, 1) - 1 i from qs) select place, {r('i / 100.0')} probability, {r('max(case when height_m = 40 then v end)')} windspeed_40m, {r('max(case when height_m = 60 then v end)')} windspeed_60m, {r('max(case when height_m = 100 then v end)')} windspeed_100m from u group by place, i",
     "q112_location_index": f"with {SAMPLES} select distinct lpad(substr(station_id, 2), 6, '0') as index, (30 + substr(station_id, 2)::int / 4.0)::double latitude, (-100 - substr(station_id, 2)::int / 4.0)::double longitude from smp where flag = 'N'",
+    "q134_station_names": f"with {_Q} select station_id || '_quantiles.csv' as name, '# {{\"station_id\":\"' || station_id || '\",\"kind\":\"n\"}}' header, 103::bigint n, {r('list_sum(q)')} total from qs where height_m = 60",
+    "q135_location_names": f"with {_Q} select lpad(substr(station_id, 2), 6, '0') || '.csv.gz' as name, 101::bigint n, {r('list_sum(q)')} total, 1.0::double as last from qs where height_m = 40",
+    "q136_height_names": f"with {_Q} select 'wtk_quantiles_' || height_m || 'm.csv' as name, substr(station_id, 2)::bigint grid_id, {r('q[51]')} q050 from qs",
+    "q137_tile_report": "with t as (select c_custkey // 40 tile, min(c_acctbal) < -990 bad, count(distinct c_nationkey) n from customer group by 1) select tile, case when bad then 'fail' else 'ok' end status, case when not bad then n end n, case when bad then 'ValueError: too low' end error, case when bad then 'fail' else 'skipped' end again, case when not bad then n end lines from t",
     "q113_decoded": f"select l_orderkey, l_linenumber::bigint l_linenumber, {r('l_partkey / (case when l_linenumber = 3 then 1 else l_linenumber - 3 end)::double + l_tax')} as value from lineitem",
     "q114_normalised": f"with t as (select o_orderkey k, (o_orderkey % 5)::varchar s, (o_orderkey % 4 * 10)::double h, o_orderdate, o_totalprice / 1000 - 50 w from orders where o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0 and o_orderkey % 17 <> 0) select s site_id, h height, year(o_orderdate)::bigint as year, month(o_orderdate)::bigint as month, strftime(o_orderdate, '%Y-%m-%d') as day, {r('case when w >= 0 then w end')} ws_observed, 40.0::double lat, -100.0::double lon, s || '_' || h::int || '.0' as name, k::double elev_m from t",
     "q115_filters": f"select p_partkey, (p_partkey % 50 + 10)::double lat, {r('-p_partkey % 60 - 80.5')} lon, {r('p_partkey % 120 + 0.4')} height_m from part where p_partkey % 9 <> 0 and p_partkey % 120 in (30, 40, 50, 60, 80, 100) and p_partkey % 50 + 10 between 20 and 45 and -p_partkey % 60 - 80.5 between -120 and -85",
@@ -270,7 +318,7 @@ ORACLES = {
     "q120_sample": "select o_orderkey from orders order by sha1(o_orderkey || '|42'), o_orderkey limit 50",
     "q121_latex": "select 'set\\_' || l_returnflag || ' & ' || format('{:.1f}', count(*)::double) || ' & ' || format('{:.1f}', max(l_quantity)::double) || ' \\\\' as line from lineitem where l_returnflag in ('A', 'R') group by l_returnflag",
     "q122_wide_means": f"with {_Q} select station_id, 40.0::double lat, -100.0::double lon, height_m::double height_m, {r('(list_sum(q) - (q[1] + q[101]) / 2) / 100')} mean_ws from qs",
-    "q123_feature_table": f"select p_partkey, {r('case when p_size > 25 then 7 else p_retailprice / 100 * p_size end')} total_gain, {r('p_partkey * p_size')} total_cover from part where p_partkey <= 100",
+    "q123_feature_table": f"select p_partkey, {r('case when p_size > 25 then 7 else p_retailprice / 100 * p_size end')} total_gain, {r('p_partkey * p_size')} total_cover from part",
     "q124_failures": "with t as (select distinct (c_custkey % 50)::double lat, (c_custkey % 7)::double lon, case c_custkey % 50 % 4 when 0 then 'timeout' when 1 then 'no_value' end reason from customer), o as (select *, row_number() over (partition by reason order by lat, lon) k from t where reason is not null) select reason, count(*) n, least(3, count(*))::bigint shown, min(lat) lat, max(case when k = 3 then lon end) lon from o group by reason",
     "q125_log_target": f"select s_suppkey, {r('ln(greatest(s_acctbal, 0.5))')} as target from supplier",
     "q126_aliases": "select n_nationkey station_id, 1000.0::double height_m, null::varchar elev_m, 2.0::double q000, null::double q001, 'height_m,Time,dataset,elev_m,station_id,q001,q000,q002' layout, 'Time' time_column, 'lat' lacking, 'q000' there from nation",

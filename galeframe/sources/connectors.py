@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.window import Window
 
 from galeframe.sources.grib import GribSource
@@ -61,8 +61,62 @@ class PagedReader(DataSourceReader):
             page, before = page + 1, text
 
 
+class PagedStreamReader(DataSourceStreamReader):
+    """An offset is the number of pages of each key, so that a download that was stopped goes on behind them.
+
+    How many pages there are by now is found in a few requests, by doubling and halving: a page that is empty or repeats
+    the one before is behind the end. A batch takes a limited number of pages of each key; the first one after a restart
+    takes all that are left, as Spark doesn't tell the source where it stands.
+    """
+
+    def __init__(self, options: dict):
+        self.options, self.keys = options, json.loads(options["keys"])
+        self.pages, self.reached = int(options.get("pages", 64)), None
+
+    def initialOffset(self) -> dict:
+        self.reached = dict.fromkeys(self.keys, 0)
+        return dict(self.reached)
+
+    def _page(self, key: str, page: int) -> str:
+        query = urllib.parse.urlencode({"key": key, "page": page})
+        return fetch(f"{self.options['path']}?{query}", int(self.options.get("tries", 5)))
+
+    def _there(self, key: str, page: int) -> bool:
+        text = self._page(key, page)
+        return bool(text.strip()) and (page == 0 or text != self._page(key, page - 1))
+
+    def _count(self, key: str, known: int) -> int:
+        """Pages of a key, of which the first `known` are there."""
+        low, step = known, 1
+        while self._there(key, low + step - 1):
+            low, step = low + step, step * 2
+        high = low + step - 1
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (middle + 1, high) if self._there(key, middle) else (low, middle)
+        return low
+
+    def latestOffset(self) -> dict:
+        if self.reached is None:
+            return {k: self._count(k, 0) for k in self.keys}
+        return {k: min(self._count(k, p), p + self.pages) for k, p in self.reached.items()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.reached = {k: end.get(k, 0) for k in self.keys}
+        size = max(1, self.pages // 8)
+        return [InputPartition((k, a, min(end[k], a + size))) for k in end for a in range(start.get(k, 0), end[k], size)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        key, first, end = partition.value
+        for page in range(first, end):
+            yield key, page, self._page(key, page)
+
+    def commit(self, end: dict) -> None:
+        """The checkpoint keeps the offset."""
+
+
 class PagedSource(DataSource):
-    """spark.read.format("paged").options(path=url, keys='["a", "b"]').load() -> key, page, body."""
+    """spark.read.format("paged").options(path=url, keys='["a", "b"]').load() -> key, page, body; the same with readStream, whose checkpoint keeps the number of pages of each key."""
 
     @classmethod
     def name(cls) -> str:
@@ -74,6 +128,9 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return PagedStreamReader(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     for source in (PagedSource, H5Source, H5PlacesSource, GribSource):

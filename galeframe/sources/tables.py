@@ -55,24 +55,63 @@ def list_files(spark: SparkSession, folder: str, pattern: str = r"\.(parquet|pq|
     return sorted(f.getPath().toString() for f in fs.listStatus(p) if re.search(pattern, f.getPath().getName())) if fs.exists(p) else []
 
 
+def _csv_files(spark: SparkSession, files: list[str], columns: list[str], names: str) -> DataFrame:
+    """(file, columns as text, NULL where a file lacks one) of CSV files whose headers differ, in one scan.
+
+    A file's first line is its header; each line finds its columns' places in it. names: a pattern of further columns to
+    take; which of them there are is found in the headers.
+    """
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    heads = heads.withColumn("head", F.transform(F.split("head", ","), lambda x: F.trim(F.regexp_replace(x, '[\r"\ufeff]', ""))))
+    known = heads.agg(F.max(F.size("head")).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("head")))).alias("all")).first()  # the few names of all headers
+    wanted = list(dict.fromkeys([*columns, *[c for c in known["all"] or [] if re.fullmatch(names, c)]]))
+    place = F.array(*[F.array_position("head", c) for c in wanted])  # from 1; 0 for none
+    of_file = heads.select(F.col("file").alias("_f"), F.array_join("head", ",").alias("_head"), place.alias("_place"))
+    cells = F.from_csv(F.col("value"), ", ".join(f"c{k} string" for k in range(known["n"] or 1)))
+    rows = lines.join(F.broadcast(of_file), F.col("file") == F.col("_f")).where((F.regexp_replace("value", '[\r"\ufeff ]', "") != F.regexp_replace("_head", " ", "")) & (F.trim("value") != ""))
+    rows = rows.select("file", "_place", cells.alias("_c")).select("file", "_place", F.array(*[F.col(f"_c.c{k}") for k in range(known["n"] or 1)]).alias("_v"))
+    return rows.select("file", *[F.when(F.get("_place", F.lit(k)) > 0, F.get("_v", F.get("_place", F.lit(k)).cast("int") - 1)).alias(c) for k, c in enumerate(wanted)])
+
+
+def _parquet_files(spark: SparkSession, files: list[str], columns: list[str], names: str) -> DataFrame:
+    """The same of Parquet files. Files whose columns have different types can't be scanned together: they are scanned by schema."""
+    try:
+        parts = [spark.read.option("mergeSchema", True).parquet(*files)]
+    except Exception as e:
+        if "MERGE" not in str(e):
+            raise
+        by_schema: dict[str, list[str]] = {}
+        for f in files:
+            by_schema.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+        parts = [spark.read.parquet(*some) for some in by_schema.values()]
+    wanted = list(dict.fromkeys([*columns, *[c for p in parts for c in p.columns if re.fullmatch(names, c)]]))
+    return union_all([p.select(F.col("_metadata.file_path").alias("file"), *[(F.col(c) if c in p.columns else F.lit(None)).cast("string").alias(c) for c in wanted]) for p in parts])
+
+
+def read_files(spark: SparkSession, files: list[str], columns: list[str], names: str = "(?!)") -> DataFrame:
+    """(file, columns as text) of Parquet and CSV files with different columns, in a scan for each of both formats. names: a pattern of further columns to take."""
+    parquet = [f for f in files if re.search(r"\.(parquet|pq)$", f)]
+    rest = [f for f in files if f not in set(parquet)]
+    return union_all([read(spark, some, columns, names) for read, some in ((_parquet_files, parquet), (_csv_files, rest)) if some])
+
+
 def read_tiles(spark: SparkSession, folder: str) -> DataFrame:
     """Tile files of any of the formats: grid_id, lat, lon, height_m and all 101 quantiles, NULL where a file lacks one; rows without place go."""
-    parts = [with_columns(read_table(spark, f), QCOLS, "double") for f in list_files(spark, folder)]
-    # Each part as numbers, as text and numbers don't stack.
-    return union_all([p.select(F.col("grid_id").cast("string").alias("grid_id"), *[cdf.number(F.col(c)).alias(c) for c in ["lat", "lon", "height_m", *QCOLS]]) for p in parts]).dropna(subset=["lat", "lon"])
+    got = read_files(spark, list_files(spark, folder), ["grid_id", "lat", "lon", "height_m", *QCOLS])
+    return got.select("grid_id", *[cdf.number(F.col(c)).alias(c) for c in ["lat", "lon", "height_m", *QCOLS]]).dropna(subset=["lat", "lon"])
 
 
 def read_per_height(spark: SparkSession, folder: str) -> DataFrame:
     """Files named <model>_quantiles_<height>m: source and height from the name; a height_m in the file comes first. Quantile columns that a file lacks are NULL."""
-    parts = []
-    for f in list_files(spark, folder, PER_HEIGHT):
-        df = read_table(spark, f)
-        m = re.search(PER_HEIGHT, f)
-        height = cdf.number(F.col("height_m")) if "height_m" in df.columns else F.lit(None).cast("double")
-        parts.append(df.withColumns({**{c: cdf.number(F.col(c)) for c in quantile_columns(df)}, "source": F.lit(m[1]), "height_m": F.coalesce(height, F.lit(float(m[2])))}))
-    if not parts:
+    files = list_files(spark, folder, PER_HEIGHT)
+    if not files:
         raise FileNotFoundError(f"no files like <model>_quantiles_<height>m in {folder}")
-    return union_all(parts)
+    got = read_files(spark, files, ["grid_id", "lat", "lon", "height_m"], r"q\d{3,4}")
+    in_path = PER_HEIGHT.replace("$", "(?:/|$)")  # a table may be a folder of files
+    told = F.coalesce(cdf.number(F.col("height_m")), F.regexp_extract("file", in_path, 2).cast("double"))
+    numbers = {c: cdf.number(F.col(c)) for c in got.columns if c not in ("file", "grid_id", "height_m")}
+    return got.withColumns({**numbers, "height_m": told, "source": F.regexp_extract("file", in_path, 1)}).drop("file")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -143,7 +143,7 @@ def test_ranked_quantiles_are_numpy_percentiles(spark, n):
     rng = np.random.default_rng(n)
     xs = {"a": rng.integers(0, 20, n).astype(float), "b": rng.normal(size=2 * n), None: np.full(3, 2.0)}
     rows = [(k, float(x)) for k, v in xs.items() for x in v] + [("a", NAN), ("c", None)]
-    got = quantiles.ranked_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", parts=8).collect()
+    got = quantiles.ranked_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", range_rows=8).collect()
     assert len(got) == 303
     for k, v in xs.items():
         assert [r["value"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["qnum"])] == pytest.approx(list(np.percentile(v, np.arange(101))), abs=1e-9)

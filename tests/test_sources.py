@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galeframe.functions.constants import QCOLS
-from galeframe.sources import connectors, hdf5, tables, tiff
+from galeframe.sources import connectors, hdf5, named, tables, tiff
 from galeframe.streaming import ingest
 
 
@@ -100,6 +100,95 @@ def test_paged_source(spark, tmp_path):
     server.shutdown()
 
 
+def test_paged_stream_goes_on_where_it_stopped(spark, tmp_path):
+    import http.server
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    there = {"a": 3, "b": 0, "c": 40}
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            asked.append((q["key"], int(q["page"])))
+            page = int(q["page"])
+            if q["key"] == "c":
+                page = min(page, there["c"] - 1)  # repeats its last page
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(f"{q['key']}{page}".encode() if page < there[q["key"]] else b"")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    connectors.register(spark)
+
+    def run():
+        s = spark.readStream.format("paged").options(path=f"http://127.0.0.1:{server.server_port}/x", keys=json.dumps(["a", "b", "c"]), pages="16").load()
+        q = s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r["key"], r["page"], r["body"]) for r in spark.read.schema("key string, page int, body string").parquet(str(tmp_path / "out")).collect())
+
+    want = lambda: sorted((k, p, f"{k}{p}") for k, n in there.items() for p in range(n))
+    assert run() == want()
+    first = len(asked)
+    assert run() == want() and len(asked) - first < 40
+    there |= {"a": 5, "b": 2, "c": 41}
+    assert run() == want()
+    server.shutdown()
+
+
+def test_files_with_exact_names(spark, tmp_path):
+    rows = spark.createDataFrame([(f"S{k}", "a,b" if k else None, *[float(i + k) for i in range(101)]) for k in range(3)], "station_id string, name string, " + ", ".join(f"{q} double" for q in QCOLS)).repartition(3)
+    named.export_stations(rows, str(tmp_path / "s"), ["station_id", "name"])
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["S0_quantiles.csv", "S1_quantiles.csv", "S2_quantiles.csv"]
+    text = (tmp_path / "s/S1_quantiles.csv").read_text().split("\n")
+    assert json.loads(text[0][2:]) == {"station_id": "S1", "name": "a,b"} and text[1:4] == ["quantile,wind_speed_m_s", "0,1.0", "1,2.0"] and len(text) == 104
+    named.export_stations(rows.withColumn("q000", F.lit(-1.0)).where("station_id <> 'S2'"), str(tmp_path / "s"), ["station_id"])
+    assert (tmp_path / "s/S1_quantiles.csv").read_text().split("\n") == text
+    with pytest.raises(Exception, match="S0_quantiles.csv"):
+        named.export_stations(rows, str(tmp_path / "s"), ["station_id"], existing="error")
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["S0_quantiles.csv", "S1_quantiles.csv", "S2_quantiles.csv"]
+    back = tables.station_rows(tables.read_station_quantiles(spark, str(tmp_path / "s/*.csv"), "station_id string")).orderBy("station_id").collect()
+    assert [(r["station_id"], r["q100"]) for r in back] == [("S0", 100.0), ("S1", 101.0), ("S2", 102.0)]
+
+    tiles = spark.createDataFrame([(2, "x\"y", 1.5), (1, "b", None), (1, "a", 0.5)], "tile int, grid_id string, v double")
+    named.export_tiles(tiles, str(tmp_path / "t"), "tile", ["grid_id", "v"], ["grid_id"])
+    assert (tmp_path / "t/tile_1.csv").read_text() == "grid_id,v\na,0.5\nb,\n" and (tmp_path / "t/tile_2.csv").read_text() == 'grid_id,v\n"x""y",1.5\n'
+    import gzip
+
+    from galeframe.functions.constants import TARGET_HEIGHTS
+
+    p = spark.createDataFrame([("000007", k / 4, *[float(h) for h in TARGET_HEIGHTS]) for k in range(5)], "index string, probability double, " + ", ".join(f"windspeed_{h}m double" for h in TARGET_HEIGHTS))
+    named.export_locations(p, str(tmp_path / "l"))
+    lines = gzip.decompress((tmp_path / "l/000007.csv.gz").read_bytes()).decode().split("\n")
+    assert lines[0].startswith("probability,windspeed_30m") and len(lines) == 7 and lines[5].startswith("1.0,30.0")
+
+
+def test_a_killed_task_leaves_no_file(tmp_path):
+    import pyarrow as pa
+
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["name", "line"])
+
+    def killed():
+        yield batch(("a.csv", "1"), ("b.csv.gz", "2"))
+        raise RuntimeError("executor lost")
+
+    w = named.NamedWriter({"path": str(tmp_path / "o")}, False)
+    with pytest.raises(RuntimeError):
+        w.write(killed())
+    assert [p.name for p in (tmp_path / "o").iterdir() if not p.name.startswith("_staging")] == []
+    done = w.write(iter([batch(("a.csv", "1"), ("b.csv.gz", "2")), batch(("b.csv.gz", "3"))]))
+    w.commit([done])
+    assert sorted(p.name for p in (tmp_path / "o").iterdir()) == ["a.csv", "b.csv.gz"] and done.files == 2
+    with pytest.raises(ValueError, match="next to each other"):
+        named.NamedWriter({"path": str(tmp_path / "p")}, False).write(iter([batch(("a", "1"), ("b", "1"), ("a", "1"))]))
+
+
 def test_runs_of_ids():
     assert hdf5.runs([1, 2, 3, 7, 9, 10]) == [(1, 4), (7, 8), (9, 11)] and hdf5.runs([]) == []
 
