@@ -131,6 +131,14 @@ def _often(every: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(every, keys, side="right") - np.searchsorted(every, keys)
 
 
+def _same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which equal keys are neighbours, where each run of them begins in it, and how many it has."""
+    by = np.argsort(keys)
+    s = keys[by]
+    begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    return by, begins, np.diff(np.append(begins, len(s)))
+
+
 def _looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in sorted keys, and which are found."""
     if not len(keys):
@@ -167,17 +175,17 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
             opens, goes_on = at == g.first[of], at < (g.first + g.n)[of] - k
             scores = np.ones(len(at), bool) if k == order else opens
             context = goes_on if k == order - 1 else goes_on & opens if k < order else np.zeros(len(at), bool)
-            _, one, place, often = np.unique(x ^ mix(of.astype(U64)), return_index=True, return_inverse=True, return_counts=True)
-            gives = np.bincount(place, scores, len(one)).astype(np.int64)
-            weight, hit = gives - np.bincount(place, context, len(one)).astype(np.int64), gives if k > 1 else 0 * gives
-            gram, doc = x[one], of[one]
+            by, begins, often = _same(x ^ mix(of.astype(U64)))
+            gives, takes = (np.add.reduceat(z[by].astype(np.int64), begins) if len(by) else np.zeros(0, np.int64) for z in (scores, context))
+            weight, hit = gives - takes, gives if k > 1 else 0 * gives
+            gram, doc = x[by[begins]], of[by[begins]]
             i, known = _looked_up(hot, gram)
             done += np.bincount(doc[known], weight[known] * logs[i[known]], m)
             hits += np.bincount(doc[known], hit[known] * (count[i[known]] > 1), m)
             cold.append([z[~known] for z in (doc, gram, np.stack([often, weight, hit], axis=1))])
         doc, gram, uses = (np.concatenate(z) for z in zip(*cold, strict=True))
         part = (gram >> U64(16)).astype(np.int64) % parts
-        order_ = np.lexsort((doc, part))  # n-grams of a document stay together, and those of an order
+        order_ = np.argsort(part * m + doc)  # n-grams of a document stay together
         doc, gram, part, uses = doc[order_], gram[order_], part[order_], uses[order_]
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
         ends = np.concatenate([cut, np.full(m + 1, len(part))])
