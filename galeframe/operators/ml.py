@@ -401,7 +401,7 @@ def search(long: DataFrame, names: list[str], monotone: list[int], excluded: Dat
         found = {r["run"]: r["rmse"] for r in errors(done).collect()}
         return [found.get(k) if found.get(k) is not None else math.inf for k in range(len(asked))]
 
-    return tpe(evaluate, space or SPACE, trials, side_by_side, seed)
+    return [{("rmse" if k == "loss" else k): v for k, v in r.items()} for r in tpe(evaluate, space or SPACE, trials, side_by_side, seed)]
 
 
 def importance(spark: SparkSession, model: boosting.Boosted, names: list[str]) -> DataFrame:

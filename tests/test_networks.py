@@ -113,4 +113,4 @@ def test_search_and_sweep_of_parameters(spark):
     got = ml.parameter_sweep(table, names, signs, ex, {"trees": [1, 4], "depth": [1]}, {"trees": 2, "rate": 0.5}).collect()
     assert {(r["parameter"], r["value"]): r["n"] for r in got} == {("trees", 1.0): 63, ("trees", 4.0): 63, ("depth", 1.0): 63}
     runs = ml.search(table, names, signs, ex, trials=3, side_by_side=2, space={"trees": (1, 3), "rate": (0.3, 0.9)})
-    assert len(runs) == 3 and runs[0]["loss"] <= runs[-1]["loss"] and all(1 <= r["trees"] <= 3 for r in runs)
+    assert len(runs) == 3 and runs[0]["rmse"] <= runs[-1]["rmse"] and all(1 <= r["trees"] <= 3 for r in runs)
