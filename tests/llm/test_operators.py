@@ -456,7 +456,7 @@ def test_html_reader():
     assert blocks("<div>" * 1000 + "deep") == ["deep"] and blocks("a < b > c") == ["a < b > c"]
 
 
-@pytest.mark.parametrize("tag", ["svg", "math", "object", "noscript", "template", "select", "datalist", "canvas", "audio", "video"])
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "noscript", "template", "canvas", "audio", "video"])
 def test_html_reader_keeps_what_follows_an_unclosed_element(tag):
     blocks = lambda h: [t for _, t, _ in html_tree.Page(h).blocks]
     assert blocks(f"<div><{tag}></div><p>article</p>") == ["article"]
@@ -464,6 +464,32 @@ def test_html_reader_keeps_what_follows_an_unclosed_element(tag):
     assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<script>no</script></p>") == ["so x=2 holds"]
 
 
+@pytest.mark.parametrize("tag", ["select", "datalist", "button", "output"])
+def test_form_controls_are_not_the_text_around(tag):
+    nodes = lambda h: [(p.tag[n], t) for p in [html_tree.Page(h)] for n, t, _ in p.blocks]
+    assert nodes(f"<p>a <{tag}><option>one</option><option>two</option></{tag}> b</p>") == [("form", "one two"), ("p", "a b")]
+    assert nodes(f"<div><{tag}></div><p>article</p>") == [("p", "article")]
+    assert nodes(f"<div>x <{tag}>one<option>two</div><p>article</p>") == [("form", "one two"), ("div", "x"), ("p", "article")]
+    assert nodes(f"<p>a<{tag}>end") == [("form", "end"), ("p", "a")] and nodes(f"<p>a<{tag}/>b") == [("p", "ab")]
+
+
+def test_broken_markup():
+    blocks = lambda h: [t for _, t, _ in html_tree.Page(h).blocks]
+    assert blocks("<head><title>x</title>Text with no body tag at all.") == ["Text with no body tag at all."]
+    assert blocks("<head><meta a=b>\n<title>x</title></head>\n<p>y") == ["y"]
+    assert blocks('<p class="a>Long text') == ["Long text"] and blocks("<p title='it>Long <b>text</b></p><p>more") == ["Long text", "more"]
+    assert blocks('<p title="a > b" class=c>x</p>') == ["x"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000 + '" >', '<p class="' * 100_000, "<p a='" * 100_000 + ">", "<" * 10**6, "<a" * 500_000, "</" * 500_000, "<!--" * 250_000, "<select>" * 125_000, "<p>a<b>" * 140_000, '<a b="' + "x" * 10**6, "<textarea>" * 100_000, "&" * 10**6], ids=range(12))
+def test_a_megabyte_of_broken_tags_is_read_at_once(page):
+    import time
+
+    began = time.process_time()
+    html_tree.Page(page)
+    assert time.process_time() - began < 4
+
+
 NAV = '<nav><ul><li><a href="/">Home page</a></li><li><a href="/a">About us</a></li></ul></nav>'
 SIDE = '<aside class="sidebar"><h3>Related</h3><ul><li><a href="/r">Read more of it</a></li></ul></aside>'
 
