@@ -7,9 +7,9 @@ import logging
 
 
 def main(args: list[str] | None = None) -> None:
-    from galeframe.plans import assembly, distributions, evaluation, files, formats, learning
+    from galeframe.plans import assembly, distributions, evaluation, files, formats, learning, services
 
-    queries = {k: f for m in (distributions, assembly, evaluation, learning, files, formats) for k, f in m.QUERIES.items()}
+    queries = {k: f for m in (distributions, assembly, evaluation, learning, files, formats, services) for k, f in m.QUERIES.items()}
     p = argparse.ArgumentParser(prog="galeframe", description="Runs a query over a folder of tables.")
     p.add_argument("query", nargs="?", choices=sorted(queries))
     p.add_argument("sf_dir", nargs="?")

@@ -143,9 +143,9 @@ def station_catalogue(spark: SparkSession, path: str, country: str = "US") -> Da
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Raw station CSVs (DATE, WND), the station from the file name."""
-    df = spark.read.schema("DATE timestamp, WND string").option("header", True).option("enforceSchema", False).csv(path)
-    return df.withColumn("station_id", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1))
+    """Raw station CSVs: DATE and WND of whatever columns and in whatever order they have, the station from the file name."""
+    got = _csv_files(spark, [path], ["DATE", "WND"], "(?!)")
+    return got.select(F.col("DATE").try_cast("timestamp").alias("DATE"), "WND", F.regexp_extract("file", r"([^/.]+)[^/]*$", 1).alias("station_id"))
 
 
 def read_station_quantiles(spark: SparkSession, path: str, header_schema: str) -> DataFrame:

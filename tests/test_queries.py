@@ -2,11 +2,11 @@
 
 import pytest
 
-from galeframe.plans import assembly, distributions, evaluation, files, formats, learning
+from galeframe.plans import assembly, distributions, evaluation, files, formats, learning, services
 from tests.duck import assert_same, connect
 
 SF = "/root/testdata/sf0.001"
-ALL = {k: (f, m.ORACLES.get(k)) for m in (distributions, assembly, evaluation, learning, files, formats) for k, f in m.QUERIES.items()}
+ALL = {k: (f, m.ORACLES.get(k)) for m in (distributions, assembly, evaluation, learning, files, formats, services) for k, f in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
