@@ -35,7 +35,7 @@ def repeated_lines(docs: DataFrame, work: Work, window: int = 2, id_col: str = "
     base = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"))
     seq = base.select("_id", "_key", lines.alias("l"))
     marks = seq.select("_id", "_key", F.explode_outer(F.when(F.size("l") >= window, fingerprints(window))).alias("f")).where("f is not null")
-    marks = work.write(marks.select("_id", "_key", "f.print", "f.runs"))
+    marks = marks.select("_id", "_key", "f.print", "f.runs")  # found twice from the documents, which costs less than keeping them
     twice = marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     # What is aggregated by a key is written before it is joined by it: else the join takes over its partitions, and a
     # fingerprint that many documents hold can't be split over tasks.
