@@ -13,6 +13,8 @@ from galeframe.operators.cut import cut
 
 #: Rows that a range of a global order holds, about.
 RANGE_ROWS = 1_000_000
+#: Rows for which another core is worth a range of its own.
+BUSY_ROWS = 20_000
 
 
 def positions(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "position", range_rows: int = RANGE_ROWS, write: Callable[[DataFrame], DataFrame] = cut, weight: str | None = None) -> DataFrame:
@@ -24,7 +26,8 @@ def positions(df: DataFrame, order: list[Column], group: list[str] | None = None
     in the range plus the rows of the ranges before, of which a small table of counts tells. NULL is a group and a value.
     """
     group = group or []
-    ranges = max(1, -(-df.count() // range_rows))
+    n = df.count()
+    ranges = max(1, -(-n // range_rows), min(df.sparkSession.sparkContext.defaultParallelism, n // BUSY_ROWS))
     keys = [*[F.col(g).asc_nulls_first() for g in group], *order, F.col("_read").asc()]
     told = df.withColumn("_read", F.monotonically_increasing_id())
     laid = write(told.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("_read").withColumn("_at", F.monotonically_increasing_id()))

@@ -14,6 +14,9 @@ from galeframe.functions import cdf
 from galeframe.functions.constants import N_QUANTILES
 from galeframe.operators.ordered import RANGE_ROWS, positions
 
+#: Blocks that a group's places are cut in, to find the asked ones; one value covers so many at most.
+BLOCKS = 2000
+
 
 def ranked_quantiles(samples: DataFrame, keys: list[str], value: str, n: int = N_QUANTILES, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(keys, qnum, value) of n evenly spaced quantiles with linear interpolation; groups without a finite value are missing."""
@@ -25,23 +28,20 @@ def ranked_percentiles(samples: DataFrame, keys: list[str], value: str, probabil
     x = samples.select(*keys, cdf.finite(F.col(value)).alias("_v")).where("_v is not null")
     counted = x.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
     rows = positions(counted, [F.col("_v").asc()], keys, "_start", range_rows, weight="_n").withColumn("_end", F.col("_start") + F.col("_n"))
-    whole = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("_end").alias("_all"))
-    if keys:
-        match = F.lit(True)
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        rows = rows.join(whole, match)
-    else:
-        rows = rows.crossJoin(F.broadcast(whole))  # one row
-    # The quantile of probability p lies at (all - 1) p: between the values at its floor and its ceiling.
-    given = F.array(*[F.lit(float(p)) for p in probabilities])
-    at = lambda k: (F.col("_all") - 1) * F.get(given, k)
-    inside = lambda p: (p >= F.col("_start")) & (p < F.col("_end"))
-    wanted = F.filter(F.sequence(F.lit(0), F.lit(len(probabilities) - 1)), lambda k: inside(F.floor(at(k))) | inside(F.ceil(at(k))))
-    picked = rows.where(F.size(wanted) > 0).select(*keys, "_v", "_all", "_start", "_end", F.explode(wanted).alias("_k"))
-    p = at(F.col("_k"))
-    low, high = F.max(F.when(inside(F.floor(p)), F.col("_v"))), F.max(F.when(inside(F.ceil(p)), F.col("_v")))
-    out = picked.groupBy(*keys, "_k").agg(low.alias("_lo"), high.alias("_hi"), F.max(p - F.floor(p)).alias("_f"))
+    whole = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max("_end").alias("_all")).withColumn("_width", F.expr(f"greatest(1, _all div {BLOCKS})"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # The quantile of probability p lies at (all - 1) p: between the values at its floor and its ceiling. Values and
+    # what is asked for meet by blocks of places.
+    asked = whole.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("_k", "_p")).withColumn("_at", (F.col("_all") - 1) * F.col("_p"))
+    sides = F.array(F.struct(F.floor("_at").alias("at"), F.lit(0).alias("side")), F.struct(F.ceil("_at").alias("at"), F.lit(1).alias("side")))
+    asked = asked.select(*[f"_k_{k}" for k in keys], "_k", (F.col("_at") - F.floor("_at")).alias("_f"), "_width", F.inline(sides).alias("_place", "_side")).withColumn("_block", F.expr("_place div _width"))
+    placed = rows.join(whole.select(*[f"_k_{k}" for k in keys], F.col("_width").alias("_w")), same).drop(*[f"_k_{k}" for k in keys]) if keys else rows.crossJoin(F.broadcast(whole.select(F.col("_width").alias("_w"))))  # one row
+    placed = placed.withColumn("_b", F.explode(F.expr("sequence(_start div _w, (_end - 1) div _w)")))
+    met = placed.join(asked, same & (F.col("_b") == F.col("_block")) & (F.col("_place") >= F.col("_start")) & (F.col("_place") < F.col("_end")))
+    low, high = (F.max(F.when(F.col("_side") == i, F.col("_v"))) for i in (0, 1))
+    out = met.groupBy(*keys, "_k").agg(low.alias("_lo"), high.alias("_hi"), F.max("_f").alias("_f"))
     return out.select(*keys, F.col("_k").alias(name), (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("value"))
 
 

@@ -10,6 +10,13 @@ from galeframe.functions.constants import N_QUANTILES, QCOLS
 from galeframe.operators.schema import aliased, quantile_columns, require
 
 
+def _stacked(wide: DataFrame, columns: list[str], ids: list[str]) -> DataFrame:
+    """(ids, _q, value): a row for each of the columns, as a number. The columns travel as one array, so that a row isn't projected once for each."""
+    values = F.array(*[cdf.number(F.col(c)) for c in columns])
+    names = F.array(*[F.lit(c) for c in columns])
+    return wide.select(*ids, F.posexplode(values).alias("_k", "value")).select(*ids, F.get(names, F.col("_k")).alias("_q"), "value")
+
+
 def to_long(wide: DataFrame, label: str = "table", default_height: float = 10.0) -> tuple[DataFrame, DataFrame]:
     """(station_id, height_m, qnum, value), and one row of metadata for each station and height."""
     q = quantile_columns(wide)
@@ -20,7 +27,7 @@ def to_long(wide: DataFrame, label: str = "table", default_height: float = 10.0)
     w = aliased(wide, ["station_id", "lat", "lon", "height_m"], ["name", "elev_m"])
     w = w.withColumns({c: cdf.number(F.col(c)) for c in ("lat", "lon", "height_m", "elev_m")}).withColumns({"station_id": F.col("station_id").cast("string"), "name": F.coalesce(F.col("name").cast("string"), F.col("station_id").cast("string"))})
     w = w.dropna(subset=["station_id", "height_m", "lat", "lon"])
-    long = w.withColumns({c: cdf.number(F.col(c)) for c in q}).unpivot(["station_id", "height_m"], q, "_q", "value").select("station_id", "height_m", labels.quantile_number(F.col("_q")).alias("qnum"), "value")
+    long = _stacked(w, q, ["station_id", "height_m"]).select("station_id", "height_m", labels.quantile_number(F.col("_q")).alias("qnum"), "value")
     meta = w.groupBy("station_id", "height_m").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("name", "lat", "lon", "elev_m")])
     return long, meta
 
@@ -51,7 +58,7 @@ def dataset_columns(wide: DataFrame, datasets: list[str], dataset: Column) -> Da
     per = 10.0 if max(int(c[1:]) for c in q) > 100 else 1.0
     rows = wide.withColumn("_d", labels.dataset(dataset)).where(F.col("_d").isin(datasets))
     ids = ["lat", "lon", "elevation_m", "height_m", "_d"]
-    long = rows.withColumns({c: cdf.number(F.col(c)) for c in q}).unpivot(ids, q, "_q", "value").where("value is not null").withColumn("qnum", (F.substring("_q", 2, 4).cast("int") / per))
+    long = _stacked(rows, q, ids).where("value is not null").withColumn("qnum", (F.substring("_q", 2, 4).cast("int") / per))
     return long.groupBy("lat", "lon", "elevation_m", "height_m", "qnum").pivot("_d", datasets).agg(F.avg("value"))
 
 
