@@ -3,9 +3,10 @@
 A text goes through transducers, each a list of edits (what was replaced, by what): look-alike characters, letters in
 the place of digits, spelled digits, and words or brackets in the place of @ and the dot. Identifiers are then found in
 what comes out, by the same patterns as in the text itself, and each span is led back through the edits to code points
-of the source. A disguise is undone only where it can hide an identifier: a bare `at` needs a disguised dot and a
-common top-level domain behind it, a spelled digit needs a neighbour. What the plain patterns find stays as it is; a
-disguised span is added if it has an edit in it, and if it holds the plain spans of its kind that it touches.
+of the source. A disguise is undone only where it can hide an identifier: a bare `at` needs a common top-level domain
+behind it, and with it a disguised dot, capitals, or a name before it that is no plain word; a spelled digit needs a
+neighbour. What the plain patterns find stays as it is; a disguised span is added if it has an edit in it, and if it
+holds the plain spans of its kind that it touches.
 
 A row needs nothing but itself: no shuffle, and a task holds one piece of a batch. Time and memory are linear in a
 text's length, also for long runs of letters or digits.
@@ -182,10 +183,13 @@ AT = re.compile(rf"(?i)(?P<mark>{AT_MARK})|(?P<bare>{AT_BARE})|@")
 LABEL = re.compile(r"(?i)[a-z0-9]++(?:-++(?!(?:dot|punto|point|punkt)-)[a-z0-9]++)*+")
 DOT = re.compile(rf"(?i)(?P<mark>{DOT_MARK})|(?P<bare>{DOT_BARE})|\.")
 LOCAL_DOTS = re.compile(rf"(?i)[a-z0-9._%+]{{1,64}}(?:(?:{DOT_MARK}|[ _-]dot[ _-])[a-z0-9._%+]{{1,64}}){{1,4}}\Z")
+#: A name that hardly is a word of a sentence: parts joined by a dot, hyphen or underscore, or two digits and more.
+NAME = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)+\Z|(?<![A-Za-z0-9._%+-])[A-Za-z]*[0-9]{2,}\Z")
 LOCAL_DOT = re.compile(rf"(?i){DOT_MARK}|[ _-]dot[ _-]")
 DISGUISED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{DOT_MARK}|{DOT_BARE})[0-9]{{1,3}}){{3}}(?![0-9])")
 #: One of these, or a bracket before one, is in every text that has a disguised @ or dot.
 HINTS = ("dot", "punkt", "punto", "point", "period", " @", "@ ", "&#", "%40", "%2e", "&commat", "arroba", "arobase")
+AT_HINT = re.compile(r" at [a-z0-9-]+\.[a-z0-9]")
 BRACKET_HINT = re.compile(r"[\[({<][ ]{0,2}[a@.ä]")
 
 
@@ -234,7 +238,7 @@ def spelled_numbers(text: str) -> list[tuple[int, int, str]]:
 def addresses(text: str) -> list[tuple[int, int, str]]:
     """Words and brackets for @ and dots, in e-mail and network addresses."""
     low = text.lower()
-    if not any(h in low for h in HINTS) and not (any(b in low for b in "[({<") and BRACKET_HINT.search(low)):
+    if not any(h in low for h in HINTS) and not AT_HINT.search(low) and not (any(b in low for b in "[({<") and BRACKET_HINT.search(low)):
         return []
     out = [(m.start() + d.start(), m.start() + d.end(), ".") for m in DISGUISED_IP.finditer(text) for d in DOT.finditer(m[0]) if d[0] != "."]
     done = 0
@@ -255,7 +259,9 @@ def addresses(text: str) -> list[tuple[int, int, str]]:
                 break
             dots.append(dot)
             p = dot.end()
-        if not good or not (disguised or good[1]) or at.lastgroup == "bare" and "@" not in at[0] and not good[1]:
+        if not good or not (disguised or good[1]):
+            continue
+        if at.lastgroup == "bare" and "@" not in at[0] and not good[1] and "AT" not in at[0] and not NAME.search(text[max(done, at.start() - 65) : at.start()]):
             continue
         before = max(done, at.start() - 330)
         if local := LOCAL_DOTS.search(text[before : at.start()]):

@@ -57,6 +57,9 @@ DISGUISED = [
     ("email", "john_at_example_dot_com", "john@example.com"),
     ("email", "john @ example.com", "john@example.com"),
     ("email", "jo​hn@example.com", "john@example.com"),
+    ("email", "john AT example.com", "john@example.com"),
+    ("email", "john.doe at example.com", "john.doe@example.com"),
+    ("email", "19 at mail5.example.com", "19@mail5.example.com"),
     ("ip", "192[.]168[.]1[.]1", "192.168.1.1"),
     ("ip", "192 dot 168 dot 1 dot 20", "192.168.1.20"),
     ("ip", "one nine two dot one six eight dot one dot one", "192.168.1.1"),
@@ -81,7 +84,7 @@ def test_disguises_are_undone_and_led_back(kind, disguised, value, before, after
     assert got == [(kind, len(before), len(before) + len(disguised), value, False)]
 
 
-@pytest.mark.parametrize("text", ["look at some point later", "meet me at example.com", "call +1 659 555 3949 one day", "at the dot in the end", "one two three go", "on page two dot five", "lunch @ noon", "room 10l of 12", "das ist null und eins", "vol. 1 . 2 of 2019–2020", "(a) first. (b) second.com", "see a at b dot c"])
+@pytest.mark.parametrize("text", ["look at some point later", "meet me at example.com", "call +1 659 555 3949 one day", "at the dot in the end", "one two three go", "on page two dot five", "lunch @ noon", "room 10l of 12", "das ist null und eins", "vol. 1 . 2 of 2019–2020", "(a) first. (b) second.com", "see a at b dot c", "it ended. at example.com", "in part 9 at example.com", "john.doe at noon. Then", "john.doe at home.Then we go"])
 def test_clean_texts_get_no_more_spans(text):
     assert [s for s in private.spans(text) if not s[4]] == []
 
