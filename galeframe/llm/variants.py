@@ -10,7 +10,8 @@ Anagrams of a bag of letters can be many, so the letters' order is verified in t
 letter is gone is thought to be cut in PARTS parts; the edit lies in one of them and the others are alike on both sides,
 so a hash of these others belongs to the join key and only words alike outside one part ever meet. What meets is then
 compared letter by letter. A pair that meets at several parts counts in the first. Nothing holds a group: pairs stream
-from a join into a partial aggregate that keeps, for each word, the number of near words and the best one.
+from a join into a partial aggregate that keeps, for each word, the number of near words and the best one. All joins are
+by merging: both sides grow with the corpus, and none may be broadcast through the driver.
 
 Defined cases: NULL and empty texts have no words; a NULL id is written as nothing where an id is part of a key; words
 of any length are taken whole; equal counts are decided by code-point order; repeated rows count once each; an empty
@@ -123,7 +124,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     names, kinds = ["key", "place", "tail", "letter", "word", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64()]
     sent = words.select("word", "n").mapInArrow(send, "key long, place long, tail int, letter string, word string, n long")
-    met = sent.alias("a").join(sent.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.letter") != F.col("b.letter")) & (F.col("a.tail") == F.col("b.tail")))
+    # A word is some twenty rows here, of which its file's size tells nothing: by that size they would be broadcast.
+    met = sent.alias("a").join(sent.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.place") == F.col("b.place")) & (F.col("a.letter") != F.col("b.letter")) & (F.col("a.tail") == F.col("b.tail")))
     # Alike from the part's beginning too: then the pair met at the part before.
     first = (F.col("a.tail") < 0) | (F.right(F.col("a.word"), F.col("a.tail")) != F.right(F.col("b.word"), F.col("b.tail")))
     found = met.where(first & (F.levenshtein("a.word", "b.word", 1) == 1))
@@ -135,7 +137,7 @@ def roots(forms: DataFrame, work: Work) -> DataFrame:
     now = work.write(forms.select("word", F.col("form").alias("root")))
     while True:
         on = now.select(F.col("word").alias("_at"), F.col("root").alias("_next"))
-        new = work.write(now.join(on, F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
+        new = work.write(now.join(on.hint("merge"), F.col("root") == F.col("_at"), "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
         work.drop(now)
         now = new.drop("moved")
         if new.where("moved").isEmpty():
@@ -151,8 +153,8 @@ def spelling_variants(words: DataFrame, ratio: int = 2, work: Work | None = None
     work = work or Work(words.sparkSession)
     words = work.write(words.select("word", "n"))
     best = near_pairs(words).groupBy(F.col("word").alias("_word")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("b"))
-    told = words.join(best, F.col("word") == F.col("_word"), "left")
+    told = words.join(best.hint("merge"), F.col("word") == F.col("_word"), "left")
     is_form = -F.col("b.m") >= ratio * F.col("n")
     told = work.write(told.select("word", F.when(is_form, F.col("b.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, -F.col("b.m")).alias("form_n")))
     ends = roots(told.where("form is not null").select("word", "form"), work)
-    return told.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

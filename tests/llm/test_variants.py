@@ -88,3 +88,11 @@ def test_forms_are_followed_to_the_end(spark):
     assert {v[1] for w, v in got.items() if w != "lonely"} == {"a" * 29}
     assert found(spark, {"alone": 3}) == {"alone": (None, "alone", 3, 0, None)}
     assert variants.spelling_variants(spark.createDataFrame([], "word string, n long")).count() == 0
+
+
+def test_no_join_goes_through_the_driver(spark, tmp_path):
+    """A small file of words is many more rows where words meet; and a larger corpus has larger tables at every join."""
+    spark.createDataFrame([("their", 500), ("thier", 3), ("there", 40)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    for df in (variants.near_pairs(words), variants.spelling_variants(words)):
+        assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
