@@ -198,3 +198,11 @@ def test_lzw():
 def test_register_knows_all_formats(spark):
     connectors.register(spark)
     assert spark.read.format("grib").options(files="[]").load().columns == ["time", "lat", "lon", "u10", "v10", "u100", "v100"]
+
+
+def test_fields_of_a_wide_range_keep_every_digit():
+    """More than 2^20 hundredths apart, from a smallest value that neither edition's reference holds."""
+    values, at = np.array([[53_000_001.25, 88_000_007.5], [61_000_000.0, 60_000_123.75]]), datetime(2001, 5, 1)
+    one, two = encode.grib1(values, 165, at, 50.0, -125.0, 0.5, bits=20), encode.grib2(values, 2, 10, at, 50.0, -125.0, 0.5, bits=20)
+    for got in (grib._field_1(one)[1], grib._field_2(two)[1]):
+        assert got.ravel().tolist() == values.ravel().tolist()
