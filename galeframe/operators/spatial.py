@@ -13,6 +13,10 @@ from galeframe.functions.geo import haversine_km, idw
 from galeframe.operators.cut import cut
 
 
+#: Points whose neighbours one task looks for.
+TASK_POINTS = 20_000
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, radius_km: float, left_id: str, right_id: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(left_id, right_id, km) of points within the radius. Both sides carry only ids and places; the left side is put in nine cells.
 
@@ -63,12 +67,13 @@ def nearest(points: DataFrame, grid: DataFrame, k: int, point_id: str, grid_id:
     b = g.agg(F.min("_gx"), F.max("_gx"), F.min("_gy"), F.max("_gy"), F.count("*")).first()
     if not b[4]:
         return spark.createDataFrame([], f"`{point_id}` {points.schema[point_id].dataType.simpleString()}, `{grid_id}` {grid.schema[grid_id].dataType.simpleString()}, distance double, rank int")
-    out_box = p.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).first()
+    out_box = p.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py"), F.count("*")).first()
     width, height = max(b[1] - b[0], 1e-9), max(b[3] - b[2], 1e-9)
-    reach = max(width, height, *[abs(v - w) for v, w in zip(out_box, b, strict=False) if v is not None]) if out_box[0] is not None else max(width, height)
+    reach = max(width, height, *[abs(v - w) for v, w in zip(out_box[:4], b[:4], strict=True) if v is not None]) if out_box[0] is not None else max(width, height)
     size = cell or max(math.sqrt(width * height * max(k, 1) / b[4]), 1e-9)
     d = haversine_km(F.col("_py"), F.col("_px"), F.col("_gy"), F.col("_gx")) if measure == "km" else F.hypot(F.col("_px") - F.col("_gx"), F.col("_py") - F.col("_gy"))
-    found, left = None, p
+    # A point is some forty rows below, sorted where it lies; a table of points may be one small file, read by one task.
+    found, left = None, p.repartition(max(spark.sparkContext.defaultParallelism, -(-out_box[4] // TASK_POINTS)))
     while True:
         last = size > 2 * reach + 1
         g_cells = g.withColumns({"_cx": F.floor(F.col("_gx") / size), "_cy": F.floor(F.col("_gy") / size)})
