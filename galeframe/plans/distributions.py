@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from galeframe.functions import cdf, labels, wind
 from galeframe.operators import publish, reshape
 from galeframe.operators.grid import vertical_fill
-from galeframe.operators.quantiles import ranked_quantiles
+from galeframe.operators.quantiles import blocks, ranked_quantiles
 from galeframe.plans.base import LONG, P101, SAMPLES, long_table, r, rounded, samples, table
 
 
@@ -19,7 +19,7 @@ def q01_quantile_block(spark: SparkSession, d: str) -> DataFrame:
 
 def _means(spark: SparkSession, d: str) -> DataFrame:
     """Profiles of which every seventh point is missing."""
-    g = samples(spark, d).groupBy("station_id", "height_m").agg(cdf.quantile_block(F.col("speed")).alias("a"))
+    g = blocks(samples(spark, d), ["station_id", "height_m"], "speed", "a")
     return g.withColumn("b", F.transform("a", lambda x, i: F.when(i % 7 != 3, x)))
 
 
@@ -82,7 +82,7 @@ def q32_interpolate_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q33_resample(spark: SparkSession, d: str) -> DataFrame:
-    g = samples(spark, d).groupBy("station_id").agg(cdf.quantile_block(F.col("speed")).alias("a"))
+    g = blocks(samples(spark, d), ["station_id"], "speed", "a")
     return rounded(g.select("station_id", F.posexplode(cdf.resampled(cdf.monotone(F.col("a")), 33)).alias("k", "value")))
 
 
@@ -95,7 +95,7 @@ def q51_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def q52_vertical_means(spark: SparkSession, d: str) -> DataFrame:
     """Means of the distributions carried to other heights."""
-    g = samples(spark, d).where("height_m <> 60").groupBy("station_id", "height_m").agg(cdf.quantile_block(F.col("speed")).alias("quantiles"))
+    g = blocks(samples(spark, d).where("height_m <> 60"), ["station_id", "height_m"], "speed")
     filled = vertical_fill(g, ["station_id"], [30, 60, 80, 100])
     return rounded(filled.select("station_id", "height_m", cdf.mean_complete(F.col("profile")).alias("mean_ws")), 5)
 

@@ -9,6 +9,7 @@ from galeframe.functions import cdf, labels, wind
 from galeframe.functions.constants import QCOLS, TARGET_HEIGHTS
 from galeframe.operators import assemble, metrics, observations, ordered, publish, schema, tiles
 from galeframe.operators.cut import scratch
+from galeframe.operators.quantiles import blocks
 from galeframe.plans.base import P101, SAMPLES, r, rounded, samples, table
 from galeframe.sources import connectors, named, tables
 
@@ -81,7 +82,7 @@ def q106_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return samples(spark, d).where("flag = 'N'").groupBy("station_id", "height_m").agg(cdf.quantile_block(F.col("speed")).alias("q"))
+    return blocks(samples(spark, d).where("flag = 'N'"), ["station_id", "height_m"], "speed", "q")
 
 
 def q107_station_files(spark: SparkSession, d: str) -> DataFrame:

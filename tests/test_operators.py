@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from galeframe.functions import cdf
 from galeframe.functions.constants import QCOLS
 from galeframe.operators import assemble, boosting, experiments, grid, metrics, ml, observations, ordered, publish, qc, quantiles, reshape, schema, spatial
 
@@ -354,3 +355,27 @@ def test_experiment_names_and_reports(spark):
 def test_means_of_wide_tables(spark):
     m = assemble.wide_means(wide(spark, [("a", 10.0, 1.0)]).withColumn("q050", F.lit(None).cast("double"))).first()
     assert m["mean_ws"] == pytest.approx(4.9)
+
+
+def test_points_of_one_file_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TASK_POINTS", 10)
+    p = spark.range(200).select(F.col("id"), (F.col("id") % 20).cast("double").alias("x"), (F.col("id") / 20).alias("y")).coalesce(1)
+    got = spatial.nearest(p, p.withColumnRenamed("id", "g"), 2, "id", "g")
+    assert "Repartition 20, true" in got._jdf.queryExecution().analyzed().toString()
+    assert got.where("rank = 1 and id = g").count() == 200
+
+
+def test_blocks_of_groups_are_exact(spark):
+    rows = [("a", float(v)) for v in range(7)] * 3 + [("b", 2.0), ("b", 2.0), (None, 1.0), (None, 4.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(cdf.quantile_block(F.col("v")).alias("q")).collect()}
+    got = {r["k"]: r["q"] for r in quantiles.blocks(df, ["k"], "v", "q").collect()}
+    assert got.keys() == want.keys() and got["c"] is None and want["c"] is None
+    assert all(got[k] == pytest.approx(want[k]) for k in ("a", "b", None))
+
+
+def test_the_cohort_reads_its_samples_once(spark):
+    from galeframe.plans.base import long_table
+
+    plan = long_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan and "Aggregate" not in plan
