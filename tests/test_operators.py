@@ -379,3 +379,35 @@ def test_the_cohort_reads_its_samples_once(spark):
 
     plan = long_table(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_extendedprice" not in plan and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("rounds, copies", [(4, 1), (1, 1), (4, 5)])
+def test_quantiles_of_uneven_groups_of_any_size(spark, monkeypatch, rounds, copies):
+    """Outliers, values far apart, both zeros, one value repeated, missing values and a NULL key: by bins, by bins cut again, by ranges, and counted first."""
+    rng = np.random.default_rng(3)
+    xs = {"even": rng.random(300), "far": 10.0 ** np.arange(-150, 150), "huge": np.array([-1.7e308, 1.7e308, *rng.random(200)]), "same": np.full(250, 7.25), "mostly": np.array([1.0] * 200 + [2.0, 1e9]), None: np.array([-0.0, 0.0, 5e-324, 1e-323] * 20), "one": np.array([3.0])}
+    xs = {k: np.repeat(v, copies) for k, v in xs.items()}
+    rows = [(k, float(x)) for k, v in xs.items() for x in rng.permutation(v)] + [("even", None), ("even", NAN), ("none", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    monkeypatch.setattr(quantiles, "MOST_ROUNDS", rounds)
+    monkeypatch.setattr(quantiles, "MOST_BINS", 64)
+    monkeypatch.setattr(quantiles, "PART", 1)
+    got = quantiles.ranked_quantiles(df, ["k"], "x", 11, range_rows=20).collect()
+    assert len(got) == 11 * len(xs)
+    for k, v in xs.items():
+        v, at = np.sort(v), np.arange(11) / 10 * (len(v) - 1)
+        low, high = v[np.floor(at).astype(int)], v[np.ceil(at).astype(int)]
+        with np.errstate(over="ignore"):
+            want = low + (high - low) * (at - np.floor(at))
+        assert [r["value"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["qnum"])] == pytest.approx(list(want), rel=1e-12)
+
+
+def test_large_groups_are_not_sorted_whole(spark, monkeypatch):
+    """Of a large group of distinct values, only the bins that hold an asked place are read on."""
+    left = []
+    picked = quantiles._picked
+    monkeypatch.setattr(quantiles, "_picked", lambda x, keys, *more: left.append(x.count()) or picked(x, keys, *more))
+    df = spark.range(200_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 0.37).alias("x"))
+    got = quantiles.ranked_quantiles(df, ["k"], "x", 5, range_rows=50_000).groupBy("k").agg(F.max("value").alias("v")).collect()
+    assert {r["k"]: r["v"] for r in got} == {0: pytest.approx(199_998 * 0.37), 1: pytest.approx(199_999 * 0.37)}
+    assert left[0] == 200_000 and len(left) == 2 and left[1] < 1000
