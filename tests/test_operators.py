@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galeframe.functions import cdf
 from galeframe.functions.constants import QCOLS
-from galeframe.operators import assemble, boosting, experiments, grid, metrics, ml, observations, ordered, publish, qc, quantiles, reshape, schema, spatial
+from galeframe.operators import assemble, boosting, experiments, grid, metrics, ml, networks, observations, ordered, publish, qc, quantiles, reshape, schema, spatial
 
 NAN = float("nan")
 
@@ -411,3 +411,55 @@ def test_large_groups_are_not_sorted_whole(spark, monkeypatch):
     got = quantiles.ranked_quantiles(df, ["k"], "x", 5, range_rows=50_000).groupBy("k").agg(F.max("value").alias("v")).collect()
     assert {r["k"]: r["v"] for r in got} == {0: pytest.approx(199_998 * 0.37), 1: pytest.approx(199_999 * 0.37)}
     assert left[0] == 200_000 and len(left) == 2 and left[1] < 1000
+
+
+def test_experiments_of_the_query_run_in_full(spark, monkeypatch):
+    """q90_experiments hands each method its full settings, whole epochs and all trees, and nothing over them."""
+    from galeframe.plans import learning
+
+    asked = {}
+    monkeypatch.setattr(ml, "leave_one_out", lambda table, *_, method, parameters, **more: asked.update({method: parameters | more}) or table)
+    monkeypatch.setattr(experiments, "report", lambda runs, base: runs)
+    assert list(learning.q90_experiments(spark, "/root/testdata/sf0.001")) == ["baseline", "hybrid", "wide", "network", "convolution"]
+    assert all((asked[m]["trees"], asked[m]["depth"]) == (500, 20) for m in ("boosting", "hybrid", "wide"))
+    assert (asked["network"]["epochs"], asked["network"]["hidden"], asked["network"]["batch"]) == (100, (128, 64), 512)
+    assert (asked["convolution"]["epochs"], asked["convolution"]["filters"], asked["convolution"]["batch"]) == (300, (32, 64, 128), 32)
+
+
+@pytest.mark.parametrize("loss", ["absolute", "squared"])
+def test_deep_trees_are_the_same_by_jobs_and_in_tasks(spark, monkeypatch, loss):
+    """Trees of depth 20 that see parts of rows and features: in tasks, by jobs, and by jobs that sum some nodes at a time."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(0, 10, (160, 3)), 2)
+    x[rng.random(x.shape) < 0.1] = NAN
+    y = np.nan_to_num(x[:, 0]) + 3 * np.sin(np.nan_to_num(x[:, 1])) + rng.normal(0, 0.1, 160)
+    rows = [(*[float(v) if np.isfinite(v) else None for v in r], float(t), [0, 2] if k % 2 else [0, 1, 1, 2]) for k, (r, t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, models array<int>").repartition(3)
+    settings = [{"trees": 2, "depth": 20, "least": 1.5, "rows": 0.8}, {"trees": 1, "depth": 20, "columns": 0.6, "rate": 0.5}, {"trees": 0}]
+    got = []
+    for most, cells in ((boosting.TASK_ROWS, boosting.MOST_CELLS), (1, boosting.MOST_CELLS), (100, 3 * 65 * 4)):
+        monkeypatch.setattr(boosting, "TASK_ROWS", most)
+        monkeypatch.setattr(boosting, "MOST_CELLS", cells)
+        got.append(boosting.fit_many(df, ["a", "b", "c"], [1, 0, 0], settings, loss=loss))
+    assert got[0][0].depth > 4 and got[0][0].feature.size > 30 and got[0][2].predict(x[:2]).tolist() == [got[0][2].base] * 2
+    for other in got[1:]:
+        for a, b in zip(got[0], other, strict=True):
+            assert np.allclose(a.predict(x), b.predict(x)) and np.allclose(a.gain, b.gain) and (a.weight == b.weight).all()
+
+
+def test_nets_take_steps_of_a_number_of_rows(spark, monkeypatch):
+    steps = []
+    descend = networks.descend
+    monkeypatch.setattr(networks, "descend", lambda w, s, sums: steps.append(s.batches) or descend(w, s, sums))
+    n = np.arange(100)
+    rows = networks.Rows(n[:, None] / 10.0, np.zeros((100, 0)), n[:, None] / 5.0, n, n)
+    networks.fit_arrays(networks.Perceptron(1, (4,)), rows, networks.Settings(epochs=2, validation=0.0), 32)
+    networks.fit_arrays(networks.Perceptron(1, (4,)), rows, networks.Settings(epochs=2, validation=0.0, batches=2))
+    assert steps == [4, 2]
+
+
+def test_each_fold_of_a_net_is_a_task(spark):
+    t = long_rows(spark)
+    table, names, signs = ml.features(t, ["era5"])
+    got = ml.leave_one_out(table, names, signs, ml.neighbour_map(t), method="network", parameters={"epochs": 1})
+    assert {r[0] for r in got.select(F.spark_partition_id()).distinct().collect()} == {0, 1, 2}
